@@ -13,7 +13,7 @@ from tidepanel.catalog import settings as S
 from tidepanel.catalog.registry import query, rounded
 from tidepanel.catalog.sqlviews import with_views
 from tidepanel.catalog.tables import Tables
-from tidepanel.operators import funding, universe, walkforward, windows
+from tidepanel.operators import universe, walkforward, windows
 from tidepanel.plans import momentum
 
 NAMES = [m.name for m in S.MEMBERS] + list(momentum.CONTROLS)
@@ -28,12 +28,6 @@ FUNDED = {
 }
 
 
-def contract_funding(t: Tables, instrument: str = "p_type") -> DataFrame:
-    """Funding events with the contract they belong to."""
-    ids = t.bars(instrument).select("instrument_id", "contract_id").distinct()
-    return t.funding(instrument).join(ids, "instrument_id")
-
-
 def plain_calendar(decisions: DataFrame) -> DataFrame:
     """All decisions as one run; a calendar has one row per week, so it is tiny."""
     return decisions.withColumn("ordinal", F.row_number().over(W.orderBy("decision_ns")).cast("long"))
@@ -44,7 +38,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = replace(S.PANEL, universe=replace(S.UNIVERSE, liquidity_window_days=1), volatility_window_days=2)
     rows, _ = momentum.momentum_episodes(
         t.bars(), plain_calendar(t.decisions), rules, S.MEMBERS, S.SCENARIOS,
-        funding.weekly_settlements(contract_funding(t)),
+        t.funding(),
     )
     return rounded(
         rows.groupBy("member", "scenario").agg(
@@ -68,7 +62,7 @@ SELECT {EPISODE_COLUMNS} FROM grid_episodes""")
 def d16(t):
     rows, _ = momentum.momentum_episodes(
         t.bars(), plain_calendar(t.decisions), S.PANEL, S.MEMBERS, S.SCENARIOS,
-        funding.weekly_settlements(contract_funding(t)),
+        t.funding(),
     )
     return rounded(rows.drop("ordinal", "held_nothing"), 9)
 
@@ -89,7 +83,7 @@ def fold_rows(t: Tables):
     calendar = walkforward.test_calendar(walkforward.fold_membership(samples, bounds, S.GEOMETRY))
     return momentum.momentum_episodes(
         t.bars(), calendar, S.PANEL, S.MEMBERS, S.SCENARIOS,
-        funding.weekly_settlements(contract_funding(t)),
+        t.funding(),
     )
 
 

@@ -21,13 +21,28 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = without_negative_zero(sql)
         return build
 
     return register
 
 
+def without_negative_zero(sql: str) -> str:
+    """Make every `round(...)` of the SQL yield 0.0 where it would yield -0.0."""
+    out, at = [], 0
+    while (found := sql.find("round(", at)) >= 0:
+        end, depth = found + len("round("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        call = sql[found:end]
+        out.append(f"{sql[at:found]}(CASE WHEN {call} = 0 THEN 0.0 ELSE {call} END)")
+        at = end
+    return "".join(out) + sql[at:]
+
+
 def rounded(df: DataFrame, digits: int, columns: Sequence[str] | None = None) -> DataFrame:
     """Round every double (or the named columns), as the SQL side does."""
     names = columns or [n for n, kind in df.dtypes if kind == "double"]
-    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
+    # Adding zero turns -0.0 into 0.0.
+    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.functions.timefns import DAY_NS, HOUR_NS, SECOND_NS, int_div, timestamp_to_ns
 from tidepanel.operators import skewsafe
-from tidepanel.operators.universe import attach_contract_id
 
 VENUE = "XV"
 LINE_KEY = [
@@ -17,6 +17,13 @@ LINE_KEY = [
 ]
 
 
+def named_contracts(daily: DataFrame, *labels: str) -> DataFrame:
+    """Contract ids `label:first_open`. The daily rows of a label are bounded by
+    the calendar, so a window finds the first open without a second raw scan."""
+    first = F.min("open_time_ns").over(W.partitionBy(*labels))
+    return daily.withColumn("contract_id", F.concat_ws(":", *labels, first.cast("string")))
+
+
 class Tables:
     """The given tables of one directory and the market-style views on them."""
 
@@ -67,17 +74,14 @@ class Tables:
 
     def bars(self, instrument: str = "p_type") -> DataFrame:
         """Daily bars per instrument, from every order line."""
-        daily = self._daily({"instrument_id": F.col(instrument)}).withColumn("venue", F.lit(VENUE))
-        return attach_contract_id(daily)
+        daily = self._daily({"instrument_id": F.col(instrument)})
+        return named_contracts(daily.withColumn("venue", F.lit(VENUE)), "instrument_id")
 
     def legs(self, instrument: str = "p_type") -> DataFrame:
         """Daily bars of two markets: odd line numbers trade `perp`, even ones `spot`."""
         market = F.when(F.col("l_linenumber") % 2 == 1, "perp").otherwise("spot")
         daily = self._daily({"instrument_id": F.col(instrument), "venue": market})
-        first = daily.groupBy("venue", "instrument_id").agg(F.min("open_time_ns").alias("_first"))
-        return daily.join(first, ["venue", "instrument_id"]).withColumn(
-            "contract_id", F.concat_ws(":", "venue", "instrument_id", F.col("_first").cast("string"))
-        ).drop("_first")
+        return named_contracts(daily, "venue", "instrument_id")
 
     @cached_property
     def decisions(self) -> DataFrame:

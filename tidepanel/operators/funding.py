@@ -42,17 +42,17 @@ def interval_sum(
     return queries.join(summed, [*keys, query_ns], "left")
 
 
-def weekly_settlements(events: DataFrame) -> DataFrame:
+def weekly_settlements(events: DataFrame, key: str = "instrument_id") -> DataFrame:
     """Events folded into the weekly decision that closes their week.
 
-    One row per contract and week: total, and the positive and negative parts
+    One row per instrument and week: total, and the positive and negative parts
     kept apart because costs scale payments and receipts differently.
     """
     rate = F.col("rate")
     zero = F.lit(0).cast("decimal(38,10)")
     return (
         events.withColumn("decision_ns", week_end_ns(F.col("calc_time_ns")))
-        .groupBy("contract_id", "decision_ns")
+        .groupBy(key, "decision_ns")
         .agg(
             F.sum(rate).alias("settled"),
             F.sum(F.when(rate > 0, rate).otherwise(zero)).alias("positive"),
@@ -61,6 +61,15 @@ def weekly_settlements(events: DataFrame) -> DataFrame:
     )
 
 
+def for_contracts(settlements: DataFrame, bars: DataFrame) -> DataFrame:
+    """Instrument-level settlements under their contract id; unknown instruments drop.
+
+    Called after the weekly fold, so the join moves weeks and not raw events.
+    """
+    ids = bars.select("instrument_id", "contract_id").distinct()
+    return settlements.join(ids, "instrument_id").drop("instrument_id")
+
+
 def trailing_weekly(weekly: DataFrame, at: DataFrame, weeks: Sequence[int]) -> DataFrame:
     """Trailing sums over the last n weekly settlements, for several n at once.
 

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.operators import accounting, universe, weights, windows
+from tidepanel.operators import accounting, funding, universe, weights, windows
+from tidepanel.session import staged
 
 CONTROLS = ("no_trade", "passive_long_ew", "random_ranks")
 
@@ -108,15 +109,17 @@ def eligible_features(bars: DataFrame, rules: PanelRules, lookbacks: Sequence[in
 
 def momentum_episodes(
     bars: DataFrame, calendar: DataFrame, rules: PanelRules, members: Sequence[MomentumMember],
-    scenarios: Sequence[accounting.CostTable], settlements: DataFrame | None = None,
+    scenarios: Sequence[accounting.CostTable], events: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Episode rows and the contract lines beneath them.
 
     `calendar` holds decision_ns and ordinal, with fold_index when the job runs
-    every fold at once; the skip flag is added here from the universe.
+    every fold at once; the skip flag is added here from the universe. `events`
+    are funding events by instrument.
     """
     lookbacks = sorted({m.lookback_days for m in members})
-    eligible = eligible_features(bars, rules, lookbacks)
+    bars, calendar = staged(bars, "bars"), staged(calendar, "calendar")
+    eligible = staged(eligible_features(bars, rules, lookbacks), "eligible")
     book = [c for c in ("fold_index",) if c in calendar.columns] + ["member"]
     status = universe.universe_status(calendar.select("decision_ns").distinct(), eligible)
     placed = calendar.join(status.select("decision_ns", "skipped"), "decision_ns")
@@ -126,6 +129,9 @@ def momentum_episodes(
     prices = windows.holding_prices(bars, rules.holding_days).select(
         "contract_id", F.col("close_time_ns").alias("decision_ns"), "entry_close", "exit_close", "last_inside"
     )
+    settlements = None
+    if events is not None:
+        settlements = funding.for_contracts(funding.weekly_settlements(events), bars)
     lines = accounting.evaluate_book(
         vectors, prices, placed, scenarios, book=book, tiers=eligible, settlements=settlements
     )
