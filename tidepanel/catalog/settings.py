@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tidepanel.functions.timefns import DAY_NS, HOUR_NS
 from tidepanel.operators.accounting import CostTable
+from tidepanel.operators.stats import SignalCost
 from tidepanel.operators.universe import UniverseRules
 from tidepanel.operators.walkforward import FoldGeometry
 from tidepanel.operators.weights import WeightRules
@@ -34,3 +36,8 @@ BRAND_UNIVERSE = UniverseRules(
     minimum_history_days=30, liquidity_window_days=2, minimum_median_quote_volume=20_000.0,
     maximum_contracts=8, minimum_contracts=3, tier_one_rank_limit=3,
 )
+SIGNAL_COSTS = (SignalCost("base", 5.0, 1.0, 2.0, 0.5), SignalCost("adverse", 8.0, 2.0, 6.0, 1.0))
+BAR_GEOMETRY = FoldGeometry(
+    train_ns=8 * DAY_NS, validation_ns=3 * DAY_NS, test_ns=3 * DAY_NS, step_ns=3 * DAY_NS,
+    embargo_ns=6 * HOUR_NS, holdout_ns=3 * DAY_NS,
+)
