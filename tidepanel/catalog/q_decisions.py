@@ -69,14 +69,16 @@ def d37(t):
 
 
 @query("d04_maximum_drawdown", with_views(*VIEWS, more={**REPORT_SQL, "path": """
-    SELECT *, product(1 + net_return) OVER (PARTITION BY member, scenario ORDER BY decision_ns
+    SELECT *, product(1 + net_return / 100) OVER (PARTITION BY member, scenario ORDER BY decision_ns
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM pooled""",
     "peaks": """
     SELECT *, greatest(1, max(equity) OVER (PARTITION BY member, scenario ORDER BY decision_ns
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM path"""}) + """
 SELECT member, scenario, round(max((peak - equity) / peak), 8) AS maximum_drawdown FROM peaks GROUP BY ALL""")
 def d04(t):
-    return rounded(stats.maximum_drawdown(pooled(t), ["member", "scenario"], "decision_ns"), 8)
+    # A hundredth of capital per book: these synthetic prices can lose more than all of it.
+    sized = pooled(t).withColumn("net_return", F.col("net_return") / 100)
+    return rounded(stats.maximum_drawdown(sized, ["member", "scenario"], "decision_ns"), 8)
 
 
 @query("d05_mean_median_win_rate", with_views(*VIEWS, more=REPORT_SQL) + """
