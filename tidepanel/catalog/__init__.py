@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_windows", "q_accounting", "q_samples", "q_decisions", "q_sources")
+MODULES = ("q_windows", "q_accounting", "q_samples", "q_decisions", "q_sources", "q_panel", "q_micro")
 
 
 def _load():

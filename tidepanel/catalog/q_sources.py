@@ -129,8 +129,8 @@ def a05(t):
 
 
 def csv_lines(t: Tables):
-    """Dump lines: microsecond epochs on even days, milliseconds on odd ones, with headers."""
-    scale = F.when(F.col("day") % 2 == 0, 1_000).otherwise(1_000_000)
+    """Dump lines with headers; the newest ones use microsecond epochs."""
+    scale = F.when(F.col("day") >= 11_600, 1_000).otherwise(1_000_000)
     epoch = lambda ns: F.call_function("div", ns, scale.cast("bigint")).cast("string")
     line = F.concat_ws(
         ",", epoch(F.col("open_time_ns")), *[decimal_text(c) for c in ("open", "high", "low", "close", "base_volume")],
@@ -169,6 +169,7 @@ def a07(t):
 @query("a08_mixed_era_epochs", with_views("ticks") + """
 SELECT event_id, event_time_ns // 1000000 * 1000000 AS normalised_ns FROM ticks""")
 def a08(t):
+    # Ticks are recent enough for a microsecond epoch to be recognised as one.
     raw = F.when(F.col("event_id") % 2 == 0, int_div(F.col("event_time_ns"), 1_000)).otherwise(
         int_div(F.col("event_time_ns"), 1_000_000)
     )

@@ -41,3 +41,5 @@ BAR_GEOMETRY = FoldGeometry(
     train_ns=8 * DAY_NS, validation_ns=3 * DAY_NS, test_ns=3 * DAY_NS, step_ns=3 * DAY_NS,
     embargo_ns=6 * HOUR_NS, holdout_ns=3 * DAY_NS,
 )
+CARRY_BASE = CostTable("base", 5.0, 2.0, 5.0, spot_fee_bps=10.0)
+CARRY_ADVERSE = CostTable("adverse", 5.0, 6.0, 15.0, 0.5, 1.5, 2.0, spot_fee_bps=10.0)

@@ -1,0 +1,49 @@
+"""Functions of one order-book side held as an array of (price, quantity) structs."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def walk_notional(levels: Column, notional: Column | float) -> Column:
+    """VWAP paid to fill `notional` from best-first levels; NULL if too thin."""
+    target = notional if isinstance(notional, Column) else F.lit(float(notional))
+    start = F.struct(target.alias("remaining"), F.lit(0.0).alias("base"), F.lit(None).cast("double").alias("vwap"))
+
+    def step(state: Column, level: Column) -> Column:
+        quote = level["price"] * level["quantity"]
+        fills = quote >= state["remaining"]
+        vwap = F.when(
+            state["vwap"].isNull() & fills, target / (state["base"] + state["remaining"] / level["price"])
+        ).otherwise(state["vwap"])
+        return F.struct(
+            (state["remaining"] - quote).alias("remaining"), (state["base"] + level["quantity"]).alias("base"),
+            vwap.alias("vwap"),
+        )
+
+    return F.aggregate(levels, start, step, lambda s: s["vwap"])
+
+
+def displayed_notional(levels: Column) -> Column:
+    return F.aggregate(levels, F.lit(0.0), lambda total, l: total + l["price"] * l["quantity"])
+
+
+def side_reason(levels: Column, name: str, *, ascending: bool) -> Column:
+    """Why a side is unusable: a non-positive level, or not sorted best first."""
+    after = F.slice(levels, F.lit(2), F.size(levels))
+    pairs = F.arrays_zip(F.slice(levels, F.lit(1), F.greatest(F.size(levels) - 1, F.lit(0))).alias("a"), after.alias("b"))
+    ordered = F.forall(
+        pairs, lambda p: p["a"]["price"] < p["b"]["price"] if ascending else p["a"]["price"] > p["b"]["price"]
+    )
+    positive = F.forall(levels, lambda l: (l["price"] > 0) & (l["quantity"] > 0))
+    return F.when(~positive, f"{name} levels must be positive").when(~ordered, f"{name} must be sorted best first")
+
+
+def book_reason(bids: Column, asks: Column) -> Column:
+    """The first defect of a book, or NULL when it is valid."""
+    empty = F.when((F.size(bids) < 1) | (F.size(asks) < 1), "empty book")
+    crossed = F.when(F.get(bids, F.lit(0))["price"] >= F.get(asks, F.lit(0))["price"], "crossed book")
+    return F.coalesce(
+        side_reason(bids, "bids", ascending=False), side_reason(asks, "asks", ascending=True), empty, crossed
+    )
