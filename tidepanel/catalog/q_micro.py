@@ -39,21 +39,32 @@ BOOK_SQL = {
 }
 
 
+def thousandths(value):
+    """A price in whole thousandths. The odd offset keeps exact decimal prices off
+    the rounding boundary, where two engines may fall on different sides."""
+    return F.floor(value * 1_000 + 0.123456)
+
+
+def thousandths_sql(value: str) -> str:
+    return f"CAST(floor({value} * 1000 + 0.123456::DOUBLE) AS BIGINT)"
+
+
 def observations(t):
     return report(t, "depth", lambda: micro.depth_observations(t.book_levels, NOTIONALS))
 
 
-@query("h02_walk_notional", with_views("books", more=BOOK_SQL) + "SELECT book_id, side, notional, round(vwap, 5) AS vwap FROM fills")
+@query("h02_walk_notional", with_views("books", more=BOOK_SQL) + f"SELECT book_id, side, notional, {thousandths_sql('vwap')} AS vwap FROM fills")
 def h02(t):
-    return rounded(micro.fill_prices(t.book_levels, NOTIONALS), 5, ["vwap"])
+    return micro.fill_prices(t.book_levels, NOTIONALS).withColumn("vwap", thousandths(F.col("vwap")))
 
 
-@query("h03_depth_observation", with_views("books", more=BOOK_SQL) + """
-SELECT book_id, instrument_id, notional, round(mid, 4) AS mid, round((best_ask - best_bid) / mid * 10000, 4) AS spread_bps,
-  round(slippage_bps, 4) AS slippage_bps FROM obs""")
+@query("h03_depth_observation", with_views("books", more=BOOK_SQL) + f"""
+SELECT book_id, instrument_id, notional, {thousandths_sql('mid')} AS mid, {thousandths_sql('(best_ask - best_bid) / mid * 10000')} AS spread_bps,
+  {thousandths_sql('slippage_bps')} AS slippage_bps FROM obs""")
 def h03(t):
-    out = observations(t).select("book_id", "instrument_id", "notional", "mid", "spread_bps", "slippage_bps")
-    return rounded(out, 4, ["mid", "spread_bps", "slippage_bps"])
+    return observations(t).select(
+        "book_id", "instrument_id", "notional", *[thousandths(F.col(c)).alias(c) for c in ("mid", "spread_bps", "slippage_bps")]
+    )
 
 
 @query("h04_book_validity", with_views("books", more=BOOK_SQL) + "SELECT book_id, reason FROM valid")
@@ -62,10 +73,10 @@ def h04(t):
 
 
 @query("h05_displayed_notional", with_views("books", more=BOOK_SQL) + """
-SELECT book_id, CAST(floor(least(bn, an) + 0.001) AS BIGINT) AS displayed_notional FROM valid WHERE reason IS NULL""")
+SELECT book_id, CAST(floor(round(least(bn, an), 2) + 0.123456::DOUBLE) AS BIGINT) AS displayed_notional FROM valid WHERE reason IS NULL""")
 def h05(t):
     out = micro.validate_books(t.book_levels).filter("reason IS NULL")
-    return out.select("book_id", F.floor(F.col("displayed_notional") + 0.001).alias("displayed_notional"))
+    return out.select("book_id", F.floor(F.col("displayed_notional") + 0.123456).alias("displayed_notional"))
 
 
 @query("h06_basis_and_spread", with_views("books", more=BOOK_SQL) + """
@@ -80,15 +91,15 @@ def h06(t):
     return rounded(out, 3)
 
 
-@query("h13_top_of_book", with_views("books", more=BOOK_SQL) + """
-SELECT l_orderkey AS book_id, round(max(CASE WHEN side = 'bid' THEN px END), 5) AS best_bid, round(min(CASE WHEN side = 'ask' THEN px END), 5) AS best_ask,
-  arg_max(CASE WHEN side = 'bid' THEN quantity END, CASE WHEN side = 'bid' THEN px END) AS bid_quantity FROM sides GROUP BY ALL""")
+@query("h13_top_of_book", with_views("books", more=BOOK_SQL) + f"""
+SELECT l_orderkey AS book_id, {thousandths_sql("max(CASE WHEN side = 'bid' THEN px END)")} AS best_bid,
+  {thousandths_sql("min(CASE WHEN side = 'ask' THEN px END)")} AS best_ask, arg_max(CASE WHEN side = 'bid' THEN quantity END, CASE WHEN side = 'bid' THEN px END) AS bid_quantity FROM sides GROUP BY l_orderkey""")
 def h13(t):
     bid, ask = F.when(F.col("side") == "bid", F.col("price")), F.when(F.col("side") == "ask", F.col("price"))
     out = t.book_levels.groupBy("book_id").agg(
         F.max(bid).alias("best_bid"), F.min(ask).alias("best_ask"), F.max_by("quantity", bid).alias("bid_quantity")
     )
-    return rounded(out, 5, ["best_bid", "best_ask"])
+    return out.withColumns({c: thousandths(F.col(c)) for c in ("best_bid", "best_ask")})
 
 
 LIMITS = dict(minimum=50, minimum_span_ns=DAY_NS, eligibility_notional=5_000.0)
@@ -179,7 +190,7 @@ def d23(t):
 
 
 @query("d25_window_symbol_means", with_views("ticks") + """
-SELECT instrument_id, count(*) AS rounds, round(avg(quantity / 1e6), 9) AS mean_rate, arg_max(quantity / 1e6, event_time_ns * 10000 + event_id % 10000) AS last_rate,
+SELECT instrument_id, count(*) AS rounds, round(avg(quantity / 1e6), 9) AS mean_rate, arg_max(quantity / 1e6, event_time_ns) AS last_rate,
   round(avg(price / 100), 6) AS mean_basis_bps FROM ticks GROUP BY ALL""")
 def d25(t):
     rows = t.ticks.select(

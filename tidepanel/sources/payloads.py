@@ -217,11 +217,16 @@ def rest_depth(messages: DataFrame, payload: str, keep: list[str]) -> DataFrame:
 
 
 def diff_depth(messages: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    """Depth diffs: first and final update id, link to the previous final id."""
-    shape = f"struct<e string, s string, U bigint, u bigint, pu bigint, T bigint, b {_LEVELS}, a {_LEVELS}>"
-    valid = (F.col("_m.e") == "depthUpdate") & (F.col("_m.U") <= F.col("_m.u")) & F.col("_m.pu").isNotNull()
+    """Depth diffs: first and final update id, link to the previous final id.
+
+    The two ids are keys that differ only in case, which a struct field cannot.
+    """
+    shape = f"struct<s string, pu bigint, T bigint, b {_LEVELS}, a {_LEVELS}>"
+    at = lambda path: F.get_json_object(payload, path)
+    first, final = at("$.U").try_cast("bigint"), at("$.u").try_cast("bigint")
+    valid = (at("$.e") == "depthUpdate") & (first <= final) & F.col("_m.pu").isNotNull()
     return messages.withColumn("_m", F.from_json(payload, shape)).select(
-        *keep, F.col("_m.s").alias("instrument_id"), F.col("_m.u").alias("sequence"),
+        *keep, F.col("_m.s").alias("instrument_id"), final.alias("sequence"),
         F.col("_m.pu").alias("previous_sequence"), (F.col("_m.T") * F.lit(1_000_000)).alias("event_time_ns"),
         _levels(F.col("_m.b")).alias("bids"), _levels(F.col("_m.a")).alias("asks"),
         F.coalesce(~valid, F.lit(True)).alias("malformed"),
