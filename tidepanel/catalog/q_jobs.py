@@ -198,6 +198,16 @@ def e14(t):
     return rounded(out.select("member", "decision_ns", "pair_id", "rank", "trailing"), 9)
 
 
+@query("f04_first_unheld_ranks", with_views("legs_type", "funding_type", more={**PAIR_SQL, **SETTLED_SQL}) + f"""
+SELECT member, decision_ns, pair_id FROM (SELECT *, row_number() OVER (PARTITION BY member, decision_ns ORDER BY rank, pair_id) AS slot_n FROM ranked r
+  WHERE NOT EXISTS (SELECT 1 FROM ranked b WHERE b.member = r.member AND b.pair_id = r.pair_id AND b.decision_ns = r.decision_ns - {WEEK})) WHERE slot_n <= 1""")
+def f04(t):
+    ranked = J.rank_members(inputs(t).eligible, CARRY_MEMBERS, CARRY, S.CARRY_BASE)
+    last_week = ranked.select("member", "pair_id", (F.col("decision_ns") + F.lit(WEEK)).alias("decision_ns"))
+    out = carry.fill_slots(ranked, last_week, free=1, group=["member", "decision_ns"])
+    return out.select("member", "decision_ns", "pair_id")
+
+
 COHORT_SQL = {
     **PAIR_SQL, **SETTLED_SQL, **warm_calendar(7, "pairs"),
     "named": "SELECT DISTINCT pair_id, perp_contract, spot_contract FROM pairs",

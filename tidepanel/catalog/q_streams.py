@@ -84,17 +84,18 @@ def book_updates(t):
         F.when(e % 97 == 0, 500.0).when(side == "bid", price + 1.0).otherwise(price + 51.0).alias("price"),
         F.when(e % 10 == 3, 0.0).otherwise(F.col("quantity")).alias("quantity"),
     )
-    numbered = skewsafe.with_ordinal(rows, ["instrument_id"], ["event_id"], F.floor(e / 1_000), "sequence")
+    bucket = skewsafe.even_bucket(t.read("events"), "event_id")
+    numbered = skewsafe.with_ordinal(rows, ["instrument_id"], ["event_id"], bucket, "sequence")
     kept = numbered.filter("sequence % 17 <> 0").withColumn("kind", F.when(F.col("sequence") % 8 == 1, "snapshot").otherwise("delta"))
-    return kept.select("instrument_id", "sequence", "kind", "side", "price", "quantity")
+    # A segment is everything from one snapshot up to the next.
+    opening = F.when(F.col("kind") == "snapshot", F.col("sequence"))
+    placed = skewsafe.carry(kept, ["instrument_id"], ["event_id"], bucket, opening, "segment").fillna(0, ["segment"])
+    return placed.select("instrument_id", "segment", "sequence", "kind", "side", "price", "quantity")
 
 
 @query("k03_order_book_reconstruction")
 def k03(t):
-    rows = book_updates(t)
-    opening = F.when(F.col("kind") == "snapshot", F.col("sequence"))
-    placed = skewsafe.carry(rows, ["instrument_id"], ["sequence"], F.floor(F.col("sequence") / 4_096), opening, "segment")
-    return monitors.reconstruct_books(placed.fillna(0, ["segment"]))
+    return monitors.reconstruct_books(book_updates(t))
 
 
 @query("k03b_order_book_stream")

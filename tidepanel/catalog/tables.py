@@ -160,8 +160,8 @@ class Tables:
             timestamp_to_ns(F.col("ts")).alias("received_time_ns"),
             F.col("value").cast("decimal(18,4)").cast("string").alias("payload"),
         )
-        day = int_div(F.col("event_id"), 1_000)
-        numbered = skewsafe.with_ordinal(rows, ["chain_id"], ["event_id"], day, "sequence")
+        bucket = skewsafe.even_bucket(self.read("events"), "event_id")
+        numbered = skewsafe.with_ordinal(rows, ["chain_id"], ["event_id"], bucket, "sequence")
         honest = numbered.withColumn("true_hash", chain_hash())
         linked = honest.join(
             honest.select("chain_id", (F.col("sequence") + 1).alias("sequence"),

@@ -111,6 +111,13 @@ def rank_paying(eligible: DataFrame, selection: Selection, *, minimum: Column |
     )
 
 
+def fill_slots(ranked: DataFrame, blocked: DataFrame, *, free: int, group: Sequence[str]) -> DataFrame:
+    """The first `free` ranked pairs of each group that are neither held nor skipped."""
+    order = W.partitionBy(*group).orderBy("rank", "pair_id")
+    open_pairs = ranked.join(blocked, [*group, "pair_id"], "left_anti")
+    return open_pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= free).drop("_n")
+
+
 def live_cohorts(
     entries: DataFrame, calendar: DataFrame, facts: DataFrame, *, hold_weeks: int, book: Sequence[str],
 ) -> DataFrame:

@@ -21,6 +21,17 @@ _BUCKET = "_bucket"
 _QUANTILE_SLOTS = 64
 
 
+def even_bucket(df: DataFrame, column: str, buckets: int = 4_096) -> Column:
+    """Equal-width buckets over a column's range, a fixed number of them.
+
+    The count of per-bucket summaries stays the same however large the table
+    grows. Minimum and maximum come from a scalar subquery over one column.
+    """
+    edges = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("e")).select("e").scalar()
+    width = (edges["high"] - edges["low"] + 1) / F.lit(buckets)
+    return F.floor((F.col(column) - edges["low"]) / width)
+
+
 def with_ordinal(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "ordinal"
 ) -> DataFrame:

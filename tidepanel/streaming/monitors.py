@@ -11,9 +11,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidepanel.session import scratch_path
 
-BOOK_UPDATES = (
-    "instrument_id string, sequence bigint, kind string, side string, price double, quantity double"
-)
 BOOK_TOPS = "instrument_id string, sequence bigint, status string, best_bid double, best_ask double"
 
 
@@ -146,11 +143,15 @@ class BookProcessor(StatefulProcessor):
 
 
 def stream_books(updates: DataFrame) -> DataFrame:
-    """Order books maintained over a stream with RocksDB-backed keyed state."""
+    """Order books maintained over a stream with RocksDB-backed keyed state.
+
+    State is keyed by instrument and snapshot segment: a snapshot resets the
+    book, so a busy instrument spreads over its segments.
+    """
     updates.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    return updates.groupBy("instrument_id").transformWithStateInPandas(
+    return updates.groupBy("instrument_id", "segment").transformWithStateInPandas(
         statefulProcessor=BookProcessor(), outputStructType=BOOK_TOPS, outputMode="Append", timeMode="None"
     )
