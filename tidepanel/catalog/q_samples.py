@@ -159,7 +159,7 @@ SELECT event_id, round(CASE WHEN book_valid AND feed_age_ns <= {MAX_AGE}
     THEN (bid_size - ask_size) / (bid_size + ask_size) END, 9) AS book_imbalance FROM states""")
 def b04(t):
     healthy = F.col("book_valid") & (F.col("feed_age_ns") <= MAX_AGE)
-    spread = (F.col("best_ask") - F.col("best_bid")) / F.col("mid_price") * 10_000.0
+    spread = F.try_divide(F.col("best_ask") - F.col("best_bid"), F.col("mid_price")) * 10_000.0
     out = market_states(t).select(
         "event_id", F.when(healthy, spread).alias("spread_bps"),
         F.when(healthy, samples.imbalance(F.col("bid_size"), F.col("ask_size"))).alias("book_imbalance"),

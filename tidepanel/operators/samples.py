@@ -10,6 +10,11 @@ from tidepanel.functions.timefns import int_div
 from tidepanel.operators import skewsafe
 
 
+def _change(later: Column, earlier: Column) -> Column:
+    """Relative change; NULL against a zero price, which measures nothing."""
+    return F.try_divide(later, earlier) - 1
+
+
 def bar_samples(primary: DataFrame, reference: DataFrame, *, horizon: int = 1) -> DataFrame:
     """Lag / lead samples per instrument with a guarded cross-venue basis.
 
@@ -46,12 +51,13 @@ def bar_samples(primary: DataFrame, reference: DataFrame, *, horizon: int = 1) -
             F.col("available_time_ns").alias("decision_ns"),
             "label_available_ns",
             inputs.alias("input_ids"),
-            (F.col("close") / F.col("_prev_close") - 1).alias("observed_return"),
-            ((F.col("high") - F.col("low")) / F.col("close") * 10_000.0).alias("range_bps"),
+            _change(F.col("close"), F.col("_prev_close")).alias("observed_return"),
+            (F.try_divide(F.col("high") - F.col("low"), F.col("close")) * 10_000.0).alias("range_bps"),
             F.when(F.col("_prev_volume") > 0, F.col("base_volume") / F.col("_prev_volume") - 1).alias("volume_change"),
-            F.when(usable, F.col("close") / F.col("_ref_close") - 1).alias("cross_basis"),
-            (F.col("_next_close") / F.col("close") - 1).alias("forward_return"),
+            F.when(usable, _change(F.col("close"), F.col("_ref_close"))).alias("cross_basis"),
+            _change(F.col("_next_close"), F.col("close")).alias("forward_return"),
         )
+        .filter(F.col("observed_return").isNotNull() & F.col("forward_return").isNotNull())
     )
 
 
@@ -82,7 +88,7 @@ def forward_labels(
         F.col("_point"), "_outcome", direction="next",
     ).filter((F.col("_kind") == 0) & F.col("_outcome").isNotNull())
     cost = round_trip_cost_bps / 10_000.0
-    gross = F.col("_outcome.price") / F.col("_source.price") - 1
+    gross = _change(F.col("_outcome.price"), F.col("_source.price"))
     labels = matched.select(
         *keys,
         F.col("_source.event_id").alias("source_event_id"),
@@ -92,7 +98,7 @@ def forward_labels(
         F.col("_outcome.available_time_ns").alias("label_available_ns"),
         gross.alias("gross_return"),
         (gross - F.lit(cost)).alias("net_return"),
-        F.when(gross > cost, 1).when(gross < -cost, -1).otherwise(0).alias("direction"),
+        F.when(gross > cost, 1).when(gross < -cost, -1).when(gross.isNotNull(), 0).alias("direction"),
     )
     return with_overlap(labels, keys, bucket_ns)
 
@@ -130,7 +136,7 @@ def point_in_time_features(
     # The halo holds one row more than the frame: the first return needs it.
     haloed = skewsafe.with_halo(numbered, "ordinal", chunk_rows=chunk_rows, before=lookback)
     return (
-        haloed.withColumn("simple_return", F.col("mid_price") / F.lag("mid_price").over(w) - 1)
+        haloed.withColumn("simple_return", _change(F.col("mid_price"), F.lag("mid_price").over(w)))
         .withColumns(
             {
                 "realized_volatility": F.sqrt(mean_square),
@@ -138,7 +144,7 @@ def point_in_time_features(
                 "input_available_ns": F.max("available_time_ns").over(recent),
                 "feed_healthy": healthy,
                 "spread_bps": F.when(
-                    healthy, (F.col("best_ask") - F.col("best_bid")) / F.col("mid_price") * 10_000.0
+                    healthy, F.try_divide(F.col("best_ask") - F.col("best_bid"), F.col("mid_price")) * 10_000.0
                 ),
                 "book_imbalance": F.when(healthy, imbalance(F.col("bid_size"), F.col("ask_size"))),
                 "trade_flow_imbalance": imbalance(F.col("buy_quantity"), F.col("sell_quantity")),

@@ -266,7 +266,7 @@ def premium_rows(entries: DataFrame, quote: str, keep: list[str]) -> DataFrame:
         {
             "malformed": absent & symbol_usable(F.col("symbol")),
             "excluded": F.coalesce(nothing, F.lit(False)),
-            "basis_bps": F.when(i > 0, F.bround((m - i) / i * 10_000.0, 6)),
+            "basis_bps": F.bround(F.try_divide(m - i, i) * 10_000.0, 6),
         }
     )
 
@@ -279,12 +279,12 @@ def ticker_rows(entries: DataFrame, quote: str, keep: list[str]) -> DataFrame:
         *keep, "symbol", *[_number(F.col(c), PRICE).cast("double").alias(n) for c, n in zip(cols, names, strict=True)]
     )
     b, a = F.col("bid_price"), F.col("ask_price")
-    spread = F.bround((a - b) / ((a + b) / 2) * 10_000.0, 6)
+    spread = F.bround(F.try_divide(a - b, (a + b) / 2) * 10_000.0, 6)
     nothing = (
         ~symbol_usable(F.col("symbol")) | (F.least(*names) <= 0) | (b >= a)
     )
     absent = b.isNull() | a.isNull() | F.col("bid_qty").isNull() | F.col("ask_qty").isNull()
-    return rows.withColumn("spread_bps", F.when((a + b) > 0, spread)).withColumns(
+    return rows.withColumn("spread_bps", spread).withColumns(
         {
             "malformed": absent & symbol_usable(F.col("symbol")),
             "excluded": F.coalesce(nothing | (F.col("spread_bps") <= 0), F.lit(False)),
