@@ -49,13 +49,18 @@ def thousandths_sql(value: str) -> str:
     return f"CAST(floor({value} * 1000 + 0.123456::DOUBLE) AS BIGINT)"
 
 
+def levels(t):
+    """The book levels, written once: validation and filling both read them."""
+    return report(t, "levels", lambda: t.book_levels)
+
+
 def observations(t):
-    return report(t, "depth", lambda: micro.depth_observations(t.book_levels, NOTIONALS))
+    return report(t, "depth", lambda: micro.depth_observations(levels(t), NOTIONALS))
 
 
 @query("h02_walk_notional", with_views("books", more=BOOK_SQL) + f"SELECT book_id, side, notional, {thousandths_sql('vwap')} AS vwap FROM fills")
 def h02(t):
-    return micro.fill_prices(t.book_levels, NOTIONALS).withColumn("vwap", thousandths(F.col("vwap")))
+    return micro.fill_prices(levels(t), NOTIONALS).withColumn("vwap", thousandths(F.col("vwap")))
 
 
 @query("h03_depth_observation", with_views("books", more=BOOK_SQL) + f"""
@@ -69,13 +74,13 @@ def h03(t):
 
 @query("h04_book_validity", with_views("books", more=BOOK_SQL) + "SELECT book_id, reason FROM valid")
 def h04(t):
-    return micro.validate_books(t.book_levels).select("book_id", "reason")
+    return micro.validate_books(levels(t)).select("book_id", "reason")
 
 
 @query("h05_displayed_notional", with_views("books", more=BOOK_SQL) + """
 SELECT book_id, CAST(floor(round(least(bn, an), 2) + 0.123456::DOUBLE) AS BIGINT) AS displayed_notional FROM valid WHERE reason IS NULL""")
 def h05(t):
-    out = micro.validate_books(t.book_levels).filter("reason IS NULL")
+    out = micro.validate_books(levels(t)).filter("reason IS NULL")
     return out.select("book_id", F.floor(F.col("displayed_notional") + 0.123456).alias("displayed_notional"))
 
 
@@ -83,7 +88,7 @@ def h05(t):
 SELECT instrument_id, market, round(avg((best_ask - best_bid) / mid * 10000), 3) AS mean_spread_bps,
   round(avg((best_ask - mid) / mid * 10000), 3) AS mean_basis_bps FROM valid WHERE reason IS NULL GROUP BY ALL""")
 def h06(t):
-    books = micro.validate_books(t.book_levels).filter("reason IS NULL")
+    books = micro.validate_books(levels(t)).filter("reason IS NULL")
     out = books.groupBy("instrument_id", "market").agg(
         F.avg("spread_bps").alias("mean_spread_bps"),
         F.avg(F.bround((F.col("best_ask") - F.col("mid")) / F.col("mid") * 10_000.0, 6)).alias("mean_basis_bps"),
@@ -96,7 +101,7 @@ SELECT l_orderkey AS book_id, {thousandths_sql("max(CASE WHEN side = 'bid' THEN
   {thousandths_sql("min(CASE WHEN side = 'ask' THEN px END)")} AS best_ask, arg_max(CASE WHEN side = 'bid' THEN quantity END, CASE WHEN side = 'bid' THEN px END) AS bid_quantity FROM sides GROUP BY l_orderkey""")
 def h13(t):
     bid, ask = F.when(F.col("side") == "bid", F.col("price")), F.when(F.col("side") == "ask", F.col("price"))
-    out = t.book_levels.groupBy("book_id").agg(
+    out = levels(t).groupBy("book_id").agg(
         F.max(bid).alias("best_bid"), F.min(ask).alias("best_ask"), F.max_by("quantity", bid).alias("bid_quantity")
     )
     return out.withColumns({c: thousandths(F.col(c)) for c in ("best_bid", "best_ask")})

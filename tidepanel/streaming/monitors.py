@@ -101,18 +101,25 @@ def reconstruct_books(updates: DataFrame) -> DataFrame:
     """Book state after every update, per snapshot segment.
 
     A snapshot resets everything before it, so segments are independent and a
-    busy instrument splits into as many tasks as it has snapshots. Expects
+    busy instrument spreads over them. Rows arrive partitioned by segment and in
+    order, and each task streams through them one batch at a time. Expects
     ``segment``: the sequence of the latest snapshot at or before the row.
     """
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sequence")
-        rows = frame[["sequence", "kind", "side", "price", "quantity"]].itertuples(index=False, name=None)
-        out = [(s, "valid" if v else "invalid", b, a) for s, v, b, a in replay_book(rows, {}, {}, None, False)]
-        done = pd.DataFrame(out, columns=["sequence", "status", "best_bid", "best_ask"])
-        done.insert(0, "instrument_id", frame["instrument_id"].iloc[0])
-        return done
-
-    return updates.groupBy("instrument_id", "segment").applyInPandas(run, BOOK_TOPS)
+    columns = ["instrument_id", "segment", "sequence", "kind", "side", "price", "quantity"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, bids, asks, last, valid = None, {}, {}, None, False
+        for frame in batches:
+            out = []
+            for instrument, segment, *update in frame[columns].itertuples(index=False, name=None):
+                if (instrument, segment) != current:
+                    current, bids, asks, last, valid = (instrument, segment), {}, {}, None, False
+                for last, valid, bid, ask in replay_book([tuple(update)], bids, asks, last, valid):
+                    out.append((instrument, last, "valid" if valid else "invalid", bid, ask))
+            yield pd.DataFrame(out, columns=["instrument_id", "sequence", "status", "best_bid", "best_ask"])
+
+    placed = updates.repartition("instrument_id", "segment")
+    return placed.sortWithinPartitions("instrument_id", "segment", "sequence").mapInPandas(run, BOOK_TOPS)
 
 
 class BookProcessor(StatefulProcessor):
