@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.session import scratch_path
+
 #: Code points of white space that separate words: the blank and U+0009 to U+000D.
 BLANKS = "[ \\x09-\\x0D]"
 
@@ -31,3 +33,16 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch],
             yield each(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """An intermediate written to the shared folder and read back, and its path."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
