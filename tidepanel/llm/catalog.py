@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, html_text, pii, simhash, warc
+from tidepanel.llm import bpe, decontaminate, html_text, pii, simhash, topk, warc
 from tidepanel.llm.common import table
 from tidepanel.session import scratch_path
 
@@ -32,6 +32,50 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+WORDS_SQL = """list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
+
+DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {WORDS_SQL} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {WORDS_SQL} AS w FROM benchmark),
+s AS (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM i WHERE len(w) > 0),
+v AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS run FROM s),
+l AS (SELECT DISTINCT n FROM v),
+p AS (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, l),
+r AS (SELECT id, k, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM p),
+h AS (SELECT r.id, r.k, r.n, v.item FROM r JOIN v ON r.run = v.run AND r.n = v.n),
+c AS (SELECT id, count(DISTINCT x) AS n_hit FROM (SELECT id, unnest(range(k, k + n)) AS x FROM h) GROUP BY id),
+m AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.id = c.id LEFT JOIN m ON d.id = m.id
+"""
+
+
+@query("op1_decontaminate", DECONTAMINATE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TOPK_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op3_topk", TOPK_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @query("op4_html_text")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
