@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, decontaminate, html_text, pii, simhash, topk, warc
+from tidepanel.llm import bpe, decontaminate, html_text, pii, quality, simhash, topk, warc
 from tidepanel.llm.common import table
 from tidepanel.session import scratch_path
 
@@ -112,3 +112,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
