@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, decontaminate, html_text, pii, quality, simhash, topk, warc
+from tidepanel.llm import bpe, decontaminate, hpylm, html_text, pii, quality, simhash, topk, warc
 from tidepanel.llm.common import table
 from tidepanel.session import scratch_path
 
@@ -118,3 +118,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", "lang", "n_words", "perplexity", "threshold", "kept")
+
+
+@query("op8_hpylm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 from collections.abc import Callable, Iterator
 
@@ -46,3 +47,9 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's collector find shuffles that nothing needs any more, so that their files go."""
+    gc.collect()
+    spark._jvm.System.gc()
