@@ -228,8 +228,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return map_batches(encoded.select("doc_id", "ids"), each, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded in one pass.
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and `ids` if asked, of every document, encoded and decoded in one pass.
 
     The digests cover the ids as little-endian unsigned 32-bit integers and the
     decoded text in UTF-8. Nulls and repeats as in `encode`.
@@ -238,15 +238,19 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = encoder(path)
-        counts, coded, back = [], [], []
+        counts, coded, back, listed = [], [], [], []
         for value in batch["text"]:
             ids = codec.encode(value.as_py() or "")
             counts.append(len(ids) // 4)
             coded.append(hashlib.sha256(ids).hexdigest())
             back.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string())],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                listed.append(np.frombuffer(ids, "<u4").astype(np.int32))
+        columns = {"doc_id": batch["doc_id"], "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(coded, pa.string()),
+                   "decoded_sha256": pa.array(back, pa.string())}
+        if with_ids:
+            columns["ids"] = pa.array(listed, pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each,
-                       "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                       "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, decontaminate, hpylm, html_text, pii, quality, simhash, topk, warc
+import corpus_pipeline
+from tidepanel.llm import bpe, decontaminate, hpylm, html_text, linededup, pii, quality, simhash, topk, warc
 from tidepanel.llm.common import table
 from tidepanel.session import scratch_path
 
@@ -123,3 +124,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hpylm")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
+
+
+LINES_SQL = f"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS id, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+e AS (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS line FROM d WHERE text IS NOT NULL),
+w AS (SELECT id, line, trim(regexp_replace(x, '[ \\t-\\r]+', ' ', 'g')) AS x FROM e),
+n AS (SELECT id, line, x, len(string_split(x, ' ')) AS words, row_number() OVER (ORDER BY id, line) + id AS place FROM w WHERE x <> ''),
+s AS (SELECT n.*, sum(words) OVER (PARTITION BY id ORDER BY place) AS summed FROM n),
+pairs AS (
+    SELECT a.place AS i, b.place AS j, 1 AS m FROM s a JOIN s b ON a.x = b.x AND b.place < a.place
+    UNION ALL
+    SELECT p.i, p.j, p.m + 1 FROM pairs p JOIN s a ON a.place = p.i + p.m JOIN s b ON b.place = p.j + p.m AND a.x = b.x),
+longest AS (SELECT i, max(m) AS m FROM pairs GROUP BY i),
+runs AS (
+    SELECT i, i + m AS upto FROM longest JOIN s a ON a.place = i JOIN s z ON z.place = i + m - 1
+    WHERE z.summed - a.summed + a.words >= {linededup.MIN_WORDS}),
+cover AS (SELECT s.id, s.line, s.place, max(upto) OVER (PARTITION BY s.id ORDER BY s.place) AS reach FROM s LEFT JOIN runs ON runs.i = s.place),
+gone AS (SELECT id, line, place, lead(place) OVER (PARTITION BY id ORDER BY place) AS later, lead(line) OVER (PARTITION BY id ORDER BY place) AS following FROM cover WHERE reach > place),
+cut AS (SELECT DISTINCT id, unnest(range(line, CASE WHEN later = place + 1 THEN following ELSE line + 1 END)) AS line FROM gone),
+kept AS (
+    SELECT e.id, string_agg(e.x, chr(10) ORDER BY e.line) AS text, count(*) AS n FROM e LEFT JOIN cut ON e.id = cut.id AND e.line = cut.line
+    WHERE cut.line IS NULL GROUP BY e.id)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(coalesce(len(l), 0) AS INTEGER) AS n_lines,
+       CAST(coalesce(len(l), 0) - coalesce(n, 0) AS INTEGER) AS n_deleted
+FROM d LEFT JOIN kept ON d.id = kept.id
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -51,13 +51,14 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; a null text has no words and fingerprint zero."""
+    """(id, doc_id, fp) of every row, `id` being its place in the scan; a null text has no words and fingerprint zero."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = [fingerprint(t.as_py() or b"", words) for t in batch["text"].cast(pa.binary())]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch["id"], batch["doc_id"], pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "doc_id", "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long"), "text")
+    return map_batches(rows, each, "id long, doc_id long, fp long")
 
 
 def _ranges(bits: list[int], parts: int) -> list[list[int]]:
@@ -109,6 +110,19 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFr
     return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long").distinct()
 
 
+def classes(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(id, doc_id, fp) of every row, and (fp, root, component_id) of every fingerprint, both written."""
+    prints, _ = written(fingerprints(docs, words), "prints")
+    distinct, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found, links_path = written(links(distinct, radius), "bklinks")
+    nodes = components(found, "a", "b")
+    discard(docs.sparkSession, links_path)
+    firsts = nodes.join(distinct, nodes.node == distinct.fp).groupBy("root").agg(F.min("first").alias("component"))
+    named = nodes.join(firsts, "root").select(F.col("node").alias("fp"), "root", "component")
+    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "first").alias("component_id"))
+    return prints, written(every, "classes")[0]
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of (doc_id, text).
 
@@ -118,13 +132,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS)
     other row in it). Texts without words have fingerprint zero, linked like any
     other.
     """
-    spark = docs.sparkSession
-    prints, _ = written(fingerprints(docs, words), "prints")
-    distinct, _ = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found, links_path = written(links(distinct, radius), "bklinks")
-    nodes = components(found, "a", "b")
-    discard(spark, links_path)
-    firsts = nodes.join(distinct, nodes.node == distinct.fp).groupBy("root").agg(F.min("first").alias("component"))
-    named = nodes.join(firsts, "root").select(F.col("node").alias("fp"), "component")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, named = classes(docs, words, radius)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of `docs` of each component, as it was: that of the smallest doc_id, and of repeats the first.
+
+    `docs` has to give the same rows in the same order when it is read again, as a table does.
+    """
+    prints, named = classes(docs, words, radius)
+    best = prints.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("id").alias("__stays"))
+    rows = docs.withColumn("__id", F.monotonically_increasing_id())
+    return rows.join(best.select("__stays"), F.col("__id") == F.col("__stays"), "left_semi").drop("__id")
