@@ -52,7 +52,7 @@ def test_two_contract_episode(spark):
     lines = accounting.evaluate_book(weights, prices, calendar, [cost])
     first, second = accounting.episodes(lines, ["member"]).orderBy("decision_ns").collect()
     assert first.gross_return == pytest.approx(0.05 + 0.025) and first.turnover == 1.0
-    assert first.trading_cost == pytest.approx(0.002) and first.forced_close_cost == pytest.approx(0.001)
+    assert first.turnover_cost == pytest.approx(0.002) and first.forced_close_cost == pytest.approx(0.001)
     drift = 0.5 * 1.1 / 1.075
     assert second.turnover == pytest.approx(1.0 - drift)
     assert first.net_return == pytest.approx(0.075 - 0.002 - 0.001)

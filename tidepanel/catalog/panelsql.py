@@ -184,10 +184,10 @@ def episodes(
     FROM drifted h FULL JOIN carried p USING ({f}member, decision_ns, contract_id)""",
         "scenarios": scenario_rows(scenarios),
         "lines": f"""
-    SELECT *, gross - trading_cost - funding_cost - forced_close_cost AS net FROM (
+    SELECT *, gross - turnover_cost - funding_cost - forced_close_cost AS net FROM (
       SELECT {('j.fold_index, ' if folds else '')}j.member, j.decision_ns, j.contract_id, scenario, j.weight,
         j.previous, j.forced, j.weight * j.ret AS gross, abs(j.weight - j.previous) AS turnover,
-        abs(j.weight - j.previous) * {side} AS trading_cost,
+        abs(j.weight - j.previous) * {side} AS turnover_cost,
         j.weight * CASE WHEN j.weight > 0 THEN {pos} * payment_m + {neg} * receipt_m
           ELSE {neg} * payment_m + {pos} * receipt_m END AS funding_cost,
         CASE WHEN j.forced THEN abs(j.weight) * {side} * forced_m ELSE 0 END AS forced_close_cost
@@ -195,7 +195,7 @@ def episodes(
       {paid} CROSS JOIN scenarios)""",
         "summed": f"""
     SELECT {f}member, decision_ns, scenario, sum(gross) AS gross_return, sum(turnover) AS turnover,
-      sum(trading_cost) AS trading_cost, sum(funding_cost) AS funding_cost,
+      sum(turnover_cost) AS turnover_cost, sum(funding_cost) AS funding_cost,
       sum(forced_close_cost) AS forced_close_cost, sum(net) AS net_return,
       sum(abs(weight)) AS gross_exposure, sum(weight) AS net_exposure,
       count_if(forced) AS forced_close_count, count_if(weight <> 0) AS positions
@@ -204,7 +204,7 @@ def episodes(
 
 
 AMOUNTS = (
-    "gross_return", "turnover", "trading_cost", "funding_cost", "forced_close_cost", "net_return",
+    "gross_return", "turnover", "turnover_cost", "funding_cost", "forced_close_cost", "net_return",
     "gross_exposure", "net_exposure",
 )
 

@@ -216,7 +216,7 @@ def d12(t):
     )
 
 
-EXTRAS = ("turnover", "trading_cost", "funding_cost")
+EXTRAS = ("turnover", "turnover_cost", "funding_cost")
 
 
 @query("d34_extras_means", with_views(*VIEWS, more=REPORT_SQL) + "\nUNION ALL ".join(

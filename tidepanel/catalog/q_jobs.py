@@ -303,7 +303,7 @@ def carry_report(t):
 
 
 # Half shares of round rates end in a 5 at the tenth digit, so costs keep eleven.
-FINE_COSTS = ["funding_cost", "forced_close_cost", "trading_cost"]
+FINE_COSTS = ["funding_cost", "forced_close_cost", "turnover_cost"]
 LEG_COLUMNS = EPISODE_COLUMNS
 for _cost in FINE_COSTS:
     LEG_COLUMNS = LEG_COLUMNS.replace(f"round({_cost}, 9)", f"round({_cost}, 11)")

@@ -116,21 +116,22 @@ def b14(t):
 def sources(t):
     """Source inventory: one row per kind, instrument and month with a status."""
     month = timefns.month_string(F.col("day") * F.lit(DAY_NS))
-    base = t.bars("p_brand").filter(
-        F.col("day") < 11_500 - F.pmod(F.length("contract_id") * 7 + F.substring("instrument_id", 7, 2).cast("int") * 13, F.lit(120))
-    ).select("instrument_id", month.alias("month"), "day")
-    rows = base.groupBy("instrument_id", "month").agg(F.count("*").alias("days"))
+    front = 11_500 - F.pmod(F.length("contract_id") * 7 + F.substring("instrument_id", 7, 2).cast("int") * 13, F.lit(120))
+    base = t.bars("p_brand").select("instrument_id", month.alias("month"), (F.col("day") >= front).alias("late"))
+    rows = base.groupBy("instrument_id", "month").agg(F.count("*").alias("days"), F.bool_or("late").alias("late"))
     kinds = F.array(F.lit("klines"), F.lit("funding"))
+    # Coverage ends at another day for each instrument: later months are listed, but not there yet.
     return rows.withColumn("kind", F.explode(kinds)).withColumn(
-        "status", F.when((F.col("kind") == "funding") & (F.col("days") % 4 == 0), "absent").otherwise("present")
-    ).withColumn("hash", F.sha2(F.concat_ws("|", "kind", "instrument_id", "month"), 256))
+        "status", F.when(F.col("late"), "pending")
+        .when((F.col("kind") == "funding") & (F.col("days") % 4 == 0), "absent").otherwise("present")
+    ).drop("late").withColumn("hash", F.sha2(F.concat_ws("|", "kind", "instrument_id", "month"), 256))
 
 
 SOURCES = {
-    "base": f"""SELECT instrument_id, strftime(make_timestamp(day * {DAY // 1000}), '%Y-%m') AS month FROM bars_brand
-      WHERE day < 11500 - (length(contract_id) * 7 + CAST(substr(instrument_id, 7, 2) AS INT) * 13) % 120""",
-    "sources": """SELECT kind, instrument_id, month, CASE WHEN kind = 'funding' AND days % 4 = 0 THEN 'absent' ELSE 'present' END AS status
-      FROM (SELECT instrument_id, month, count(*) AS days FROM base GROUP BY ALL) CROSS JOIN (VALUES ('klines'), ('funding')) k(kind)""",
+    "base": f"""SELECT instrument_id, strftime(make_timestamp(day * {DAY // 1000}), '%Y-%m') AS month,
+      day >= 11500 - (length(contract_id) * 7 + CAST(substr(instrument_id, 7, 2) AS INT) * 13) % 120 AS late FROM bars_brand""",
+    "sources": """SELECT kind, instrument_id, month, CASE WHEN late THEN 'pending' WHEN kind = 'funding' AND days % 4 = 0 THEN 'absent' ELSE 'present' END AS status
+      FROM (SELECT instrument_id, month, count(*) AS days, bool_or(late) AS late FROM base GROUP BY ALL) CROSS JOIN (VALUES ('klines'), ('funding')) k(kind)""",
     "covered": "SELECT kind, instrument_id, max(month) AS covered_month FROM sources WHERE status = 'present' GROUP BY ALL",
     "classed": """SELECT *, (CAST(substr(front, 1, 4) AS INT) - CAST(substr(covered_month, 1, 4) AS INT)) * 12
         + CAST(substr(front, 6, 2) AS INT) - CAST(substr(covered_month, 6, 2) AS INT) AS behind
@@ -298,11 +299,11 @@ def d01(t):
 
 @query("b21_unexplained_gap_gate", with_views("bars_brand", more={"m": MISSING_SQL,
     "r": "SELECT instrument_id, count(*) AS missing_days, count_if(day % 3 <> 0) AS unexplained FROM m GROUP BY ALL"}) + """
-SELECT * FROM r WHERE unexplained > 3 ORDER BY unexplained DESC, instrument_id LIMIT 20""")
+SELECT * FROM r WHERE unexplained > 3""")
 def b21(t):
     bars = t.bars("p_brand")
     absent = quality.missing_days(bars).filter("day % 3 = 0")
-    return quality.unexplained_gaps(quality.quality_rollup(bars), absent, ["instrument_id"], 3, 20)
+    return quality.unexplained_gaps(quality.quality_rollup(bars), absent, ["instrument_id"], 3)
 
 
 @query("d02_conflict_checked_distinct", with_views("ticks") + """
@@ -431,7 +432,7 @@ def h12(t):
 
 
 CHAIN_REASONS = {
-    "w": """SELECT c.*, p.content_hash AS linked FROM chain c LEFT JOIN chain p ON p.chain_id = c.chain_id AND p.sequence = c.sequence - 1""",
+    "w": """SELECT c.*, p.content_hash AS linked FROM broken_chain c LEFT JOIN broken_chain p ON p.chain_id = c.chain_id AND p.sequence = c.sequence - 1""",
     "r": """SELECT *, concat_ws(',',
       CASE WHEN sha256(chain_id::VARCHAR || '|' || sequence::VARCHAR || '|' || kind || '|' || payload) <> content_hash THEN 'SEGMENT_HASH_MISMATCH' END,
       CASE WHEN linked IS NULL AND sequence <> 1 THEN 'SEGMENT_SEQUENCE_GAP' END,
@@ -439,16 +440,16 @@ CHAIN_REASONS = {
 }
 
 
-@query("e17_hash_chain_verification", with_views("chain", more=CHAIN_REASONS) + "SELECT chain_id, sequence, reasons FROM r")
+@query("e17_hash_chain_verification", with_views("broken_chain", more=CHAIN_REASONS) + "SELECT chain_id, sequence, reasons FROM r")
 def e17(t):
-    return chain.chain_reasons(t.chain, chain_hash()).select("chain_id", "sequence", F.array_join("reasons", ",").alias("reasons"))
+    return chain.chain_reasons(t.broken_chain, chain_hash()).select("chain_id", "sequence", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("e23_chain_head_check", with_views("chain", more={
-    "i": "SELECT chain_id, count(*) AS segment_count, max(sequence) AS last_sequence, arg_max(content_hash, sequence) AS final_hash FROM chain GROUP BY ALL"}) + """
+@query("e23_chain_head_check", with_views("broken_chain", more={
+    "i": "SELECT chain_id, count(*) AS segment_count, max(sequence) AS last_sequence, arg_max(content_hash, sequence) AS final_hash FROM broken_chain GROUP BY ALL"}) + """
 SELECT chain_id, CASE WHEN chain_id % 11 = 0 THEN 'CHAIN_HEAD_MISSING' WHEN chain_id % 3 = 0 THEN 'CHAIN_HEAD_MISMATCH:segment_count' ELSE '' END AS reasons FROM i""")
 def e23(t):
-    implied = chain.implied_heads(t.chain)
+    implied = chain.implied_heads(t.broken_chain)
     heads = implied.filter("chain_id % 11 <> 0").withColumn(
         "segment_count", F.when(F.col("chain_id") % 3 == 0, F.col("segment_count") + 1).otherwise(F.col("segment_count"))
     )
@@ -458,12 +459,12 @@ def e23(t):
 WINDOW = (1_704_672_000_000_000_000, 1_705_276_800_000_000_000)
 
 
-@query("k04_windowed_chain_anchor", with_views("chain") + f"""
+@query("k04_windowed_chain_anchor", with_views("broken_chain") + f"""
 SELECT chain_id, max(CASE WHEN received_time_ns < {WINDOW[0]} THEN sequence END) AS anchor_sequence,
   min(CASE WHEN received_time_ns BETWEEN {WINDOW[0]} AND {WINDOW[1]} THEN sequence END) AS first_sequence,
-  count_if(received_time_ns BETWEEN {WINDOW[0]} AND {WINDOW[1]}) AS segments FROM chain GROUP BY ALL""")
+  count_if(received_time_ns BETWEEN {WINDOW[0]} AND {WINDOW[1]}) AS segments FROM broken_chain GROUP BY ALL""")
 def k04(t):
-    return chain.window_anchor(t.chain, *WINDOW).select("chain_id", "anchor_sequence", "first_sequence", "segments")
+    return chain.window_anchor(t.broken_chain, *WINDOW).select("chain_id", "anchor_sequence", "first_sequence", "segments")
 
 
 @query("f07_last_n_segments", with_views("chain") + """

@@ -200,42 +200,86 @@ def a09(t):
     return out.withColumn("rate", F.col("rate").cast("double"))
 
 
-@query("a10_trade_jsonl", with_views("ticks") + f"""
-SELECT instrument_id, CAST(event_id AS VARCHAR) AS trade_id, event_time_ns // 1000000 * 1000000 AS event_time_ns,
-  event_time_ns // 1000000 * 1000000 + {SECOND} AS available_time_ns, price, quantity, side FROM ticks""")
-def a10(t):
-    row = F.struct(
-        F.col("instrument_id").alias("instId"), F.col("event_id").cast("string").alias("tradeId"),
-        F.col("price").cast("decimal(20,4)").cast("string").alias("px"),
+TRADE_KEYS = ["instrument_id", "trade_id"]
+
+
+def trade_lines(t):
+    """Every line twice; some prices are no numbers, and some second copies tell another price."""
+    e = F.col("event_id")
+    price = F.col("price").cast("decimal(20,4)").cast("string")
+    fields = lambda px: F.struct(
+        F.col("instrument_id").alias("instId"), e.cast("string").alias("tradeId"), px.alias("px"),
         F.col("quantity").cast("decimal(20,4)").cast("string").alias("sz"), F.col("side").alias("side"),
         int_div(F.col("event_time_ns"), 1_000_000).cast("string").alias("ts"),
     )
-    lines = t.ticks.select(F.to_json(row).alias("line"))
-    # Every line arrives twice; identical copies are admitted once.
-    doubled = lines.unionByName(lines)
-    parsed = payloads.trades(doubled, "line", availability_lag_ns=SECOND, downloaded_at_ns=0)
-    keys = ["instrument_id", "trade_id"]
-    rows, _ = quality.admit(parsed, keys, [c for c in parsed.columns if c not in keys])
+    first = F.when(e % 41 == 0, F.concat(price, F.lit("x"))).otherwise(price)
+    second = F.when((e % 43 == 0) & (e % 41 != 0), F.lit("1.5")).otherwise(first)
+    return t.ticks.select(F.explode(F.array(F.to_json(fields(first)), F.to_json(fields(second)))).alias("line"))
+
+
+def parsed_trades(t):
+    return payloads.trades(trade_lines(t), "line", availability_lag_ns=SECOND, downloaded_at_ns=0)
+
+
+@query("a10_trade_jsonl", with_views("ticks") + f"""
+SELECT instrument_id, CAST(event_id AS VARCHAR) AS trade_id, event_time_ns // 1000000 * 1000000 AS event_time_ns,
+  event_time_ns // 1000000 * 1000000 + {SECOND} AS available_time_ns, price, quantity, side FROM ticks
+WHERE event_id % 41 <> 0 AND (event_id % 43 <> 0 OR round(price, 4) = 1.5)""")
+def a10(t):
+    parsed = parsed_trades(t).filter(~F.col("malformed"))
+    rows, _ = quality.admit(parsed, TRADE_KEYS, [c for c in parsed.columns if c not in TRADE_KEYS])
     return rows.select(
-        *keys, "event_time_ns", "available_time_ns", F.col("price").cast("double").alias("price"),
+        *TRADE_KEYS, "event_time_ns", "available_time_ns", F.col("price").cast("double").alias("price"),
         F.col("quantity").cast("double").alias("quantity"), "side",
     )
 
 
+@query("a10b_trade_rejects", with_views("ticks") + """
+SELECT instrument_id, CAST(event_id AS VARCHAR) AS trade_id, 'malformed' AS reason, 2 AS lines FROM ticks WHERE event_id % 41 = 0
+UNION ALL SELECT instrument_id, CAST(event_id AS VARCHAR), 'conflict', 2 FROM ticks WHERE event_id % 43 = 0 AND event_id % 41 <> 0 AND round(price, 4) <> 1.5""")
+def a10b(t):
+    parsed = parsed_trades(t)
+    bad = parsed.filter("malformed").groupBy(*TRADE_KEYS).agg(F.count("*").alias("lines")).withColumn("reason", F.lit("malformed"))
+    sound = parsed.filter(~F.col("malformed"))
+    several = quality.conflicts(sound, TRADE_KEYS, ["price", "source_payload_hash"]).groupBy(*TRADE_KEYS).agg(F.sum("copies").alias("lines"))
+    return bad.unionByName(several.withColumn("reason", F.lit("conflict"))).select(*TRADE_KEYS, "reason", F.col("lines").cast("int").alias("lines"))
+
+
+AGGREGATE_KEYS = ["instrument_id", "sequence"]
+
+
+def parsed_aggregates(t):
+    """Some quantities are no numbers; some lines come again with the other maker flag."""
+    e = F.col("event_id")
+    quantity = F.col("quantity").cast("decimal(20,4)").cast("string")
+    fields = lambda maker: F.struct(
+        e.alias("a"), F.col("price").cast("decimal(20,4)").cast("string").alias("p"),
+        F.when(e % 53 == 0, F.lit("?")).otherwise(quantity).alias("q"),
+        int_div(F.col("event_time_ns"), 1_000_000).alias("T"), maker.alias("m"),
+    )
+    again = F.when(e % 47 == 0, F.array(F.to_json(fields(e % 3 != 0)))).otherwise(F.array().cast("array<string>"))
+    lines = t.ticks.select("instrument_id", F.explode(F.concat(F.array(F.to_json(fields(e % 3 == 0))), again)).alias("line"))
+    return payloads.aggregate_trades(lines, "line", availability_lag_ns=SECOND, keep=["instrument_id"])
+
+
 @query("a11_aggregate_trade_jsonl", with_views("ticks") + """
 SELECT instrument_id, event_id AS sequence, event_time_ns // 1000000 * 1000000 AS event_time_ns, price,
-  CASE WHEN event_id % 3 = 0 THEN 'sell' ELSE 'buy' END AS side FROM ticks""")
+  CASE WHEN event_id % 3 = 0 THEN 'sell' ELSE 'buy' END AS side FROM ticks WHERE event_id % 53 <> 0 AND event_id % 47 <> 0""")
 def a11(t):
-    row = F.struct(
-        F.col("event_id").alias("a"), F.col("price").cast("decimal(20,4)").cast("string").alias("p"),
-        F.col("quantity").cast("decimal(20,4)").cast("string").alias("q"),
-        int_div(F.col("event_time_ns"), 1_000_000).alias("T"), (F.col("event_id") % 3 == 0).alias("m"),
-    )
-    lines = t.ticks.select("instrument_id", F.to_json(row).alias("line"))
-    parsed = payloads.aggregate_trades(lines, "line", availability_lag_ns=SECOND, keep=["instrument_id"])
-    keys = ["instrument_id", "sequence"]
-    rows, _ = quality.admit(parsed, keys, ["event_time_ns", "price", "side", "source_payload_hash"])
-    return rows.select(*keys, "event_time_ns", F.col("price").cast("double").alias("price"), "side")
+    sound = parsed_aggregates(t).filter(~F.col("malformed"))
+    rows, _ = quality.admit(sound, AGGREGATE_KEYS, ["event_time_ns", "price", "side", "source_payload_hash"])
+    return rows.select(*AGGREGATE_KEYS, "event_time_ns", F.col("price").cast("double").alias("price"), "side")
+
+
+@query("a11b_aggregate_trade_rejects", with_views("ticks") + """
+SELECT instrument_id, event_id AS sequence, 'malformed' AS reason, CASE WHEN event_id % 47 = 0 THEN 2 ELSE 1 END AS lines FROM ticks WHERE event_id % 53 = 0
+UNION ALL SELECT instrument_id, event_id, 'conflict', 2 FROM ticks WHERE event_id % 47 = 0 AND event_id % 53 <> 0""")
+def a11b(t):
+    parsed = parsed_aggregates(t)
+    bad = parsed.filter("malformed").groupBy(*AGGREGATE_KEYS).agg(F.count("*").alias("lines")).withColumn("reason", F.lit("malformed"))
+    sound = parsed.filter(~F.col("malformed"))
+    several = quality.conflicts(sound, AGGREGATE_KEYS, ["side", "source_payload_hash"]).groupBy(*AGGREGATE_KEYS).agg(F.sum("copies").alias("lines"))
+    return bad.unionByName(several.withColumn("reason", F.lit("conflict"))).select(*AGGREGATE_KEYS, "reason", F.col("lines").cast("int").alias("lines"))
 
 
 def level_text(price: Column, quantity: Column) -> Column:

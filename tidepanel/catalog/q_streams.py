@@ -24,28 +24,28 @@ def stamped(t):
 
 def windows_sql(step: str, width: str) -> str:
     return f"""
-SELECT instrument_id, epoch(s) AS start, epoch(s + INTERVAL {width}) AS "end", count(*) AS rounds, sum(quantity) AS quantity
+SELECT instrument_id, epoch(s) AS start, epoch(s + INTERVAL {width}) AS "end", count(*) AS rounds, sum(quantity) AS quantity,
+  s + INTERVAL {width} <= (SELECT max(make_timestamp(event_time_ns // 1000)) - INTERVAL 1 HOUR FROM ticks) AS is_closed
 FROM (SELECT *, make_timestamp(event_time_ns // 1000) AS ts FROM ticks) t
-JOIN (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-03-01', INTERVAL {step})) AS s) w ON ts >= s AND ts < s + INTERVAL {width}
-WHERE s + INTERVAL {width} <= (SELECT max(make_timestamp(event_time_ns // 1000)) - INTERVAL 1 HOUR FROM ticks) GROUP BY ALL"""
+JOIN (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-03-01', INTERVAL {step})) AS s) w ON ts >= s AND ts < s + INTERVAL {width} GROUP BY ALL"""
 
 
-def closed_windows(t, label, width, slide=None):
-    out = monitors.drain(monitors.windowed_means(source(t, stamped(t), label), window=width, slide=slide, delay=DELAY), label)
-    return out.select(
+def windows(t, label, width, slide=None):
+    out = monitors.latest(monitors.windowed_means(source(t, stamped(t), label), window=width, slide=slide), label)
+    return monitors.with_closed(out, DELAY).select(
         "instrument_id", F.unix_timestamp("start").cast("double").alias("start"), F.unix_timestamp("end").cast("double").alias("end"),
-        "rounds", "quantity",
+        "rounds", "quantity", "is_closed",
     )
 
 
 @query("k02_tumbling_window_stream", with_views("ticks") + windows_sql("1 DAY", "1 DAY"))
 def k02(t):
-    return closed_windows(t, "tumbling", "1 day")
+    return windows(t, "tumbling", "1 day")
 
 
 @query("k02b_sliding_window_stream", with_views("ticks") + windows_sql("6 HOUR", "1 DAY"))
 def k02b(t):
-    return closed_windows(t, "sliding", "1 day", "6 hours")
+    return windows(t, "sliding", "1 day", "6 hours")
 
 
 @query("k01_append_only_stream", with_views("chain") + "SELECT chain_id, sequence, content_hash FROM chain")
@@ -61,6 +61,20 @@ def k08(t):
     return monitors.drain(monitors.deduplicated(source(t, doubled, "dedupe"), ["event_id"], DELAY), "dedupe").select("event_id", "instrument_id")
 
 
+@query("k08b_stream_left_out", with_views("ticks") + """
+SELECT event_id, 'conflict' AS reason FROM ticks WHERE event_id % 9 = 0""")
+def k08b(t):
+    rows = stamped(t).select("event_id", "instrument_id", "event_time")
+    altered = rows.filter("event_id % 9 = 0").withColumns({"instrument_id": F.lit("altered"), "event_time": F.col("event_time") + F.expr("INTERVAL 1 MINUTE")})
+    path, _ = monitors.landing(t.spark, rows, "versions")
+    altered.write.mode("append").parquet(path)
+    landed = t.spark.read.schema(rows.schema).parquet(path)
+    stream = monitors.read_landing(t.spark, path, rows.schema)
+    kept = monitors.drain(monitors.deduplicated(stream, ["event_id"], DELAY), "versions")
+    # Which version comes first is the stream's affair; the other one is told.
+    return monitors.left_out(landed, kept, ["event_id"], ["instrument_id"]).select("event_id", "reason")
+
+
 @query("k06_misplaced_records", with_views("ticks") + "SELECT event_id FROM ticks WHERE event_id % 12 = 0")
 def k06(t):
     day = F.date_format("event_time", "yyyy-MM-dd")

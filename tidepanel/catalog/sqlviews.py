@@ -58,8 +58,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     SELECT chain_id, event_id, kind, received_time_ns, payload, sequence, previous_hash,
       CASE WHEN event_id % 29 = 0 THEN sha256('tampered') ELSE true_hash END AS content_hash
     FROM (SELECT *, coalesce(lag(true_hash) OVER (PARTITION BY chain_id ORDER BY sequence), repeat('0', 64))
-            AS previous_hash FROM honest)
-    WHERE sequence % 17 <> 0"""),
+            AS previous_hash FROM honest)"""),
+    "broken_chain": (["chain"], "SELECT * FROM chain WHERE sequence % 17 <> 0"),
     "hour_bars": (["ticks"], f"""
     SELECT *, open_time_ns + {HOUR} + (trade_count % 3) * {SECOND} AS available_time_ns,
       instrument_id || ':' || open_time_ns AS source_id

@@ -150,11 +150,7 @@ class Tables:
 
     @cached_property
     def chain(self) -> DataFrame:
-        """A hash-linked record chain per user, with gaps and tampered rows.
-
-        Positions are assigned first and every 17th row is then removed; every
-        29th event records a hash its content does not have.
-        """
+        """A hash-linked record chain per user; every 29th event records a hash its content does not have."""
         rows = self.read("events").select(
             F.col("user_id").alias("chain_id"), "event_id", F.col("event_type").alias("kind"),
             timestamp_to_ns(F.col("ts")).alias("received_time_ns"),
@@ -171,7 +167,12 @@ class Tables:
         recorded = F.when(F.col("event_id") % 29 == 0, F.sha2(F.lit("tampered"), 256)).otherwise(
             F.col("true_hash")
         )
-        return linked.filter(F.col("sequence") % 17 != 0).withColumn("content_hash", recorded).drop("true_hash")
+        return linked.withColumn("content_hash", recorded).drop("true_hash")
+
+    @property
+    def broken_chain(self) -> DataFrame:
+        """The chain with every 17th position lost, for queries that look for gaps."""
+        return self.chain.filter(F.col("sequence") % 17 != 0)
 
     @cached_property
     def hour_bars(self) -> DataFrame:

@@ -149,7 +149,7 @@ def price_lines(
                 "scenario": F.col("cost.scenario"),
                 "gross": F.col("weight") * F.col("return"),
                 "turnover": change,
-                "trading_cost": change * side,
+                "turnover_cost": change * side,
                 "funding_cost": F.col("weight")
                 * (owed * F.col("cost.payment_multiplier") + earned * F.col("cost.receipt_multiplier")),
                 "forced_close_cost": F.when(
@@ -159,7 +159,7 @@ def price_lines(
         )
         .withColumn(
             "net",
-            F.col("gross") - F.col("trading_cost") - F.col("funding_cost") - F.col("forced_close_cost"),
+            F.col("gross") - F.col("turnover_cost") - F.col("funding_cost") - F.col("forced_close_cost"),
         )
         .drop("cost", "_pos", "_neg")
     )
@@ -171,7 +171,7 @@ def episodes(lines: DataFrame, book: Sequence[str]) -> DataFrame:
     return lines.groupBy(*book, "decision_ns", "scenario").agg(
         total("gross").alias("gross_return"),
         total("turnover").alias("turnover"),
-        total("trading_cost").alias("trading_cost"),
+        total("turnover_cost").alias("turnover_cost"),
         total("funding_cost").alias("funding_cost"),
         total("forced_close_cost").alias("forced_close_cost"),
         total("net").alias("net_return"),
@@ -196,7 +196,7 @@ def complete_grid(
     )
     filled = grid.join(episodes_df, [*on, "decision_ns", "member", "scenario"], "left")
     amounts = [
-        "gross_return", "turnover", "trading_cost", "funding_cost", "forced_close_cost",
+        "gross_return", "turnover", "turnover_cost", "funding_cost", "forced_close_cost",
         "net_return", "gross_exposure", "net_exposure",
     ]
     return filled.fillna(0.0, amounts).fillna(0, ["forced_close_count", "positions"])

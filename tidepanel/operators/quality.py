@@ -26,9 +26,18 @@ def bar_reasons() -> Column:
     )
 
 
+def conflicts(rows: DataFrame, keys: Sequence[str], content: Sequence[str]) -> DataFrame:
+    """Every version, with its number of copies, of keys that have several versions: what `admit` does not pass on."""
+    versions = rows.groupBy(*keys, *content).agg(F.count("*").alias("copies"))
+    several = versions.groupBy(*keys).agg(F.count("*").alias("versions")).filter("versions > 1")
+    return versions.join(several, list(keys))
+
+
 def admit(rows: DataFrame, keys: Sequence[str], content: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Distinct rows by key, and a report of identical and conflicting duplicates.
 
+    A key with several versions is not admitted; `conflicts` returns those.
+
     Counting by key and content first collapses copies on the map side, so a
     heavily duplicated key never travels as raw rows.
     """
@@ -98,15 +107,13 @@ def backfill(missing: DataFrame, secondary: DataFrame, keys: Sequence[str]) -> D
     ).drop("_found")
 
 
-def unexplained_gaps(rollup: DataFrame, absent: DataFrame, keys: Sequence[str], limit: int, names: int) -> DataFrame:
-    """Instruments whose missing days, less those proven absent, exceed `limit`."""
+def unexplained_gaps(rollup: DataFrame, absent: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """All instruments whose missing days, less those proven absent, exceed `limit`."""
     proven = absent.groupBy(*keys).agg(F.count("*").alias("_proven"))
     return (
         rollup.join(proven, list(keys), "left")
         .withColumn("unexplained", F.col("missing_days") - F.coalesce("_proven", F.lit(0)))
         .filter(F.col("unexplained") > limit)
-        .orderBy(F.desc("unexplained"), *keys)
-        .limit(names)
         .select(*keys, "missing_days", "unexplained")
     )
 

@@ -20,7 +20,7 @@ PROBABILITY_CLIP = 1e-15
 
 @dataclass(frozen=True)
 class SignalCost:
-    """A trading-cost scenario for single-position signals, in basis points."""
+    """A turnover-cost scenario for single-position signals, in basis points."""
 
     scenario: str
     fee_bps: float

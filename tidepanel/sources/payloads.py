@@ -25,6 +25,14 @@ def rejected(parsed: Column, raw: Column) -> Column:
     return parsed.isNull() & raw.isNotNull()
 
 
+def unparsed(*names: str) -> Column:
+    """Whether a field that every row of its kind carries is missing or did not parse."""
+    bad = F.lit(False)
+    for name in names:
+        bad = bad | F.col(name).isNull()
+    return bad
+
+
 def array_candles(
     pages: DataFrame, payload: str, *, interval_ns: int, availability_lag_ns: int, keep: list[str]
 ) -> DataFrame:
@@ -84,10 +92,7 @@ def kline_candles(
 
 
 def _with_malformed(rows: DataFrame) -> DataFrame:
-    needed = ("open_time_ns", "open", "high", "low", "close", "base_volume", "quote_volume")
-    absent = F.lit(False)
-    for name in needed:
-        absent = absent | F.col(name).isNull()
+    absent = unparsed("open_time_ns", "open", "high", "low", "close", "base_volume", "quote_volume")
     return rows.withColumn("malformed", F.coalesce("_bad", F.lit(True)) | absent).drop("_bad")
 
 
@@ -106,8 +111,8 @@ def kline_csv(lines: DataFrame, line: str, keep: list[str]) -> DataFrame:
             (closed + F.lit(1)).alias("available_time_ns"),
             *[at(i, PRICE).alias(n) for i, n in enumerate(("open", "high", "low", "close"), 1)],
             at(5, AMOUNT).alias("base_volume"), at(7, AMOUNT).alias("quote_volume"),
-            at(8, "bigint").alias("trade_count"), (F.size("_f") < 9).alias("malformed"),
-        )
+            at(8, "bigint").alias("trade_count"), (F.size("_f") < 9).alias("_bad"),
+        ).transform(_with_malformed).withColumn("malformed", F.col("malformed") | unparsed("close_time_ns", "trade_count"))
     )
 
 
@@ -120,8 +125,7 @@ def funding_csv(lines: DataFrame, line: str, keep: list[str]) -> DataFrame:
         .select(
             *keep, (at(0, "bigint") * F.lit(1_000_000)).alias("calc_time_ns"),
             at(1, "bigint").alias("funding_interval_hours"), at(2, "decimal(20,10)").alias("rate"),
-            (F.size("_f") < 3).alias("malformed"),
-        )
+        ).withColumn("malformed", unparsed("calc_time_ns", "funding_interval_hours", "rate"))
     )
 
 
@@ -144,7 +148,11 @@ def funding_pages(pages: DataFrame, payload: str, *, row_limit: int, keep: list[
 
 
 def trades(lines: DataFrame, line: str, *, availability_lag_ns: int, downloaded_at_ns: int) -> DataFrame:
-    """Trade JSON lines with string fields and an explicit taker side."""
+    """Trade JSON lines with string fields and an explicit taker side.
+
+    The hash is that of the whole line, so copies that differ in any field are
+    versions. `malformed` marks a line with a field missing or not parsed.
+    """
     item = F.from_json(line, "struct<instId string, tradeId string, px string, sz string, side string, ts string>")
     stamp = _number(F.col("_t.ts"), "bigint") * F.lit(1_000_000)
     return lines.withColumn("_t", item).select(
@@ -152,21 +160,22 @@ def trades(lines: DataFrame, line: str, *, availability_lag_ns: int, downloaded_
         stamp.alias("event_time_ns"), (stamp + F.lit(availability_lag_ns)).alias("available_time_ns"),
         F.lit(downloaded_at_ns).alias("received_time_ns"), _number(F.col("_t.px"), PRICE).alias("price"),
         _number(F.col("_t.sz"), AMOUNT).alias("quantity"), F.col("_t.side").alias("side"),
-        F.sha2(F.to_json("_t"), 256).alias("source_payload_hash"),
-    )
+        F.sha2(F.col(line), 256).alias("source_payload_hash"),
+    ).withColumn("malformed", unparsed("instrument_id", "trade_id", "event_time_ns", "price", "quantity")
+                 | ~F.coalesce(F.col("side").isin("buy", "sell"), F.lit(False)))
 
 
 def aggregate_trades(lines: DataFrame, line: str, *, availability_lag_ns: int, keep: list[str]) -> DataFrame:
-    """Aggregate-trade JSON lines; the buyer-is-maker flag gives the taker side."""
+    """Aggregate-trade JSON lines; the buyer-is-maker flag gives the taker side. Hash and `malformed` as for trades."""
     item = F.from_json(line, "struct<a bigint, p string, q string, T bigint, m boolean>")
     stamp = F.col("_t.T") * F.lit(1_000_000)
     return lines.withColumn("_t", item).select(
         *keep, F.col("_t.a").alias("sequence"), stamp.alias("event_time_ns"),
         (stamp + F.lit(availability_lag_ns)).alias("available_time_ns"),
         _number(F.col("_t.p"), PRICE).alias("price"), _number(F.col("_t.q"), AMOUNT).alias("quantity"),
-        F.when(F.col("_t.m"), "sell").otherwise("buy").alias("side"),
-        F.sha2(F.to_json("_t"), 256).alias("source_payload_hash"),
-    )
+        F.when(F.col("_t.m"), "sell").when(~F.col("_t.m"), "buy").alias("side"),
+        F.sha2(F.col(line), 256).alias("source_payload_hash"),
+    ).withColumn("malformed", unparsed("sequence", "event_time_ns", "price", "quantity", "side"))
 
 
 _LEVELS = "array<array<string>>"
@@ -182,6 +191,14 @@ def _levels(raw: Column) -> Column:
     )
 
 
+def _bad_levels(raw: Column) -> Column:
+    """Whether a side is missing, or a level of it is not two numbers, the first positive and the second not negative."""
+    price = lambda l: F.get(l, F.lit(0)).try_cast("double")
+    quantity = lambda l: F.get(l, F.lit(1)).try_cast("double")
+    broken = F.exists(raw, lambda l: ~F.coalesce((price(l) > 0) & (quantity(l) >= 0), F.lit(False)))
+    return F.coalesce(broken, F.lit(True))
+
+
 def channel_depth(messages: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """Snapshot / update messages with sequence and previous sequence.
 
@@ -202,7 +219,8 @@ def channel_depth(messages: DataFrame, payload: str, keep: list[str]) -> DataFra
         item["seqId"].alias("sequence"), F.when(~snapshot, item["prevSeqId"]).alias("previous_sequence"),
         (item["ts"].try_cast("bigint") * F.lit(1_000_000)).alias("event_time_ns"),
         _levels(item["bids"]).alias("bids"), _levels(item["asks"]).alias("asks"),
-        F.coalesce(~valid, F.lit(True)).alias("malformed"),
+        (F.coalesce(~valid, F.lit(True)) | item["seqId"].isNull() | item["ts"].try_cast("bigint").isNull()
+         | _bad_levels(item["bids"]) | _bad_levels(item["asks"])).alias("malformed"),
     )
 
 
@@ -212,7 +230,9 @@ def rest_depth(messages: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     return messages.withColumn("_m", F.from_json(payload, shape)).select(
         *keep, F.col("_m.lastUpdateId").alias("sequence"), F.lit(None).cast("bigint").alias("previous_sequence"),
         (F.col("_m.T") * F.lit(1_000_000)).alias("event_time_ns"), _levels(F.col("_m.bids")).alias("bids"),
-        _levels(F.col("_m.asks")).alias("asks"), F.col("_m.lastUpdateId").isNull().alias("malformed"),
+        _levels(F.col("_m.asks")).alias("asks"),
+        (F.col("_m.lastUpdateId").isNull() | F.col("_m.T").isNull() | _bad_levels(F.col("_m.bids"))
+         | _bad_levels(F.col("_m.asks"))).alias("malformed"),
     )
 
 
@@ -229,7 +249,8 @@ def diff_depth(messages: DataFrame, payload: str, keep: list[str]) -> DataFrame:
         *keep, F.col("_m.s").alias("instrument_id"), final.alias("sequence"),
         F.col("_m.pu").alias("previous_sequence"), (F.col("_m.T") * F.lit(1_000_000)).alias("event_time_ns"),
         _levels(F.col("_m.b")).alias("bids"), _levels(F.col("_m.a")).alias("asks"),
-        F.coalesce(~valid, F.lit(True)).alias("malformed"),
+        (F.coalesce(~valid, F.lit(True)) | F.col("_m.T").isNull() | _bad_levels(F.col("_m.b"))
+         | _bad_levels(F.col("_m.a"))).alias("malformed"),
     )
 
 

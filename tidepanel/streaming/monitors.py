@@ -41,21 +41,66 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def windowed_means(stream: DataFrame, *, window: str, slide: str | None, delay: str) -> DataFrame:
-    """Event-time window means per instrument; a window is emitted once it is closed."""
+def latest(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream whose result is complete after every batch, and read the last one.
+
+    Each batch replaces a folder of its own, so a batch that is run again after
+    a failure leaves the same rows.
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark, label)
+    last: list[int] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch-{batch}")
+        last[:] = [batch]
+
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{out}-checkpoint")
+    writer.trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch-{last[0]}")
+
+
+def windowed_means(stream: DataFrame, *, window: str, slide: str | None) -> DataFrame:
+    """Event-time window means per instrument, open windows and late records included.
+
+    For `latest`: the state is one row per window and instrument, bounded by the
+    calendar, so no watermark has to discard a record.
+    """
     span = F.window("event_time", window, slide) if slide else F.window("event_time", window)
     return (
-        stream.withWatermark("event_time", delay).groupBy(span.alias("w"), "instrument_id")
-        .agg(F.count("*").alias("rounds"), F.sum("quantity").alias("quantity"), F.max("price").alias("high"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "instrument_id", "rounds", "quantity", "high")
+        stream.groupBy(span.alias("w"), "instrument_id")
+        .agg(F.count("*").alias("rounds"), F.sum("quantity").alias("quantity"), F.max("price").alias("high"),
+             F.max("event_time").alias("newest"))
+        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "instrument_id", "rounds", "quantity", "high", "newest")
     )
 
 
+def with_closed(windows: DataFrame, delay: str) -> DataFrame:
+    """`is_closed`: whether the newest record, less the delay, is past the window."""
+    newest = windows.agg(F.max("newest").alias("n"))
+    return windows.withColumn("is_closed", F.col("end") <= newest.select(F.col("n") - F.expr(f"INTERVAL {delay}")).scalar())
+
+
 def deduplicated(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """First copy of each key within the watermark."""
     return stream.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def left_out(landed: DataFrame, kept: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
+    """What a deduplicated stream did not pass on, with the reason.
+
+    `late`: a key that the watermark discarded altogether; `conflict`: another
+    version of a key that was kept. Identical copies are no loss.
+    """
+    versions = landed.select(*keys, *content).distinct()
+    held = kept.select(*keys, F.struct(*content).alias("_kept"))
+    return versions.join(held, keys, "left").filter(~F.struct(*content).eqNullSafe(F.col("_kept"))).select(
+        *keys, *content, F.when(F.col("_kept").isNull(), "late").otherwise("conflict").alias("reason")
+    )
+
+
 def misplaced(stream: DataFrame) -> DataFrame:
     """Records whose day folder is not the day they were received on."""
     return stream.filter(F.date_format("event_time", "yyyy-MM-dd") != F.col("day"))
