@@ -415,29 +415,38 @@ def p11(t):
     return rounded(rounded(out, 8, ["lower"]), 9, ["base_total", "adverse_total", "p_value", "q_value"])
 
 
-@query("d15_candidate_decision", with_views("hour_bars", more=BAR_FOLD_SQL) + """
-SELECT fold_index, instrument_id, candidate, CASE WHEN candidate = 'no_trade' THEN 'contextual_baseline'
-    WHEN trade_count < 20 THEN 'insufficient_evidence' WHEN base_total <= 0 OR coalesce(lower, 0) <= 0 OR adverse_total <= 0 THEN 'rejected'
+CANDIDATE_SQL = f"""
+SELECT {{group}}candidate, CASE WHEN candidate = 'no_trade' THEN 'contextual_baseline'
+    WHEN fold_count < {GATES.fold_floor} OR trade_count < {GATES.trade_floor} THEN 'insufficient_evidence'
+    WHEN base_total <= 0 OR coalesce(lower, 0) <= 0 OR adverse_total <= 0 THEN 'rejected'
     ELSE 'eligible_for_further_review' END AS decision_status,
-  concat_ws(',', CASE WHEN candidate <> 'no_trade' AND trade_count < 20 THEN 'EPISODE_FLOOR_NOT_MET' END,
+  concat_ws(',', CASE WHEN candidate <> 'no_trade' AND fold_count < {GATES.fold_floor} THEN 'FOLD_FLOOR_NOT_MET' END,
+    CASE WHEN candidate <> 'no_trade' AND trade_count < {GATES.trade_floor} THEN 'EPISODE_FLOOR_NOT_MET' END,
     CASE WHEN candidate <> 'no_trade' AND base_total <= 0 THEN 'BASE_NET_NON_POSITIVE' END,
     CASE WHEN candidate <> 'no_trade' AND coalesce(lower, 0) <= 0 THEN 'BASE_LOWER_BOUND_NON_POSITIVE' END,
     CASE WHEN candidate <> 'no_trade' AND adverse_total <= 0 THEN 'ADVERSE_NET_NON_POSITIVE' END,
-    CASE WHEN candidate = 'no_trade' THEN 'NON_PROMOTABLE_CONTEXT' END) AS reason_codes FROM evaluated""")
+    CASE WHEN candidate = 'no_trade' THEN 'NON_PROMOTABLE_CONTEXT' END) AS reason_codes FROM {{rows}}"""
+
+
+@query("d15_candidate_decision", with_views("hour_bars", more={**BAR_FOLD_SQL, "whole": "SELECT e.*, (SELECT max(fold_count) FROM bounds) AS fold_count FROM evaluated e"})
+       + CANDIDATE_SQL.format(group="fold_index, instrument_id, ", rows="whole"))
 def d15(t):
-    evidence = decisions.reasons([(F.col("trade_count") < 20, "EPISODE_FLOOR_NOT_MET")])
-    economic = decisions.reasons([
-        (F.col("base_total") <= 0, "BASE_NET_NON_POSITIVE"),
-        (F.coalesce("lower", F.lit(0.0)) <= 0, "BASE_LOWER_BOUND_NON_POSITIVE"),
-        (F.col("adverse_total") <= 0, "ADVERSE_NET_NON_POSITIVE"),
-    ])
-    context = F.col("candidate") == "no_trade"
-    codes = F.when(context, F.array(F.lit("NON_PROMOTABLE_CONTEXT"))).otherwise(F.concat(evidence, economic))
-    return bar_fold_evaluation(t).select(
-        "fold_index", "instrument_id", "candidate",
-        F.when(context, "contextual_baseline").otherwise(decisions.status(evidence, economic)).alias("decision_status"),
-        F.array_join(codes, ",").alias("reason_codes"),
-    )
+    _, bounds = bar_fold_samples(t, bar_samples(t))
+    folds = bounds.agg(F.max("fold_count").alias("n")).scalar()
+    rows = bar_fold_evaluation(t).withColumn("fold_count", folds)
+    status, codes = decisions.candidate_decision(GATES, F.col("fold_count"))
+    return rows.select("fold_index", "instrument_id", "candidate", status.alias("decision_status"), F.array_join(codes, ",").alias("reason_codes"))
+
+
+@query("d15b_candidate_decision_by_fold", with_views("hour_bars", more={**BAR_FOLD_SQL, "single": "SELECT candidate, fold_index, count(*) AS fold_count, sum(trade_count) AS trade_count, sum(base_total) AS base_total, min(lower) AS lower, sum(adverse_total) AS adverse_total FROM (SELECT * FROM evaluated) GROUP BY ALL",
+    "counted": "SELECT * REPLACE (1 AS fold_count) FROM single"}) + CANDIDATE_SQL.format(group="fold_index, ", rows="counted"))
+def d15b(t):
+    """One fold by itself, over all instruments: the fold floor is never met."""
+    rows = bar_fold_evaluation(t).groupBy("fold_index", "candidate").agg(
+        F.sum("trade_count").alias("trade_count"), F.sum("base_total").alias("base_total"), F.min("lower").alias("lower"),
+        F.sum("adverse_total").alias("adverse_total"))
+    status, codes = decisions.candidate_decision(GATES, F.lit(1))
+    return rows.select("fold_index", "candidate", status.alias("decision_status"), F.array_join(codes, ",").alias("reason_codes"))
 
 
 AGGREGATE_SQL = {

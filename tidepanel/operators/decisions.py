@@ -14,9 +14,12 @@ REJECTED = "rejected"
 INSUFFICIENT = "insufficient_evidence"
 
 
+# The floors and limits of the decision rules.
 @dataclass(frozen=True)
 class GateRules:
     episode_floor: int = 50
+    trade_floor: int = 200
+    fold_floor: int = 3
     false_discovery_gate: float = 0.10
     concentration_limit: float = 0.40
     positive_fold_numerator: int = 2
@@ -46,6 +49,22 @@ def status(evidence: Column, economic: Column) -> Column:
     )
 
 
+def candidate_decision(rules: GateRules, fold_count: Column) -> tuple[Column, Column]:
+    """Status and reason codes of one candidate of one fold evaluation, over a row of its totals and bounds."""
+    evidence = reasons([
+        (fold_count < rules.fold_floor, "FOLD_FLOOR_NOT_MET"),
+        (F.col("trade_count") < rules.trade_floor, "EPISODE_FLOOR_NOT_MET"),
+    ])
+    economic = reasons([
+        (F.col("base_total") <= 0, "BASE_NET_NON_POSITIVE"),
+        (F.coalesce("lower", F.lit(0.0)) <= 0, "BASE_LOWER_BOUND_NON_POSITIVE"),
+        (F.col("adverse_total") <= 0, "ADVERSE_NET_NON_POSITIVE"),
+    ])
+    context = F.col("candidate") == "no_trade"
+    codes = F.when(context, F.array(F.lit("NON_PROMOTABLE_CONTEXT"))).otherwise(F.concat(evidence, economic))
+    return F.when(context, "contextual_baseline").otherwise(status(evidence, economic)), codes
+
+
 def member_decisions(metrics: DataFrame, rules: GateRules) -> DataFrame:
     """Every gate of one family member, over a row of its pooled metrics."""
     c = F.col

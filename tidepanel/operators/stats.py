@@ -126,7 +126,7 @@ def sharpe(series: DataFrame, group: Sequence[str], value: str = "net_return", p
 
 
 def deflated_sharpe(series: DataFrame, family: Sequence[str], trial: str, value: str = "net_return") -> DataFrame:
-    """Probability that each trial's Sharpe beats the best expected from chance.
+    """Probability that each trial's Sharpe beats the best expected from chance; NULL with a `reason` where it has none.
 
     Moments are Spark aggregates; only the normal distribution itself, which
     Spark lacks, is evaluated in a small vectorised UDF.
@@ -136,11 +136,16 @@ def deflated_sharpe(series: DataFrame, family: Sequence[str], trial: str, value:
         F.try_divide(F.avg(value), F.stddev_samp(value)).alias("sharpe"),
         F.skewness(value).alias("skew"),
         (F.kurtosis(value) + 3).alias("kurt"),
-    ).filter(F.col("sharpe").isNotNull() & (F.col("n") >= 3))
-    cell = W.partitionBy(*family)
+    )
+    # Trials that cannot be judged stay, with the reason and without a probability.
+    usable = F.col("sharpe").isNotNull() & (F.col("n") >= 3)
+    moments = moments.withColumn("_fit", usable)
+    cell = W.partitionBy(*family, "_fit")
     spread = moments.withColumns(
         {"trials": F.count("*").over(cell), "trial_deviation": F.stddev_samp("sharpe").over(cell)}
-    ).filter(F.col("trials") >= 2)
+    )
+    spread = spread.withColumn("reason", F.when(F.col("n") < 3, "TOO_FEW_OBSERVATIONS").when(F.col("sharpe").isNull(), "NO_VARIATION")
+                               .when(F.col("trials") < 2, "TOO_FEW_TRIALS"))
 
     @F.pandas_udf("double")
     def probability(
@@ -158,10 +163,12 @@ def deflated_sharpe(series: DataFrame, family: Sequence[str], trial: str, value:
 
         return pd.Series([one(*row) for row in zip(n, observed, skew, kurt, trials, deviation, strict=True)])
 
-    return spread.select(
+    judged = spread.filter(F.col("reason").isNull())
+    return judged.select(
         *family, trial, "n", "sharpe",
-        probability("n", "sharpe", "skew", "kurt", "trials", "trial_deviation").alias("deflated_sharpe"),
-    )
+        probability("n", "sharpe", "skew", "kurt", "trials", "trial_deviation").alias("deflated_sharpe"), "reason",
+    ).unionByName(spread.filter(F.col("reason").isNotNull()).select(
+        *family, trial, "n", "sharpe", F.lit(None).cast("double").alias("deflated_sharpe"), "reason"))
 
 
 def block_start(seed: int, repetition: Column, block: Column, n: Column) -> Column:
@@ -218,7 +225,8 @@ def bootstrap_test(
     """Percentile interval of the mean and a one-sided p-value under a centred null.
 
     Centring shifts every resampled mean by the observed one, so the null
-    distribution is read off the same draws.
+    distribution is read off the same draws. A series shorter than a block has
+    its mean, but neither interval nor p-value.
     """
     means = bootstrap_means(
         series, group, order, block=block, repetitions=repetitions, seed=seed, value=value
@@ -229,11 +237,13 @@ def bootstrap_test(
     tail = (1 - confidence) / 2
     low, high = int(round(tail, 12) * (repetitions - 1)), int(round(1 - tail, 12) * (repetitions - 1))
     beyond = F.count_if(F.col("mean") - F.col("observed_mean") >= F.col("observed_mean"))
-    return ranked.groupBy(*group, "n", "observed_mean").agg(
+    tested = ranked.groupBy(*group, "n", "observed_mean").agg(
         F.max(F.when(F.col("_rank") == low, F.col("mean"))).alias("lower"),
         F.max(F.when(F.col("_rank") == high, F.col("mean"))).alias("upper"),
         ((beyond + 1) / F.lit(repetitions + 1)).alias("p_value"),
     )
+    short = series.groupBy(*group).agg(F.count("*").alias("n"), F.avg(value).alias("observed_mean")).filter(F.col("n") < block)
+    return tested.unionByName(short, allowMissingColumns=True)
 
 
 def benjamini_hochberg(tests: DataFrame, family: Sequence[str], name: str, p_value: str = "p_value") -> DataFrame:
