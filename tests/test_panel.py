@@ -4,9 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.functions import book as book_functions
 from tidepanel.functions.timefns import DAY_NS, WEEK_NS
-from tidepanel.operators import accounting, models, vectors, windows
+from tidepanel.operators import accounting, microstructure, models, vectors, windows
 from tidepanel.streaming.monitors import replay_book
 
 
@@ -58,11 +57,19 @@ def test_two_contract_episode(spark):
     assert first.net_return == pytest.approx(0.075 - 0.002 - 0.001)
 
 
-def test_walk_notional_fills_the_last_level_partly(spark):
-    df = spark.sql("SELECT array(named_struct('price', 100D, 'quantity', 1D), named_struct('price', 110D, 'quantity', 1D)) AS l")
-    fill = lambda n: df.select(book_functions.walk_notional(F.col("l"), n)).first()[0]
-    assert fill(100) == 100.0 and fill(155) == pytest.approx(155 / 1.5) and fill(500) is None
-    assert df.select(book_functions.book_reason(F.col("l"), F.col("l"))).first()[0] == "bids must be sorted best first"
+def test_books_fill_the_last_level_partly_and_name_their_defect(spark):
+    columns = "book_id long, instrument_id string, market string, tier int, received_time_ns long, side string, level int, price double, quantity double"
+    book = lambda i, bids, asks: [
+        (i, "a", "perp", 1, 0, side, n + 1, p, 1.0) for side, prices in (("bid", bids), ("ask", asks)) for n, p in enumerate(prices)]
+    rows = [*book(1, [99.0, 98.0], [100.0, 110.0]), *book(2, [98.0, 99.0], [100.0]), *book(3, [101.0], [100.0]), *book(4, [], [100.0]),
+            *book(5, [99.0], [100.0, 0.0])]
+    levels = spark.createDataFrame(rows, columns)
+    fills = {r.notional: r.vwap for r in microstructure.fill_prices(levels, (100.0, 155.0, 500.0)).filter("book_id = 1 AND side = 'ask'").collect()}
+    assert fills[100.0] == 100.0 and fills[155.0] == pytest.approx(155 / 1.5) and 500.0 not in fills
+    reasons = {r.book_id: r.reason for r in microstructure.validate_books(levels).collect()}
+    assert reasons == {1: None, 2: "BIDS_UNSORTED", 3: "BOOK_CROSSED", 4: "BOOK_EMPTY", 5: "ASKS_NOT_POSITIVE"}
+    seen = {r.notional: r.slippage_bps for r in microstructure.depth_observations(levels, (100.0, 500.0)).collect()}
+    assert set(seen) == {100.0, 500.0} and seen[500.0] is None and seen[100.0] > 0
 
 
 def test_book_needs_a_snapshot_after_a_gap():

@@ -21,7 +21,7 @@ BOOK_SQL = {
       count_if(side = 'ask') AS n, sum(CASE WHEN side = 'bid' THEN px * quantity END) AS bn, sum(CASE WHEN side = 'ask' THEN px * quantity END) AS an
     FROM sides GROUP BY ALL""",
     "valid": """
-    SELECT *, CASE WHEN book_id % 23 = 0 AND n > 1 THEN 'bids must be sorted best first' WHEN best_bid >= best_ask THEN 'crossed book' END AS reason,
+    SELECT *, CASE WHEN book_id % 23 = 0 AND n > 1 THEN 'BIDS_UNSORTED' WHEN best_bid >= best_ask THEN 'BOOK_CROSSED' END AS reason,
       (best_bid + best_ask) / 2 AS mid FROM tops""",
     "cums": """
     SELECT l_orderkey AS book_id, side, level, px, quantity, sum(px * quantity) OVER w AS cq, sum(quantity) OVER w AS cb
@@ -39,56 +39,48 @@ BOOK_SQL = {
 }
 
 
-def thousandths(value):
-    """A price in whole thousandths. The odd offset keeps exact decimal prices off
-    the rounding boundary, where two engines may fall on different sides."""
-    return F.floor(value * 1_000 + 0.123456)
+def six(value):
+    """Rounded to six places by way of a decimal, so that an exact half rounds alike in every engine."""
+    return F.round(value.cast("decimal(28,9)"), 6).cast("double")
 
 
-def thousandths_sql(value: str) -> str:
-    return f"CAST(floor({value} * 1000 + 0.123456::DOUBLE) AS BIGINT)"
-
-
-def levels(t):
-    """The book levels, written once: validation and filling both read them."""
-    return report(t, "levels", lambda: t.book_levels)
+def six_sql(value: str) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(28,9)), 6) AS DOUBLE)"
 
 
 def observations(t):
-    return report(t, "depth", lambda: micro.depth_observations(levels(t), NOTIONALS))
+    return report(t, "depth", lambda: micro.depth_observations(t.book_levels, NOTIONALS))
 
 
-@query("h02_walk_notional", with_views("books", more=BOOK_SQL) + f"SELECT book_id, side, notional, {thousandths_sql('vwap')} AS vwap FROM fills")
+@query("h02_walk_notional", with_views("books", more=BOOK_SQL) + f"SELECT book_id, side, notional, {six_sql('vwap')} AS vwap FROM fills")
 def h02(t):
-    return micro.fill_prices(levels(t), NOTIONALS).withColumn("vwap", thousandths(F.col("vwap")))
+    return micro.fill_prices(t.book_levels, NOTIONALS).withColumn("vwap", six(F.col("vwap")))
 
 
 @query("h03_depth_observation", with_views("books", more=BOOK_SQL) + f"""
-SELECT book_id, instrument_id, notional, {thousandths_sql('mid')} AS mid, {thousandths_sql('(best_ask - best_bid) / mid * 10000')} AS spread_bps,
-  {thousandths_sql('slippage_bps')} AS slippage_bps FROM obs""")
+SELECT book_id, instrument_id, notional, {six_sql('mid')} AS mid, round_even((best_ask - best_bid) / mid * 10000, 6) AS spread_bps, slippage_bps FROM obs""")
 def h03(t):
-    return observations(t).select(
-        "book_id", "instrument_id", "notional", *[thousandths(F.col(c)).alias(c) for c in ("mid", "spread_bps", "slippage_bps")]
-    )
+    out = observations(t).select("book_id", "instrument_id", "notional", "mid", "spread_bps", "slippage_bps")
+    return out.withColumn("mid", six(F.col("mid")))
 
 
 @query("h04_book_validity", with_views("books", more=BOOK_SQL) + "SELECT book_id, reason FROM valid")
 def h04(t):
-    return micro.validate_books(levels(t)).select("book_id", "reason")
+    return micro.validate_books(t.book_levels).select("book_id", "reason")
 
 
 @query("h05_displayed_notional", with_views("books", more=BOOK_SQL) + """
-SELECT book_id, CAST(floor(round(least(bn, an), 2) + 0.123456::DOUBLE) AS BIGINT) AS displayed_notional FROM valid WHERE reason IS NULL""")
+SELECT book_id, round_even(least(bn, an), 2) AS displayed_notional FROM valid WHERE reason IS NULL""")
 def h05(t):
-    out = micro.validate_books(levels(t)).filter("reason IS NULL")
-    return out.select("book_id", F.floor(F.col("displayed_notional") + 0.123456).alias("displayed_notional"))
+    out = micro.validate_books(t.book_levels).filter("reason IS NULL")
+    return out.select("book_id", "displayed_notional")
 
 
 @query("h06_basis_and_spread", with_views("books", more=BOOK_SQL) + """
 SELECT instrument_id, market, round(avg((best_ask - best_bid) / mid * 10000), 3) AS mean_spread_bps,
   round(avg((best_ask - mid) / mid * 10000), 3) AS mean_basis_bps FROM valid WHERE reason IS NULL GROUP BY ALL""")
 def h06(t):
-    books = micro.validate_books(levels(t)).filter("reason IS NULL")
+    books = micro.validate_books(t.book_levels).filter("reason IS NULL")
     out = books.groupBy("instrument_id", "market").agg(
         F.avg("spread_bps").alias("mean_spread_bps"),
         F.avg(F.bround((F.col("best_ask") - F.col("mid")) / F.col("mid") * 10_000.0, 6)).alias("mean_basis_bps"),
@@ -97,14 +89,14 @@ def h06(t):
 
 
 @query("h13_top_of_book", with_views("books", more=BOOK_SQL) + f"""
-SELECT l_orderkey AS book_id, {thousandths_sql("max(CASE WHEN side = 'bid' THEN px END)")} AS best_bid,
-  {thousandths_sql("min(CASE WHEN side = 'ask' THEN px END)")} AS best_ask, arg_max(CASE WHEN side = 'bid' THEN quantity END, CASE WHEN side = 'bid' THEN px END) AS bid_quantity FROM sides GROUP BY l_orderkey""")
+SELECT l_orderkey AS book_id, {six_sql("max(CASE WHEN side = 'bid' THEN px END)")} AS best_bid,
+  {six_sql("min(CASE WHEN side = 'ask' THEN px END)")} AS best_ask, arg_max(CASE WHEN side = 'bid' THEN quantity END, CASE WHEN side = 'bid' THEN px END) AS bid_quantity FROM sides GROUP BY l_orderkey""")
 def h13(t):
     bid, ask = F.when(F.col("side") == "bid", F.col("price")), F.when(F.col("side") == "ask", F.col("price"))
-    out = levels(t).groupBy("book_id").agg(
+    out = t.book_levels.groupBy("book_id").agg(
         F.max(bid).alias("best_bid"), F.min(ask).alias("best_ask"), F.max_by("quantity", bid).alias("bid_quantity")
     )
-    return out.withColumns({c: thousandths(F.col(c)) for c in ("best_bid", "best_ask")})
+    return out.withColumns({c: six(F.col(c)) for c in ("best_bid", "best_ask")})
 
 
 LIMITS = dict(minimum=50, minimum_span_ns=DAY_NS, eligibility_notional=5_000.0)

@@ -107,15 +107,18 @@ class Tables:
         """One order book per order, a row per level; bids mirror the asks below them.
 
         Every 23rd order's bids arrive worst first, and every 29th order's are
-        lifted above its asks, so validation has something to refuse. Books stay
-        in long form: an order's depth is not bounded, so it is never one array.
+        lifted above its asks, so validation has something to refuse. A book is
+        bounded by the depth a venue sends, so one shuffle by book serves the
+        levels here and everything measured on them.
         """
         level = self.read("lineitem").select(
             "l_orderkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("ask"), "l_quantity"
-        ).groupBy("l_orderkey", "ask").agg(F.sum("l_quantity").alias("quantity"))
-        coarse = F.floor(F.col("ask") / F.lit(32.0))
-        ranked = skewsafe.with_ordinal(level, ["l_orderkey"], ["ask"], coarse, "level")
-        whole = level.groupBy("l_orderkey").agg(F.min("ask").alias("best"), F.count("*").alias("levels"))
+        ).repartition("l_orderkey").groupBy("l_orderkey", "ask").agg(F.sum("l_quantity").alias("quantity"))
+        book = W.partitionBy("l_orderkey")
+        ranked = level.withColumns({
+            "level": F.row_number().over(book.orderBy("ask")).cast("long"),
+            "best": F.min("ask").over(book), "levels": F.count("*").over(book),
+        })
         key = F.col("l_orderkey")
         lift = F.when(key % 29 == 0, 1.5).otherwise(0.999)
         bid_level = F.when(key % 23 == 0, F.col("levels") + 1 - F.col("level")).otherwise(F.col("level"))
@@ -124,7 +127,7 @@ class Tables:
                      (lift * F.col("best") * F.col("best") / F.col("ask")).alias("price")),
             F.struct(F.lit("ask").alias("side"), F.col("level"), F.col("ask").alias("price")),
         )
-        return ranked.join(whole, "l_orderkey").withColumn("_side", F.explode(sides)).select(
+        return ranked.withColumn("_side", F.explode(sides)).select(
             key.alias("book_id"),
             F.concat(F.lit("I"), F.lpad((key % 12).cast("string"), 2, "0")).alias("instrument_id"),
             F.when(key % 2 == 0, "perp").otherwise("spot").alias("market"),

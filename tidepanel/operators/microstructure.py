@@ -5,48 +5,60 @@ from __future__ import annotations
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.timefns import int_div
 from tidepanel.operators import skewsafe
 
-LEVEL_BUCKET = 4_096
 TIER_MINIMUM_CONTRIBUTORS = 4
 QUANTILES = {"p50": Decimal("0.50"), "p90": Decimal("0.90"), "p99": Decimal("0.99")}
+# The ranks measured in each tier.
 TIER_ONE_RANKS = tuple(range(1, 9))
 TIER_TWO_RANKS = (9, 12, 15, 19, 23, 27, 31, 35)
 
 
-def validate_books(levels: DataFrame) -> DataFrame:
-    """One row per book: the reason it is unusable (NULL when valid), and its tops.
+def _checked(levels: DataFrame) -> DataFrame:
+    """Levels with the price of the better neighbour on their side; rows stay with their book."""
+    inside = W.partitionBy("book_id").orderBy("side", "level")
+    same = F.lag("side").over(inside) == F.col("side")
+    better = F.when(same, F.lag("price").over(inside))
+    worse = F.when(F.col("side") == "bid", F.col("price") >= better).otherwise(F.col("price") <= better)
+    return levels.withColumn("_unsorted", F.coalesce(worse, F.lit(False)))
 
-    Adjacent levels meet through an equi-join on the level number, so a deep
-    book is never sorted or collected as one group.
-    """
-    better = levels.select("book_id", "side", (F.col("level") + 1).alias("level"), F.col("price").alias("_better"))
-    worse = F.when(F.col("side") == "bid", F.col("price") >= F.col("_better")).otherwise(F.col("price") <= F.col("_better"))
-    checked = levels.join(better, ["book_id", "side", "level"], "left").withColumn("_unsorted", F.coalesce(worse, F.lit(False)))
+
+def _book_columns() -> dict[str, Column]:
+    """Aggregates of one book, over checked levels."""
     side = lambda s, c: F.when(F.col("side") == s, c)
     on = lambda s: F.col("side") == s
     bad = (F.col("price") <= 0) | (F.col("quantity") <= 0)
     top = F.col("level") == 1
-    book = checked.groupBy("book_id", "instrument_id", "market", "tier", "received_time_ns").agg(
-        F.max(F.when(on("bid") & top, F.col("price"))).alias("best_bid"),
-        F.max(F.when(on("ask") & top, F.col("price"))).alias("best_ask"),
-        F.count_if(on("bid")).alias("bid_levels"), F.count_if(on("ask")).alias("ask_levels"),
-        F.sum(side("bid", F.col("price") * F.col("quantity"))).alias("_bid_notional"),
-        F.sum(side("ask", F.col("price") * F.col("quantity"))).alias("_ask_notional"),
-        *[F.bool_or(on(s) & bad).alias(f"_{s}_bad") for s in ("bid", "ask")],
-        *[F.bool_or(on(s) & F.col("_unsorted")).alias(f"_{s}_unsorted") for s in ("bid", "ask")],
-    )
+    return {
+        "best_bid": F.max(F.when(on("bid") & top, F.col("price"))), "best_ask": F.max(F.when(on("ask") & top, F.col("price"))),
+        "bid_levels": F.count_if(on("bid")), "ask_levels": F.count_if(on("ask")),
+        "_bid_notional": F.sum(side("bid", F.col("price") * F.col("quantity"))),
+        "_ask_notional": F.sum(side("ask", F.col("price") * F.col("quantity"))),
+        **{f"_{s}_bad": F.bool_or(on(s) & bad) for s in ("bid", "ask")},
+        **{f"_{s}_unsorted": F.bool_or(on(s) & F.col("_unsorted")) for s in ("bid", "ask")},
+    }
+
+
+BOOK = ("book_id", "instrument_id", "market", "tier", "received_time_ns")
+
+
+def validate_books(levels: DataFrame) -> DataFrame:
+    """One row per book: the reason it is unusable (NULL when valid), and its tops."""
+    return _judged(_checked(levels).groupBy(*BOOK).agg(*[c.alias(n) for n, c in _book_columns().items()]))
+
+
+def _judged(book: DataFrame) -> DataFrame:
     reason = (
-        F.when(F.col("_bid_bad"), "bids levels must be positive")
-        .when(F.col("_bid_unsorted"), "bids must be sorted best first")
-        .when(F.col("_ask_bad"), "asks levels must be positive")
-        .when(F.col("_ask_unsorted"), "asks must be sorted best first")
-        .when((F.col("bid_levels") == 0) | (F.col("ask_levels") == 0), "empty book")
-        .when(F.col("best_bid") >= F.col("best_ask"), "crossed book")
+        F.when(F.col("_bid_bad"), "BIDS_NOT_POSITIVE")
+        .when(F.col("_bid_unsorted"), "BIDS_UNSORTED")
+        .when(F.col("_ask_bad"), "ASKS_NOT_POSITIVE")
+        .when(F.col("_ask_unsorted"), "ASKS_UNSORTED")
+        .when((F.col("bid_levels") == 0) | (F.col("ask_levels") == 0), "BOOK_EMPTY")
+        .when(F.col("best_bid") >= F.col("best_ask"), "BOOK_CROSSED")
     )
     mid = (F.col("best_bid") + F.col("best_ask")) / 2
     return book.withColumn("reason", reason).withColumns(
@@ -62,43 +74,51 @@ def validate_books(levels: DataFrame) -> DataFrame:
     ).drop("_bid_notional", "_ask_notional", "_bid_bad", "_ask_bad", "_bid_unsorted", "_ask_unsorted")
 
 
+def _filled(levels: DataFrame) -> DataFrame:
+    """Levels with quote value and base quantity up to and with each of them."""
+    quote = F.col("price") * F.col("quantity")
+    along = W.partitionBy("book_id", "side").orderBy("level").rowsBetween(W.unboundedPreceding, 0)
+    return levels.withColumns({"_quote": F.sum(quote).over(along), "_base": F.sum("quantity").over(along)})
+
+
+def _vwap(notional: Column) -> tuple[Column, Column]:
+    """Whether a level is the last one that filling the notional touches, and the price paid then."""
+    before = F.col("_quote") - F.col("price") * F.col("quantity")
+    touched = (notional > before) & (notional <= F.col("_quote"))
+    return touched, notional / (F.col("_base") - F.col("quantity") + (notional - before) / F.col("price"))
+
+
 def fill_prices(levels: DataFrame, notionals: Sequence[float]) -> DataFrame:
     """VWAP of filling each notional from each side; an unfillable one has no row.
 
     With running totals along the levels, the last level touched is the single
     one whose cumulative quote value first reaches the notional.
     """
-    quote = F.col("price") * F.col("quantity")
-    totals = skewsafe.running_totals(
-        levels, ["book_id", "side"], ["level"], int_div(F.col("level"), LEVEL_BUCKET),
-        {"cum_quote": quote, "cum_base": F.col("quantity")},
-    )
-    before = F.col("cum_quote") - quote
     wanted = F.array(*[F.lit(float(n)) for n in notionals])
-    touched = F.filter(wanted, lambda n: (n > before) & (n <= F.col("cum_quote")))
-    base_before = F.col("cum_base") - F.col("quantity")
-    return (
-        totals.withColumn("_before", before).withColumn("notional", F.explode(touched))
-        .select(
-            "book_id", "side", "notional",
-            (F.col("notional") / (base_before + (F.col("notional") - F.col("_before")) / F.col("price"))).alias("vwap"),
-        )
-    )
+    asked = _filled(levels).withColumn("notional", F.explode(wanted))
+    touched, price = _vwap(F.col("notional"))
+    return asked.filter(touched).select("book_id", "side", "notional", price.alias("vwap"))
 
 
 def depth_observations(levels: DataFrame, notionals: Sequence[float]) -> DataFrame:
-    """Slippage per side of every valid book and notional, NULL where too thin."""
-    books = validate_books(levels).filter(F.col("reason").isNull())
-    fills = fill_prices(levels, notionals).groupBy("book_id", "notional").agg(
-        F.max(F.when(F.col("side") == "ask", F.col("vwap"))).alias("_buy"),
-        F.max(F.when(F.col("side") == "bid", F.col("vwap"))).alias("_sell"),
-    )
-    asked = books.withColumn("notional", F.explode(F.array(*[F.lit(float(n)) for n in notionals])))
-    worse = F.greatest(F.col("_buy") / F.col("mid") - 1, 1 - F.col("_sell") / F.col("mid")) * 10_000.0
-    both = F.col("_buy").isNotNull() & F.col("_sell").isNotNull()
-    return asked.join(fills, ["book_id", "notional"], "left").withColumn(
-        "slippage_bps", F.when(both, F.bround(worse, 6))
-    ).drop("_buy", "_sell")
+    """Slippage per side of every valid book and notional, NULL where too thin.
+
+    Checks, tops and fills are aggregates of one grouping by book, so the levels
+    are shuffled once at most.
+    """
+    fills = {}
+    for i, n in enumerate(notionals):
+        touched, price = _vwap(F.lit(float(n)))
+        for side, name in (("ask", "buy"), ("bid", "sell")):
+            fills[f"_{name}_{i}"] = F.max(F.when((F.col("side") == side) & touched, price))
+    rows = _checked(_filled(levels)).groupBy(*BOOK).agg(*[c.alias(n) for n, c in {**_book_columns(), **fills}.items()])
+    valid = _judged(rows).filter(F.col("reason").isNull())
+    asked = F.array(*[F.struct(F.lit(float(n)).alias("notional"), F.col(f"_buy_{i}").alias("buy"), F.col(f"_sell_{i}").alias("sell"))
+                      for i, n in enumerate(notionals)])
+    out = valid.withColumn("_asked", F.explode(asked)).drop(*fills)
+    worse = F.greatest(F.col("_asked.buy") / F.col("mid") - 1, 1 - F.col("_asked.sell") / F.col("mid")) * 10_000.0
+    both = F.col("_asked.buy").isNotNull() & F.col("_asked.sell").isNotNull()
+    return out.withColumns({"notional": F.col("_asked.notional"), "slippage_bps": F.when(both, F.bround(worse, 6))}).drop("_asked")
 
 
 def instrument_statistics(observations: DataFrame, *, minimum: int, minimum_span_ns: int, eligibility_notional: float) -> DataFrame:
