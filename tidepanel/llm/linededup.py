@@ -3,16 +3,18 @@
 The corpus is one sequence of line ids, numbered by doc_id, row and line, that
 breaks at documents. Prefix doubling names the runs of 2^k lines: two positions
 have the same name if their runs are equal, and the name is the first of these
-positions. A name's positions are the suffix array's interval of a common prefix
-of at least 2^k lines; the order of different intervals is never used, so names
-need not be sorted, only agree. Positions whose run occurs once leave the game, so
-rounds end with the longest repeated run.
-
-The longest run at a position that also begins earlier is found on the way back:
-the largest k whose name is an earlier position gives its first 2^k lines, and
-halving steps extend it within the interval of equal positions, whose first
-member again tells whether there is an earlier one. Runs with fewer than
-`MIN_WORDS` words in all stay; of the others, every copy but the first goes.
+positions. A run of any other length is named by the two power-of-two runs that
+overlap to it. A name's positions are the suffix array's interval of a common
+prefix of at least so many lines; the order of different intervals is never used,
+so names need not be sorted, only agree. Positions whose run occurs once leave
+the game.
+
+Of every maximal repeated run with `MIN_WORDS` words or more, all copies but the
+first go. A line of such a copy also lies in a repeated run with as many words of
+at most `MIN_WORDS` lines: a longer one keeps enough words without one of its
+ends, as every line has a word. And each part of a later copy is a later copy. So
+intervals deeper than `MIN_WORDS` lines change nothing, doubling ends there
+however long the copies are, and the shallow ones together cover the same lines.
 """
 
 from __future__ import annotations
@@ -50,67 +52,33 @@ def named(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(groups, keys).drop(*keys)
 
 
-def intervals(active: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: (at, rest, name) of positions whose run of 2^k lines is repeated."""
-    levels, size = [active.select("at", "rest", "name")], 1
-    while True:
-        level = levels[-1]
-        second = level.select((F.col("at") - size).alias("at"), F.col("name").alias("second"))
-        pairs = level.where(F.col("rest") >= 2 * size - 1).withColumnRenamed("name", "first").join(second, "at")
-        longer, _ = written(named(pairs, ["first", "second"]), "runs")
-        if longer.isEmpty():
-            return levels
-        levels.append(longer)
-        size *= 2
-
-
-def longest_earlier(levels: list[DataFrame]) -> DataFrame:
-    """(at, m): for positions whose run also begins earlier, how many lines of it do."""
-    top = None
-    for k, level in enumerate(levels):
-        mine = level.where("name < at").select("at", F.lit(k).alias("k"))
-        top = mine if top is None else top.union(mine)
-    top, _ = written(top.groupBy("at").agg(F.max("k").alias("k")), "top")
-    # One row for each position of an interval that holds an `open` position, one that may reach further.
-    state = None
-    for k, level in enumerate(levels[1:], 1):
-        mine = level.join(top.where(F.col("k") == k).select("at", F.lit(True).alias("open")), "at", "left").select(
-            "at", "rest", "name", F.lit(k).alias("k"), F.lit(1 << k).alias("m"), F.coalesce("open", F.lit(False)).alias("open"))
-        state = mine if state is None else state.union(mine)
-    if state is None:
-        return top.select("at", F.lit(1).alias("m"))
-    state = needed(state)
-    for bit in range(len(levels) - 2, -1, -1):
-        state, _ = written(state, "state")
-        step = 1 << bit
-        live = state.where((F.col("k") > bit) & (F.col("rest") >= F.col("m") + step - 1))
-        more = live.withColumn("to", F.col("at") + F.col("m")).join(levels[bit].select(F.col("at").alias("to"), F.col("name").alias("then")), "to")
-        groups = more.groupBy("m", "name", "then").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        further = more.join(groups, ["m", "name", "then"]).select(
-            "at", "rest", F.col("first").alias("name"), "k", (F.col("m") + step).alias("m"), (F.col("open") & (F.col("first") < F.col("at"))).alias("open"))
-        gone = further.where("open").select("at", F.lit(True).alias("gone"))
-        stay = state.join(gone, "at", "left").withColumn("open", F.col("open") & F.col("gone").isNull()).drop("gone")
-        state = needed(stay.unionByName(further))
-    ends, _ = written(state.where("open").select("at", "m"), "ends")
-    return ends.union(top.where("k = 0").select("at", F.lit(1).alias("m")))
-
-
-def needed(state: DataFrame) -> DataFrame:
-    """Only intervals that hold an open position."""
-    return state.join(state.where("open").select("m", "name").distinct(), ["m", "name"])
+def earlier_runs(active: DataFrame, most: int) -> DataFrame:
+    """(at, m): for positions whose run also begins earlier, how many lines of it do, counted up to `most`."""
+    levels = {1: active.select("at", "rest", "name")}
+    for size in range(2, most + 1):
+        half = 1 << (size - 1).bit_length() - 1  # the largest power of two below it
+        first = levels[half].where(F.col("rest") >= size - 1).withColumnRenamed("name", "first")
+        second = levels[half].select((F.col("at") - (size - half)).alias("at"), F.col("name").alias("second"))
+        levels[size], _ = written(named(first.join(second, "at"), ["first", "second"]), "runs")
+    found = None
+    for size, level in levels.items():
+        mine = level.where("name < at").select("at", F.lit(size).alias("m"))
+        found = mine if found is None else found.union(mine)
+    return found.groupBy("at").agg(F.max("m").alias("m"))
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line, upto): ranges of lines to delete, from `line` up to and with `upto`, by row id."""
     lines = numbered(docs)
     active, _ = written(named(lines.select("at", "id", "line", "rest", "words", "a", "b"), ["a", "b"]), "active")
-    found = longest_earlier(intervals(active))
+    most = max(min_words, 1)
+    found = earlier_runs(active, most)
     inside = Window.partitionBy("id").orderBy("at")
-    summed, _ = written(active.select("at", "id", "line", "words").withColumn("sum", F.sum("words").over(inside)), "summed")
-    last = summed.select((F.col("at") + 1).alias("end"), F.col("sum").alias("upto"))
-    runs = (found.join(summed.select("at", "sum", "words"), "at").withColumn("end", F.col("at") + F.col("m")).join(last, "end")
-            .where(F.col("upto") - F.col("sum") + F.col("words") >= min_words).select("at", "end"))
-    covered = (summed.select("at", "id", "line").join(runs, "at", "left").withColumn("reach", F.max("end").over(inside)).where("reach > at")
+    # The lines of a run follow one another here, so its last one is `m - 1` rows ahead.
+    rows = active.select("at", "id", "line", "words").join(found, "at", "left").withColumn("sum", F.sum("words").over(inside))
+    ahead = F.array(*(F.lead("sum", i).over(inside) for i in range(most)))
+    reach = F.when(F.get("ahead", F.col("m") - 1) - F.col("sum") + F.col("words") >= min_words, F.col("at") + F.col("m"))
+    covered = (rows.withColumn("ahead", ahead).withColumn("reach", F.max(reach).over(inside)).where("reach > at")
                .withColumn("block", F.col("at") - F.row_number().over(inside)))
     return covered.groupBy("id", "block").agg(F.min("line").alias("line"), F.max("line").alias("upto")).drop("block")
 
