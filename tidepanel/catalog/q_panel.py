@@ -360,12 +360,15 @@ def c05(t):
     return weekly.join(t.decisions, "decision_ns", "left_semi")
 
 
-@query("e18_settlement_intervals", with_views("funding_brand", more={"d": "SELECT DISTINCT instrument_id, calc_time_ns FROM funding_brand",
+@query("e18_settlement_intervals", with_views("funding_brand", more={"d": f"SELECT DISTINCT instrument_id, calc_time_ns + CASE WHEN calc_time_ns // {DAY} % 11 = 0 THEN {HOUR // 3} ELSE 0 END AS calc_time_ns FROM funding_brand",
     "g": "SELECT *, coalesce(lead(calc_time_ns) OVER w - calc_time_ns, calc_time_ns - lag(calc_time_ns) OVER w, 28800000000000) AS gap FROM d WINDOW w AS (PARTITION BY instrument_id ORDER BY calc_time_ns)"}) + f"""
-SELECT instrument_id, calc_time_ns, (gap + {HOUR // 2}) // {HOUR} AS interval_hours FROM g""")
+SELECT instrument_id, calc_time_ns, interval_hours, interval_hours <= 0 OR abs(gap - interval_hours * {HOUR}) > 60000000000 AS irregular
+FROM (SELECT *, (gap + {HOUR // 2}) // {HOUR} AS interval_hours FROM g)""")
 def e18(t):
-    times = t.funding("p_brand").select("instrument_id", "calc_time_ns").distinct()
-    return quality.settlement_intervals(times, ["instrument_id"]).drop("irregular")
+    # On every eleventh day settlements come twenty minutes late.
+    late = F.when(F.pmod(int_div(F.col("calc_time_ns"), DAY), F.lit(11)) == 0, HOUR // 3).otherwise(0)
+    times = t.funding("p_brand").select("instrument_id", (F.col("calc_time_ns") + late).alias("calc_time_ns")).distinct()
+    return quality.settlement_intervals(times, ["instrument_id"])
 
 
 @query("b16_half_even_rounding", with_views("ticks") + """

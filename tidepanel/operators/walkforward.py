@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.functions.timefns import DAY_NS, WEEK_NS, int_div
+from tidepanel.operators import skewsafe
 
 PARTITIONS = ("train", "validation", "test")
 
@@ -155,13 +156,14 @@ def with_warm_up(calendar: DataFrame, weeks: int) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, group: list[str], order: str, *, name: str = "half") -> DataFrame:
-    """First half (n div 2 rows) versus the rest, in order, per group."""
-    cell = W.partitionBy(*group)
-    position = F.row_number().over(cell.orderBy(order))
-    return df.withColumn(
-        name,
-        F.when(position <= int_div(F.count("*").over(cell), 2), "calibration").otherwise("selection"),
-    )
+    """First half (n div 2 rows) versus the rest, in order, per group.
+
+    Positions are counted week by week of `order`, so no group is sorted in one task.
+    """
+    sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    placed = skewsafe.with_ordinal(df, group, [order], int_div(F.col(order), WEEK_NS), "_position")
+    half = F.when(F.col("_position") <= int_div(F.col("_n"), 2), "calibration").otherwise("selection")
+    return placed.join(sizes, group).withColumn(name, half).drop("_n", "_position")
 
 
 def chronology_violations(df: DataFrame, keys: list[str], order: str, identifier: str) -> DataFrame:
