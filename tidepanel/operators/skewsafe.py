@@ -9,7 +9,7 @@ the bare key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -143,10 +143,24 @@ def exact_quantiles(
 ) -> DataFrame:
     """Nearest-rank quantiles per key: the value at rank ``ceil(n * q)``.
 
+    Returns long form: keys, ``quantile``, ``value``, ``row_count``.
+    """
+    def ranks(count: Column) -> Column:
+        each = [F.lit(q).cast("decimal(6,4)") for q in quantiles]
+        return F.array(*[F.struct(q.alias("label"), F.greatest(F.ceil(count * q), F.lit(1)).cast("long").alias("rank")) for q in each])
+
+    return values_at_ranks(df, keys, value, ranks).withColumnRenamed("label", "quantile")
+
+
+def values_at_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Callable[[Column], Column]
+) -> DataFrame:
+    """Values at given ranks per key; `ranks` maps a row count to an array of (label, rank) structs, ranks from 1.
+
     Equal values are counted before anything is shuffled by key. An approximate
     sketch only chooses slot boundaries; the slot holding the target rank is
     then ranked exactly, so no task orders more than a slot of a hot key.
-    Returns long form: keys, ``quantile``, ``value``, ``row_count``.
+    Returns long form: keys, ``label``, ``value``, ``row_count``.
     """
     counted = (
         df.filter(F.col(value).isNotNull())
@@ -166,23 +180,20 @@ def exact_quantiles(
         .agg(F.sum("_n").alias("_slot_n"))
         .withColumn("_before", F.coalesce(F.sum("_slot_n").over(earlier), F.lit(0)))
     )
-    wanted = F.array(*[F.lit(q).cast("decimal(6,4)") for q in quantiles])
     targets = (
-        slots.withColumn("quantile", F.explode(wanted))
-        .withColumn(
-            "_rank", F.greatest(F.ceil(F.col("row_count") * F.col("quantile")), F.lit(1))
-        )
+        slots.withColumn("_wanted", F.explode(ranks(F.col("row_count"))))
+        .withColumns({"label": F.col("_wanted.label"), "_rank": F.col("_wanted.rank")})
         .filter(
             (F.col("_rank") > F.col("_before"))
             & (F.col("_rank") <= F.col("_before") + F.col("_slot_n"))
         )
-        .select(*keys, "_slot", "quantile", (F.col("_rank") - F.col("_before")).alias("_within"))
+        .select(*keys, "_slot", "label", (F.col("_rank") - F.col("_before")).alias("_within"))
     )
     inside = W.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     return (
         slotted.withColumn("_cum", F.sum("_n").over(inside))
         .join(targets, [*keys, "_slot"])
         .filter(F.col("_cum") >= F.col("_within"))
-        .groupBy(*keys, "quantile")
+        .groupBy(*keys, "label")
         .agg(F.min("_v").alias("value"), F.first("row_count").alias("row_count"))
     )

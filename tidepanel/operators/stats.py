@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidepanel.operators import skewsafe
 from tidepanel.operators.weights import seeded_score
 
 EULER_MASCHERONI = 0.5772156649015329
@@ -272,19 +273,14 @@ def probability_metrics(predictions: DataFrame, group: Sequence[str], probabilit
 
 def threshold_grid(scores: DataFrame, group: Sequence[str], score: Column, *, candidates: int = 9) -> DataFrame:
     """Distinct thresholds picked at even ranks of |score|, plus zero."""
-    cell = W.partitionBy(*group)
     slots = candidates - 1
-    ranked = scores.select(*group, F.abs(score).alias("threshold")).withColumns(
-        {
-            "_rank": F.row_number().over(cell.orderBy("threshold")) - 1,
-            "_n": F.count("*").over(cell),
-        }
-    )
-    picks = F.transform(
-        F.sequence(F.lit(0), F.lit(slots - 1)),
-        lambda i: F.floor(i * (F.col("_n") - 1) / F.lit(slots - 1)),
-    )
-    chosen = ranked.filter(F.array_contains(picks, F.col("_rank").cast("long"))).select(*group, "threshold")
+
+    def ranks(count: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.struct(
+            i.alias("label"), (F.floor(i * (count - 1) / F.lit(slots - 1)) + 1).cast("long").alias("rank")))
+
+    sizes = scores.select(*group, F.abs(score).alias("_size"))
+    chosen = skewsafe.values_at_ranks(sizes, group, "_size", ranks).select(*group, F.col("value").alias("threshold"))
     return chosen.unionByName(scores.select(*group).distinct().withColumn("threshold", F.lit(0.0))).distinct()
 
 
