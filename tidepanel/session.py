@@ -30,21 +30,26 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     return builder.getOrCreate()
 
 
+# Folders of applications that name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for written intermediates.
 
     Named by ``spark.checkpoint.dir``. Only a session that names none (a local
-    test) gets a folder of its own, and that choice is recorded on the session.
+    test) gets a folder of its own, the same for the whole application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
 
 
 # What this process has written for each application, until `clear_scratch`.
@@ -68,6 +73,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def clear_reports(spark: SparkSession) -> None:
+    """Delete the reports in the shared folder, so that the next query that needs one makes it."""
+    system, place = _file_system(spark, f"{shared_dir(spark)}/report-*")
+    for status in system.globStatus(place) or []:
+        system.delete(status.getPath(), True)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete every intermediate that this session has written; call it when their results have been used."""
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
