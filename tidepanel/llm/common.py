@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import string
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -50,6 +51,13 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's collector find shuffles that nothing needs any more, so that their files go."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let go of shuffle files that nothing needs any more.
+
+    They go when the driver's collectors, Python's first, have found their
+    owners dead; some owners hold others, hence the turns, and the cleaner works
+    in the background, hence the pauses.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
