@@ -34,11 +34,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def shingles(words: Column, size: int) -> Column:
-    """Hashes of all runs of `size` words, in order."""
-    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    return F.when(F.size(words) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(
-        F.array().cast("array<bigint>"))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shingle_at(hashes: Column, at: Column, size: int, count: Column) -> Column:
+    """Hash of the `size` words from place `at` (from 0) on, null where they do not fit in `count` words."""
+    return F.when(at + size <= count, F.xxhash64(*(F.get(hashes, at + i) for i in range(size))))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -54,30 +56,30 @@ def hits(worded: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> DataF
 
     `worded` has (id, words); `windows` must be of broadcast size. `start` counts from 1.
     """
-    sized = windows.withColumn("size", F.least(F.lit(shingle), "n"))
-    sizes = sorted(r.size for r in sized.select("size").distinct().collect())  # 1 to `shingle` at most
-    runs = [sized.where(F.col("size") == s).select("words", F.posexplode(shingles(F.col("words"), s)).alias("offset", "gram")) for s in sizes]
-    grams = worded.sparkSession.createDataFrame([], "words array<string>, offset int, gram long")
-    for run in runs:
-        grams = grams.union(run)
-    # The first element stands for the document itself; its position tells it from a shingle of that hash.
-    listed = F.concat(F.array(F.lit(0).cast("long")), *(shingles(F.col("words"), s) for s in sizes))
-    counted = (worded.select(F.explode(listed).alias("gram")).join(F.broadcast(grams.select("gram").distinct()), "gram")
+    spark = worded.sparkSession
+    sizes = sorted(r.size for r in windows.select(F.least(F.lit(shingle), "n").alias("size")).distinct().collect())  # 1 to `shingle` at most
+    each = windows.select("words", "n", hashed(F.col("words")).alias("h")).select("*", F.posexplode("h").alias("offset", "w"))
+    grams = spark.createDataFrame([], "words array<string>, offset int, gram long")
+    for s in sizes:
+        own = each.where(F.least(F.lit(shingle), "n") == s)
+        grams = grams.union(own.select("words", "offset", shingle_at(F.col("h"), F.col("offset"), s, F.col("n")).alias("gram")).where("gram IS NOT NULL"))
+    # Place 0 stands for the document itself, with gram 0; words count from 1.
+    placed = worded.select("id", "words", F.concat(F.array(F.lit(0).cast("long")), hashed(F.col("words"))).alias("h")).select(
+        "*", F.posexplode("h").alias("pos", "w"))
+    place, count = F.col("pos"), F.size("words") + 1
+    found = [F.when(place > 0, shingle_at(F.col("h"), place, s, count)) for s in sizes] or [F.lit(None).cast("long")]
+    found[0] = F.when(place == 0, F.lit(0).cast("long")).otherwise(found[0])
+    placed = placed.select("id", "words", "pos", (found[0] if len(found) == 1 else F.explode(F.array(*found))).alias("gram"))
+    counted = (placed.select("gram").join(F.broadcast(grams.select("gram").distinct()), "gram")
                .groupBy("gram").agg(F.count("*").alias("seen")))
     rarest = (grams.join(counted, "gram", "left").groupBy("words")
               .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram", "offset")).alias("r"))
               .select("words", "r.gram", "r.offset"))
     prefix = (windows.join(rarest, "words").select("gram", "offset", F.col("words").alias("wanted"), "n", "items")
-              .unionByName(worded.sparkSession.range(1).select(F.lit(0).cast("long").alias("gram")), allowMissingColumns=True))
+              .unionByName(spark.range(1).select(F.lit(0).cast("long").alias("gram")), allowMissingColumns=True))
     prefix, _ = written(prefix, "prefix")
-    # A document's shingles of several sizes follow one another; `at` is the position within its size.
-    start, at, found = F.lit(1), F.lit(None).cast("int"), F.col("pos")
-    for s in sizes:
-        length = F.greatest(F.size("words") - (s - 1), F.lit(0))
-        at = F.when(at.isNull() & (found >= start) & (found < start + length), found - start).otherwise(at)
-        start = start + length
-    occurring = (worded.select("id", "words", F.posexplode(listed).alias("pos", "gram")).join(F.broadcast(prefix), "gram")
-                 .where((F.col("pos") == 0) == F.col("n").isNull()).withColumn("start", at - F.col("offset") + 1)
+    occurring = (placed.join(F.broadcast(prefix), "gram").where((F.col("pos") == 0) == F.col("n").isNull())
+                 .withColumn("start", F.col("pos") - F.col("offset"))
                  .where("n IS NULL OR (start >= 1 AND start + n - 1 <= size(words))")
                  .where("n IS NULL OR slice(words, start, n) = wanted"))
     return occurring.select("id", F.when(F.col("n").isNotNull(), F.col("start")).alias("start"), "n", "items",
