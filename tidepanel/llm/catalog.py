@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidepanel.llm import bpe, decontaminate, hpylm, html_text, linededup, pii, quality, simhash, topk, warc
+from tidepanel.llm import bpe, centroids, collocations, decontaminate, hpylm, html_text, langid, linededup, pii, quality, simhash, topk, warc
 from tidepanel.llm.common import table
 from tidepanel.session import scratch_path
 
@@ -158,6 +158,78 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
 
+@query("op11_langid")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = f"""
+WITH d AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS x FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(x, '[ \\t]+'), lambda v: v <> '') AS w FROM p),
+s AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM w, (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS m)),
+f AS (SELECT lang, m, array_to_string(w[k:k + m - 1], ' ') AS phrase, count(*) AS a FROM s GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= {collocations.LEAST}),
+x AS (SELECT lang, phrase, m, a, w, unnest(range(1, m)) AS k FROM c),
+y AS (
+    SELECT x.lang, x.phrase, x.a, n.n, x.k, fl.a AS l, fr.a AS r,
+           CAST((1000 * CAST(x.a AS HUGEINT) * n.n) // (CAST(fl.a AS HUGEINT) * fr.a) AS BIGINT) AS score
+    FROM x JOIN n ON n.lang = x.lang
+    JOIN f fl ON fl.lang = x.lang AND fl.phrase = array_to_string(w[1:k], ' ')
+    JOIN f fr ON fr.lang = x.lang AND fr.phrase = array_to_string(w[k + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+g AS (
+    SELECT DISTINCT lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, a
+    FROM (SELECT *, unnest(range(1, m - j + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS j FROM c))),
+q AS (SELECT z.* FROM z WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.lang = z.lang AND g.phrase = z.phrase AND g.a >= z.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM q QUALIFY rank <= {collocations.TOP}
+"""
+
+
+@query("op12_collocations", COLLOCATIONS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _centroids_sql() -> str:
+    rounds = []
+    for t in range(centroids.ROUNDS + 1):
+        rounds.append(f"""
+a{t} AS (
+    SELECT id, vec_id, v, number AS cluster, d AS distance
+    FROM (SELECT p.*, c.number, CAST(list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) AS BIGINT) AS d FROM p, c{t} c)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, number) = 1)""")
+        if t < centroids.ROUNDS:
+            rounds.append(f"""
+m{t} AS (
+    SELECT cluster, list(f ORDER BY i) AS v
+    FROM (SELECT cluster, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f
+          FROM (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{t}) GROUP BY ALL))
+    GROUP BY cluster),
+c{t + 1} AS (SELECT number, coalesce(m{t}.v, c{t}.v) AS v FROM c{t} LEFT JOIN m{t} ON m{t}.cluster = number)""")
+    return f"""
+WITH p AS (
+    SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+    SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS number, v
+    FROM (SELECT *, sha256('{centroids.SEED}:' || vec_id) AS h FROM p WHERE vec_id IS NOT NULL) QUALIFY row_number() OVER (ORDER BY h, v) <= {centroids.CLUSTERS}),
+{",".join(rounds)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN c{centroids.ROUNDS} c ON c.number = a.cluster
+"""
+
+
+@query("op13_centroids", _centroids_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
