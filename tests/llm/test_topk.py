@@ -46,3 +46,16 @@ def test_nulls_dimensions_and_few_rows(spark):
             (6, [-1.0, 0.5], 0), (-100, [0.25, 0.25], 0), (200, [1.0], 0), (300, [], 0), (7, [1e9, 1e9], 0), (8, [-1e9, 1e8], 0)]
     assert ask(spark, rows) == brute(rows, 10)
     assert ask(spark, []) == [] and ask(spark, [(1, [1.0], 0)]) == []
+
+
+def test_scores_up_to_the_long_range(spark):
+    import pytest
+
+    draw = random.Random(3)
+    wide = [float(1 << 20), -float(1 << 20), float(3 << 19), 1.0, -0.5, float(1 << 10)]
+    rows = [(i, [draw.choice(wide) for _ in range(4)], 0) for i in range(300)] + [(0, [float(1 << 20)] * 4, 0), (301, [float(1 << 20)] * 4, 0)]
+    assert max(abs(s) for *_, s in brute(rows, 10)) >= 1 << 62
+    assert ask(spark, rows) == brute(rows, 10)
+    assert ask(spark, [(0, [float(1 << 20)], 0), (1, [float(1 << 20)], 0)]) == [(0, 1, 1, 1 << 60)]
+    with pytest.raises(Exception, match="range of a long"):
+        ask(spark, [(0, [1e9] * 4, 0), (1, [1e9] * 4, 0)])

@@ -33,6 +33,8 @@ LISTS = 2
 BLOCK_BYTES = 16 << 20
 ROWS = 1024
 LEAST = -(1 << 63)
+#: Partial scores count as this much at most where bounds are compared; rows with wider ones are always resolved.
+WIDE = 1 << 59
 
 
 def scaled(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
@@ -60,17 +62,25 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors as int64 (saturating)."""
+    """Exact inner products of integer vectors: int64 below 2^53, Python integers beyond."""
     reach = [int(np.abs(m.astype(object)).max()) if m.size and (m == LEAST).any() else int(np.abs(m).max(initial=0)) for m in (queries, rows)]
     if queries.shape[1] * reach[0] * reach[1] < 1 << 53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    exact = queries.astype(object) @ rows.astype(object).T
-    return np.clip(exact, LEAST >> 4, -(LEAST >> 4)).astype(np.int64)
+    return queries.astype(object) @ rows.astype(object).T
 
 
-def segments(queries: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+def segments(queries: np.ndarray, rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The lists' partial scores within +-`WIDE`, the exact scores, and where a partial score is wider than that."""
     cut = [round(i * queries.shape[1] / LISTS) for i in range(LISTS + 1)]
-    return [products(queries[:, a:b], rows[:, a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+    exact = [products(queries[:, a:b], rows[:, a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+    total = sum(exact)
+    if all(p.dtype != object for p in exact):
+        return exact, total, np.zeros(total.shape, bool)
+    if total.size and (total.max() > -(LEAST + 1) or total.min() < LEAST):
+        raise OverflowError("an inner product is outside the range of a long")
+    near = [np.clip(p, -WIDE, WIDE) for p in exact]
+    wide = np.logical_or.reduce([n != p for n, p in zip(near, exact, strict=True)]).astype(bool)
+    return [n.astype(np.int64) for n in near], total.astype(np.int64), wide
 
 
 class Best:
@@ -84,7 +94,7 @@ class Best:
 
     def add(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
         query, row, score = (np.concatenate(x) for x in ((self.query, query), (self.row, row), (self.score, score)))
-        order = np.lexsort((row, -score, query))
+        order = np.lexsort((row, ~score, query))
         query = query[order]
         first = np.searchsorted(query, query)
         keep = np.arange(len(query)) - first < self.k
@@ -98,7 +108,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     a query of its own vec_id, and vectors meet only in equal dimensions. A
     vec_id that repeats among the queries asks once, with its smallest vector;
     repeated candidate rows each take part. A query with fewer than k candidates
-    returns all.
+    returns all. Scores are exact over the whole range of a long; one outside it
+    is an error.
     """
     spark = vectors.sparkSession
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -139,9 +150,8 @@ def _cutoffs(vectors: DataFrame, sent, k: int) -> DataFrame:
                 if rows.shape[1] not in held:
                     continue
                 at, own, asking = held[rows.shape[1]]
-                parts = segments(asking, rows)
+                parts, total, _ = segments(asking, rows)
                 mine = own[:, None] == ids[None, :]
-                total = sum(parts)
                 for j, part in enumerate(parts):
                     least[at, j] = np.minimum(least[at, j], part.min(axis=1))
                     top = np.argpartition(np.where(mine, LEAST >> 1, part), -min(k, len(ids)), axis=1)[:, -min(k, len(ids)):]
@@ -155,7 +165,7 @@ def _cutoffs(vectors: DataFrame, sent, k: int) -> DataFrame:
                     best.add(at[q], ids[c], total[q, c])
         counts = np.bincount(best.query, minlength=count)
         last = np.cumsum(counts) - 1
-        cutoff = np.where(counts == k, best.score[np.maximum(last, 0)] if len(best.score) else LEAST >> 2, LEAST >> 2)
+        cutoff = np.where(counts == k, best.score[np.maximum(last, 0)] if len(best.score) else LEAST, LEAST)
         seen = np.flatnonzero(least[:, 0] < np.iinfo(np.int64).max) if count else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(cutoff[seen]), *(pa.array(least[seen, j]) for j in range(LISTS))],
                                          ["query", "cutoff", *(f"least{j}" for j in range(LISTS))])
@@ -181,13 +191,15 @@ def _sufficient(vectors: DataFrame, sent, bounds, k: int) -> DataFrame:
                 at, own, asking = held[rows.shape[1]]
                 limit = np.array([known[i] for i in at.tolist()], np.int64)
                 cutoff, least = limit[:, 0], limit[:, 1:]
-                gap = np.maximum(cutoff - least.sum(axis=1), 0)[:, None]
-                parts = [p - least[:, j:j + 1] for j, p in enumerate(segments(asking, rows))]
+                # Beyond 4 * WIDE a gap asks for more than any partial score that is not wide.
+                gap = np.clip(cutoff.astype(object) - least.sum(axis=1), 0, 4 * WIDE).astype(np.int64)[:, None]
+                near, total, wide = segments(asking, rows)
+                parts = [p - least[:, j:j + 1] for j, p in enumerate(near)]
                 sends = [LISTS * p >= gap for p in parts]
                 reach = sum(np.where(s, LISTS * p, gap) for s, p in zip(sends, parts, strict=True))
-                enough = np.logical_or.reduce(sends) & (reach >= LISTS * gap) & (own[:, None] != ids[None, :])
+                enough = (np.logical_or.reduce(sends) & (reach >= LISTS * gap) | wide) & (own[:, None] != ids[None, :])
                 q, c = np.nonzero(enough)
-                score = sum(p[q, c] for p in parts) + least.sum(axis=1)[q]
+                score = total[q, c]
                 pick = score >= cutoff[q]
                 best.add(at[q[pick]], ids[c[pick]], score[pick])
         query = np.array([names[i] for i in best.query.tolist()], np.int64)
