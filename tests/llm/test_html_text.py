@@ -69,3 +69,11 @@ def test_broken_and_extreme_pages(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert [tuple(r) for r in got] == [(None, None, "", 0), (1, "u", "", 0), (1, "u", "a", 1), (1, "u", "a", 1)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_hostile_numbers():
+    long = "1" * 5000
+    assert text_of(f"<table><tr><td colspan={long}>a<td>b<tr><td>c</table>").splitlines()[1] == "c"
+    assert text_of(f"<table><tr><td colspan={'0' * 5000}2>a<td>b</table>") == text_of("<table><tr><td colspan=2>a<td>b</table>")
+    assert text_of(f"<p>x&#{long};y&#x{long};&#00065;<title>&#{long}</title><textarea>&#{long};</textarea>").startswith("x�y�A")
+    assert text_of(f'<a title="&#{long};" href="&#{long};">z</a>') == "z"

@@ -43,16 +43,25 @@ IMPLIED = {
 }
 SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "template"})
 IN_HEAD = frozenset("base link meta title style script noscript template".split())
+#: Columns are aligned by cells of at most this width.
 WIDEST = 60
+#: Fixed value: HTML's limit of a colspan.
+COLUMNS = 1000
 
 _markup = re.compile(
     r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|([A-Za-z][^\s/>]*)((?:[^>\"']++|(?<==)\"[^\"]*+\"|(?<==)'[^']*+'|(?<== )\"[^\"]*+\"|[\"'])*+)(?:>|\Z))", re.S)
 _attribute = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_number = re.compile(r"&#0*([0-9]{8,}|(?<=0)[0-9]+);?")
 _white = re.compile(r"[ \t\n\f\r]+")
 _unseen = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
 
+def unescape(text: str) -> str:
+    """Character references resolved; numbers beyond all code points become U+FFFD, however long."""
+    return html.unescape(_number.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "\ufffd", text) if "&#" in text else text)
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -62,7 +71,7 @@ class Node:
     def get(self, name: str) -> str | None:
         for m in _attribute.finditer(self.attrs):
             if m[1].lower() == name:
-                return html.unescape(next((v for v in m.groups()[1:] if v is not None), ""))
+                return unescape(next((v for v in m.groups()[1:] if v is not None), ""))
         return None
 
 
@@ -92,7 +101,7 @@ def parse(page: str) -> Node:
         if piece:
             if stack[-1].tag == "head" and not piece.isspace():
                 cut(len(stack) - 1)
-            stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
+            stack[-1].children.append(unescape(piece) if "&" in piece else piece)
 
     at, size = 0, len(page)
     for_raw: re.Match | None
@@ -133,7 +142,7 @@ def parse(page: str) -> Node:
             if tag in RAW:
                 for_raw = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 body = page[at:for_raw.start() if for_raw else size]
-                node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
+                node.children.append(unescape(body) if tag in ("textarea", "title") else body)
                 at = for_raw.end() if for_raw else size
             elif tag == "plaintext":
                 node.children.append(page[at:])
@@ -208,7 +217,8 @@ def table_lines(rows: list[list[str]]) -> list[str]:
 
 def spans(node: Node) -> int:
     value = (node.get("colspan") or "1") if "colspan" in node.attrs.lower() else "1"
-    return min(int(value), 100) if value.isascii() and value.isdigit() and int(value[:9]) > 0 else 1
+    digits = value.lstrip("0") if value.isascii() and value.isdigit() else "1"
+    return min(int(digits[:5] or "1"), COLUMNS)
 
 
 def render(root: Node) -> str:
