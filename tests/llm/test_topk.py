@@ -53,7 +53,7 @@ def test_scores_up_to_the_long_range(spark):
 
     draw = random.Random(3)
     wide = [float(1 << 20), -float(1 << 20), float(3 << 19), 1.0, -0.5, float(1 << 10)]
-    rows = [(i, [draw.choice(wide) for _ in range(4)], 0) for i in range(300)] + [(0, [float(1 << 20)] * 4, 0), (301, [float(1 << 20)] * 4, 0)]
+    rows = [(i, [draw.choice(wide) for _ in range(4)], 0) for i in range(300)] + [(400, [float(1 << 20)] * 4, 0), (301, [float(1 << 20)] * 4, 0)]
     assert max(abs(s) for *_, s in brute(rows, 10)) >= 1 << 62
     assert ask(spark, rows) == brute(rows, 10)
     assert ask(spark, [(0, [float(1 << 20)], 0), (1, [float(1 << 20)], 0)]) == [(0, 1, 1, 1 << 60)]
