@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ LONGEST = 5
 TOP = 2000
 #: Bounds of a task: entries of its trie, ids of its words, bytes of text that are split at once.
 MEMORY, VOCABULARY, CHUNK = 400_000, 400_000, 2 << 20
+#: Rows of a batch of runs.
+RUN = 20_000
 #: The filter: 8 MB, four bits a phrase.
 FILTER_BITS, FILTER_KEYS = 1 << 26, 4
 #: A byte that no UTF-8 text holds stands for the end of a piece.
@@ -45,17 +48,38 @@ for _end in b".,;:!?\n\x0b\x0c\r":
 PLAIN = bytes(_table)
 
 
+def hashed(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """XXH64 of 8-byte integers, each with its own seed: what Spark's xxhash64 folds over an array of longs."""
+    # The primes of XXH64.
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = seeds + p5 + np.uint64(8) ^ turned(values * p2, 31) * p1
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+
+
 class Frequent:
-    """A Bloom filter of (lang, phrase) keys; without bits it holds everything."""
+    """A Bloom filter of phrases of a language; without bits it holds everything."""
 
     def __init__(self, bits: np.ndarray | None = None) -> None:
         self.bits = bits
 
-    def holds(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
+    def holds(self, lang: bytes, phrases: np.ndarray) -> np.ndarray:
+        """`phrases`: the hash of each word, one phrase a row."""
+        found = np.ones(len(phrases), bool)
         if self.bits is None:
-            return np.ones(len(phrases), bool)
-        h = np.fromiter((xxhash.xxh64_intdigest(lang + b"\t" + p, 42) for p in phrases), np.uint64, len(phrases))
-        low, high, found = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), np.ones(len(phrases), bool)
+            return found
+        h = hashed(np.full(len(phrases), word_hashes([lang])[0]), np.uint64(42))
+        for word in phrases.T:
+            h = hashed(word, h)
+        low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
         for i in range(FILTER_KEYS):
             at = (low + np.uint64(i) * high) & np.uint64(FILTER_BITS - 1)
             found &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
@@ -64,7 +88,7 @@ class Frequent:
 
 def frequent(counts: DataFrame) -> Frequent:
     """The filter of the (lang, phrase) rows: at most 8 MB reach the driver."""
-    h = F.xxhash64(F.concat_ws("\t", "lang", "phrase"))
+    h = F.xxhash64(F.transform(F.concat(F.array("lang"), F.split("phrase", " ")), lambda w: F.xxhash64(w)))
     keyed = counts.select(h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned(h, 32).alias("high"))
     spots = keyed.select(F.explode(F.array(*((F.col("low") + F.lit(i) * F.col("high")).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(FILTER_KEYS)))).alias("at"))
     words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("mask")).toArrow()
@@ -73,18 +97,23 @@ def frequent(counts: DataFrame) -> Frequent:
     return Frequent(bits)
 
 
-class Words(dict):
+class Words:
     """Ids of words by first sight; -1 for the end of a piece and for words that the filter lacks."""
 
-    def __init__(self, lang: bytes, known: Frequent, names: list[bytes]) -> None:
-        super().__init__({END: -1})
-        self.lang, self.known, self.names = lang, known, names
+    def __init__(self, lang: bytes, known: Frequent, names: list[bytes], hashes: list[np.ndarray]) -> None:
+        self.lang, self.known, self.names, self.hashes, self.ids = lang, known, names, hashes, {END: -1}
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.names) if self.known.holds(self.lang, [word])[0] else -1
-        if at >= 0:
-            self.names.append(word)
-        return at
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        ids, names = self.ids, self.names
+        fresh = [w for w in dict.fromkeys(tokens) if w not in ids]
+        hashes = word_hashes(fresh)
+        known = self.known.holds(self.lang, hashes[:, None])
+        for word, held in zip(fresh, known.tolist(), strict=True):
+            ids[word] = len(names) if held else -1
+            if held:
+                names.append(word)
+        self.hashes.append(hashes[known])
+        return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
 
 
 class Counter:
@@ -96,19 +125,19 @@ class Counter:
 
     def _reset(self) -> None:
         self.trie, self.names, self.langs, self.ids = HatTrie(self.length + 1), [], [], {}
+        self.hashes: list[np.ndarray] = []
 
     def add(self, lang: bytes, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
         if lang not in self.ids:
-            self.ids[lang] = len(self.langs), Words(lang, self.known if self.length > 1 else Frequent(), self.names)
+            self.ids[lang] = len(self.langs), Words(lang, self.known if self.length > 1 else Frequent(), self.names, self.hashes)
             self.langs.append(lang)
         number, words = self.ids[lang]
-        ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-        found, counts = self._phrases(lang, ids)
+        found, counts = self._phrases(lang, words.of(tokens))
         if len(found):
             self.trie.add(np.hstack([np.full((len(found), 1), number), found]), counts)
         if self.trie.entries > self.memory:
             yield from self.spill(self.memory // 2)
-        if len(self.names) + sum(len(w) for _, w in self.ids.values()) > 2 * self.vocabulary:
+        if len(self.names) + sum(len(w.ids) for _, w in self.ids.values()) > 2 * self.vocabulary:
             yield from self.spill(0)
             self._reset()
 
@@ -119,25 +148,37 @@ class Counter:
         rows = np.arange(size)[:, None]
         if self.length == 1:
             return kinds[:, None], counts
+        self.hashes[:] = hashes, = [np.concatenate(self.hashes)]
         for k in range(2, self.length + 1):
             whole = (grams[:-1] >= 0) & (grams[1:] >= 0)
             pairs, which, counts = np.unique(grams[:-1][whole] * size + ids[k - 1:][whole], return_inverse=True, return_counts=True)
             rows = np.hstack([rows[pairs // max(size, 1)], (pairs % max(size, 1))[:, None]])
             if k < self.length:
-                alive = self.known.holds(lang, self._texts(rows))
+                alive = self.known.holds(lang, hashes[rows])
                 grams = np.full(len(whole), -1)
                 grams[whole] = np.where(alive[which], which, -1) if len(pairs) else which
         return rows, counts
 
-    def _texts(self, rows: np.ndarray) -> list[bytes]:
-        names = self.names
-        return [b" ".join([names[i] for i in row]) for row in rows.tolist()]
-
     def spill(self, keep: int) -> Iterator[pa.RecordBatch]:
-        for rows, counts in self.trie.spill(keep):
-            run = sorted(zip(rows[:, 0].tolist(), self._texts(rows[:, 1:]), counts.tolist(), strict=True))
-            langs = pa.array([self.langs[r[0]] for r in run], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([langs, pa.array([r[1] for r in run], pa.binary()).cast(pa.string()), pa.array([r[2] for r in run], pa.int64())], ["lang", "phrase", "n"])
+        """Whole subtrees of the trie as runs, each sorted by language and phrase."""
+        names, langs = pa.array(self.names, pa.binary()), pa.array(self.langs, pa.binary())
+        run: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for subtree in self.trie.spill(keep):
+            run.append(subtree)
+            size += len(subtree[1])
+            if size >= RUN:
+                yield self._batch(run, names, langs)
+                run, size = [], 0
+        if run:
+            yield self._batch(run, names, langs)
+
+    def _batch(self, run: list[tuple[np.ndarray, np.ndarray]], names: pa.Array, langs: pa.Array) -> pa.RecordBatch:
+        rows, counts = (np.concatenate(x) for x in zip(*run, strict=True))
+        words = [names.take(pa.array(ids)) for ids in rows.T[1:]]
+        phrases = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()))
+        table = pa.RecordBatch.from_arrays([langs.take(pa.array(rows[:, 0])).cast(pa.string()), phrases.cast(pa.string()), pa.array(counts)], ["lang", "phrase", "n"])
+        return table.sort_by([("lang", "ascending"), ("phrase", "ascending")])
 
 
 def pieces(text: bytes, overlap: int, chunk: int = CHUNK) -> Iterator[list[bytes]]:
@@ -164,7 +205,7 @@ def counted(docs: DataFrame, length: int, known: Frequent | None = None, memory:
                 for part in pieces(text.as_py(), length - 1, chunk):
                     tokens += part
                     tokens.append(END)
-                    if len(tokens) > chunk // 8:
+                    if len(tokens) > chunk // 4:
                         yield from counter.add(lang.as_py(), tokens)
                         tokens.clear()
             for lang, tokens in held.items():

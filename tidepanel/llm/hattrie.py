@@ -32,7 +32,7 @@ class HatTrie:
         self.root: Node | dict[bytes, int] = {}
 
     def add(self, rows: np.ndarray, counts: np.ndarray) -> None:
-        """Add counts of sequences, one a row; rows with one first id have to be neighbours (as in sorted rows)."""
+        """Add counts of distinct sequences, one a row, sorted."""
         self.root = self._put(self.root, np.ascontiguousarray(rows, "<i4"), counts)
 
     def _put(self, held: Node | dict[bytes, int], rows: np.ndarray, counts: np.ndarray) -> Node | dict[bytes, int]:
@@ -42,10 +42,12 @@ class HatTrie:
                 first = int(rows[a, 0])
                 held.below[first] = self._put(held.below.get(first, {}), np.ascontiguousarray(rows[a:b, 1:]), counts[a:b])
             return held
-        width, raw, before = 4 * rows.shape[1], rows.tobytes(), len(held)
-        for i, n in enumerate(counts.tolist()):
-            key = raw[i * width:(i + 1) * width]
-            held[key] = held.get(key, 0) + n
+        before, keys = len(held), rows.view(f"V{4 * rows.shape[1]}")[:, 0].tolist()
+        if held:
+            for key, n in zip(keys, counts.tolist(), strict=True):
+                held[key] = held.get(key, 0) + n
+        else:
+            held.update(zip(keys, counts.tolist(), strict=True))
         self.entries += len(held) - before
         return self._burst(held, rows.shape[1]) if len(held) > self.burst and rows.shape[1] > 1 else held
 
