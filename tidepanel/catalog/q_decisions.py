@@ -315,7 +315,7 @@ def c20(t):
     return decisions.disagreements(reports, ["candidates", "scenarios"])
 
 
-@query("d29_holdout_confirmation", with_views(*VIEWS, more={**METRICS_SQL,
+@query("d29b_test_fold_confirmation", with_views(*VIEWS, more={**METRICS_SQL,
     "h": f"""SELECT m.member, m.base_total, m.adverse_total, m.episodes, mc, me,
       (SELECT base_total FROM sums WHERE member = 'no_trade') AS idle_base,
       (SELECT base_total FROM sums WHERE member = 'random_ranks') AS random_base,
@@ -328,7 +328,7 @@ SELECT member, base_total > 0 AS base_total_positive, adverse_total >= 0 AS adve
   CASE WHEN base_total > 0 THEN me / base_total ELSE 0 END <= 0.4 AS episode_share_within_limit,
   CASE WHEN base_total > 0 THEN mc / base_total ELSE 0 END <= 0.4 AS contract_share_within_limit,
   skipped <= 4 AS skipped_within_limit FROM h""")
-def d29(t):
+def d29b(t):
     m = member_metrics(t)
     sums = pooling.fold_totals(fold_report(t)).groupBy("member", "scenario").agg(F.sum("fold_total").alias("v"))
     of = lambda member, scenario: sums.filter(

@@ -350,8 +350,8 @@ def k05(t):
     return rounded(J.carry_legs(inputs(t, SLOTS), CARRY_MEMBERS, SLOTS, S.CARRY_BASE), 9)
 
 
-@query("p09_slot_carry_episodes")
-def p09(t):
+@query("k05b_slot_carry_episodes")
+def k05b(t):
     return rounded(J.carry_fold(inputs(t, SLOTS), CARRY_MEMBERS, SLOTS, COSTS).drop("ordinal"), 9)
 
 

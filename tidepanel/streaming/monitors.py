@@ -33,8 +33,12 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
     Output and checkpoint live in the shared folder, so a restart resumes.
     """
+    return drain_to(stream, scratch_path(stream.sparkSession, label), mode)
+
+
+def drain_to(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
+    """As `drain`, under a given path: a second run goes on from the checkpoint of the first."""
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-checkpoint")
     query = writer.trigger(availableNow=True).format("parquet").option("path", out).start()
     query.awaitTermination()
