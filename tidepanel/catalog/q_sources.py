@@ -28,15 +28,15 @@ def published(t: Tables) -> str:
 
 
 @query("a01_point_in_time_scan", with_views("bars_brand") + f"""
-SELECT contract_id, open_time_ns, close_time_ns, CAST(floor(close) AS BIGINT) AS close, quote_volume FROM bars_brand
+SELECT contract_id, open_time_ns, close_time_ns, round(close, 8) AS close, quote_volume FROM bars_brand
 WHERE available_time_ns < {BOUNDARY}""")
 def a01(t):
     bars = panel.load_bars(t.spark, published(t), available_before_ns=BOUNDARY)
-    return bars.select("contract_id", "open_time_ns", "close_time_ns", F.floor("close").alias("close"), "quote_volume")
+    return bars.select("contract_id", "open_time_ns", "close_time_ns", F.round("close", 8).alias("close"), "quote_volume")
 
 
 @query("a02_research_bar_scan", with_views("legs_brand") + f"""
-SELECT venue, instrument_id, open_time_ns, available_time_ns, CAST(floor(high) AS BIGINT) AS high, CAST(floor(low) AS BIGINT) AS low, base_volume
+SELECT venue, instrument_id, open_time_ns, available_time_ns, round(high, 8) AS high, round(low, 8) AS low, base_volume
 FROM legs_brand WHERE available_time_ns < {BOUNDARY}""")
 def a02(t):
     path = scratch_path(t.spark, "research")
@@ -45,8 +45,8 @@ def a02(t):
     panel.publish_bars(bars.select(*columns), path)
     out = t.spark.read.schema(panel.BAR_SCHEMA).parquet(path).filter(F.col("available_time_ns") < BOUNDARY)
     return out.select(
-        "venue", "instrument_id", "open_time_ns", "available_time_ns", F.floor("high").alias("high"),
-        F.floor("low").alias("low"), "base_volume",
+        "venue", "instrument_id", "open_time_ns", "available_time_ns", F.round("high", 8).alias("high"),
+        F.round("low", 8).alias("low"), "base_volume",
     )
 
 
@@ -66,7 +66,7 @@ def a03(t):
 
 
 def decimal_text(column: str) -> Column:
-    return F.col(column).cast("decimal(20,6)").cast("string")
+    return F.col(column).cast("decimal(20,8)").cast("string")
 
 
 def candle_pages(t: Tables):
@@ -82,7 +82,7 @@ def candle_pages(t: Tables):
 
 
 CANDLE_SQL = f"""
-SELECT instrument_id, open_time_ns, open_time_ns + {DAY - 1} AS close_time_ns, CAST(floor(close) AS BIGINT) AS close,
+SELECT instrument_id, open_time_ns, open_time_ns + {DAY - 1} AS close_time_ns, round(close, 8) AS close,
   round(quote_volume, 2) AS quote_volume, day % 10 <> 0 AS confirmed FROM bars_brand"""
 
 
@@ -92,14 +92,14 @@ def a04(t):
         candle_pages(t), "payload", interval_ns=DAY_NS, availability_lag_ns=1, keep=["instrument_id"]
     ).filter(~F.col("malformed"))
     out = out.select(
-        "instrument_id", "open_time_ns", "close_time_ns", F.floor("close").cast("bigint").alias("close"),
+        "instrument_id", "open_time_ns", "close_time_ns", F.round(F.col("close").cast("double"), 8).alias("close"),
         F.col("quote_volume").cast("double").alias("quote_volume"), "confirmed",
     )
     return rounded(out, 2, ["quote_volume"])
 
 
 @query("a05_kline_payload", with_views("bars_brand") + f"""
-SELECT instrument_id, open_time_ns, close_time_ns - 1000000 AS close_time_ns, CAST(floor(close) AS BIGINT) AS close, trade_count,
+SELECT instrument_id, open_time_ns, close_time_ns - 1000000 AS close_time_ns, round(close, 8) AS close, trade_count,
   close_time_ns - 1000000 <= {BOUNDARY} AS confirmed FROM bars_brand""")
 def a05(t):
     text = lambda c: F.concat(F.lit('"'), decimal_text(c), F.lit('"'))
@@ -122,7 +122,7 @@ def a05(t):
         keep=["instrument_id"],
     ).filter(~F.col("malformed"))
     out = out.select(
-        "instrument_id", "open_time_ns", "close_time_ns", F.floor("close").cast("bigint").alias("close"), "trade_count",
+        "instrument_id", "open_time_ns", "close_time_ns", F.round(F.col("close").cast("double"), 8).alias("close"), "trade_count",
         "confirmed",
     )
     return out
@@ -144,10 +144,10 @@ def csv_lines(t: Tables):
 
 @query("a06_kline_csv_dump", with_views("bars_brand") + """
 SELECT instrument_id, open_time_ns, close_time_ns - 1000000 AS close_time_ns, close_time_ns - 999999 AS available_time_ns,
-  CAST(floor(close) AS BIGINT) AS close, trade_count FROM bars_brand""")
+  round(close, 8) AS close, trade_count FROM bars_brand""")
 def a06(t):
     out = payloads.kline_csv(csv_lines(t), "line", ["instrument_id"]).filter(~F.col("malformed"))
-    out = out.withColumn("close", F.floor("close").cast("bigint")).select(
+    out = out.withColumn("close", F.round(F.col("close").cast("double"), 8)).select(
         "instrument_id", "open_time_ns", "close_time_ns", "available_time_ns", "close", "trade_count"
     )
     return out
@@ -493,7 +493,7 @@ def f03(t):
 
 @query("a22_two_market_load", with_views("legs_daily_brand") + f"""
 SELECT venue || ':' || instrument_id || ':' || min(open_time_ns) OVER (PARTITION BY venue, instrument_id) AS contract_id,
-  close_time_ns, CAST(floor(close) AS BIGINT) AS close FROM legs_daily_brand QUALIFY available_time_ns < {BOUNDARY}""")
+  close_time_ns, round(close, 8) AS close FROM legs_daily_brand QUALIFY available_time_ns < {BOUNDARY}""")
 def a22(t):
     columns = [c.strip().split(" ")[0] for c in panel.BAR_SCHEMA.split(",")]
     legs = t.legs("p_brand").withColumn("source_payload_hash", F.lit("")).select(*columns)
@@ -502,7 +502,7 @@ def a22(t):
         paths[market] = scratch_path(t.spark, market)
         panel.publish_bars(legs.filter(F.col("venue") == market), paths[market])
     out = panel.load_leg_bars(t.spark, paths["perp"], paths["spot"], available_before_ns=BOUNDARY)
-    return out.select("contract_id", "close_time_ns", F.floor("close").alias("close"))
+    return out.select("contract_id", "close_time_ns", F.round("close", 8).alias("close"))
 
 
 @query("a23_source_kinds_to_one_schema", with_views("bars_brand") + """

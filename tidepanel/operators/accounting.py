@@ -1,4 +1,4 @@
-"""Episode accounting: what a weekly book earned, and what trading it cost."""
+"""Episode accounting: what a weekly book earned, and what turning it over cost."""
 
 from __future__ import annotations
 

@@ -89,6 +89,12 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate that several branches read, and read it back.
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as filesystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.operators.quality import union_by_precedence
+from tidepanel.operators.quality import integrity_reasons, union_by_precedence
 from tidepanel.operators.universe import attach_contract_id
+from tidepanel.session import staged
 
 BAR_SCHEMA = (
     "instrument_id string, open_time_ns bigint, close_time_ns bigint, available_time_ns bigint, interval_ns bigint, "
@@ -78,42 +83,110 @@ def publish_bars(bars: DataFrame, path: str, *, partitions: Sequence[str] = ("ve
 
 
 def append_records(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Records to append, and conflicts: a known key with different content."""
-    content = lambda df: F.xxhash64(*[c for c in sorted(df.columns) if c != key])
-    known = existing.select(key, content(existing).alias("_known"))
-    judged = incoming.withColumn("_new", content(incoming)).join(known, key, "left")
-    fresh = judged.filter(F.col("_known").isNull()).drop("_known", "_new")
-    conflicts = judged.filter(F.col("_known") != F.col("_new")).drop("_known", "_new")
+    """Records to append, and conflicts: a known key with different content. Contents are compared field by field, null like null."""
+    names = [c for c in sorted(existing.columns) if c != key]
+    known = existing.select(key, F.struct(*names).alias("_known"), F.lit(True).alias("_there"))
+    judged = incoming.withColumn("_new", F.struct(*names)).join(known, key, "left")
+    fresh = judged.filter(F.col("_there").isNull()).drop("_known", "_new", "_there")
+    conflicts = judged.filter(F.col("_there") & ~F.col("_new").eqNullSafe(F.col("_known"))).drop("_known", "_new", "_there")
     return fresh, conflicts
 
 
+def append_to_log(spark: SparkSession, path: str, incoming: DataFrame, key: str) -> DataFrame:
+    """Append what is new to an append-only log and return the conflicts, which stay out; known records are no news.
+
+    Both sides of the decision are written before the log grows, so a run that is
+    repeated after a failure decides over the same log or finds everything known.
+    """
+    existing = read_or_empty(spark, path, incoming.schema)
+    fresh, conflicts = append_records(existing, incoming, key)
+    told = staged(conflicts, "conflicts")
+    staged(fresh, "fresh").write.mode("append").option("compression", "zstd").parquet(path)
+    return told
+
+
 def merge_sources(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Rows of several source kinds under one schema, earlier kinds taking precedence."""
     return union_by_precedence(sources, keys)
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of zipped CSV dumps, one archive member at a time.
+def write_archives(lines: DataFrame, path: str, header: str | None = None) -> DataFrame:
+    """Zipped CSV dumps, one archive per `archive` name with its `line`s by `position`; returns (archive, lines, hash).
 
-    Archives are read as binary rows spread over the executors; each holds one
-    instrument's month, so a task never sees more than one small file at once.
+    An archive holds one instrument's lines of one period, so a group is bounded by
+    the calendar. Files go through `pyarrow.fs`, to a folder every executor can reach.
     """
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        name = frame["archive"].iloc[0]
+        text = frame.sort_values("position")["line"].tolist()
+        content = io.BytesIO()
+        with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+            member = zipfile.ZipInfo(f"{name}.csv")  # with a fixed time, so that a retry writes the same bytes
+            archive.writestr(member, "\n".join([header, *text] if header else text) + "\n")
+        system, place = filesystem.FileSystem.from_uri(path) if ":" in path else (filesystem.LocalFileSystem(), path)
+        system.create_dir(place, recursive=True)
+        with system.open_output_stream(f"{place}/{name}.zip") as out:
+            out.write(content.getvalue())
+        return pd.DataFrame([(name, len(text), hashlib.sha256(content.getvalue()).hexdigest())], columns=["archive", "lines", "hash"])
+
+    return staged(lines.groupBy("archive").applyInPandas(pack, "archive string, lines bigint, hash string"), "archives")
+
+
+def zipped_lines(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
+    """(archive, line) of zipped CSV dumps, without the header line where a dump has one.
+
+    Archives are binary rows, dealt out one by one; a member is read line by line.
+    """
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     for member in archive.namelist():
-                        text = archive.read(member).decode("utf-8").splitlines()
-                        yield pd.DataFrame({"path": name, "member": member, "line": [t for t in text if t.strip()]})
+                        with archive.open(member) as file:
+                            text = (raw.decode("utf-8").strip() for raw in file)
+                            wanted = (t for t in text if t and not (header and t.startswith(header)))
+                            while part := list(itertools.islice(wanted, 10_000)):
+                                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part)], ["path", "line"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    spread = files.select("path", "content").repartition(max(1, files.select("path").count()))
+    stem = F.regexp_extract("path", r"([^/]+)\.zip$", 1)
+    return spread.mapInArrow(lines, "path string, line string").select(stem.alias("archive"), "line")
+
 
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInPandas(lines, "path string, member string, line string")
+def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSONL files under a declared schema, and the lines that are no JSON of it; parsed once, for both."""
+    both = staged(spark.read.schema(f"{schema}, _line string").option("columnNameOfCorruptRecord", "_line").json(path), "json")
+    return both.filter(F.col("_line").isNull()).drop("_line"), both.filter(F.col("_line").isNotNull()).select(F.col("_line").alias("line"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every file under a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("file"), F.sha2("content", 256).alias("hash"))
+    """(file, hash): SHA-256 of every data file under a path, by its place below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    return files.select(F.substring_index("path", f"/{root}/", -1).alias("file"), F.sha2("content", 256).alias("hash"))
+
+
+def publish_with_manifest(rows: DataFrame, path: str, partitions: Sequence[str]) -> DataFrame:
+    """An immutable partitioned dataset with the hash of each file beside it; returns the manifest."""
+    rows.repartition(*partitions).write.mode("errorifexists").option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    file_hashes(rows.sparkSession, path).write.mode("errorifexists").parquet(f"{path.rstrip('/')}-manifest")
+    return rows.sparkSession.read.parquet(f"{path.rstrip('/')}-manifest")
+
+
+def move_into(spark: SparkSession, folder: str, file: str) -> None:
+    """Put the one data file of a written folder in the place of another file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(file).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = system.globStatus(path(f"{folder}/part-*"))[0].getPath()
+    system.delete(path(file), False)
+    if not system.rename(part, path(file)):
+        raise OSError(f"{part} could not replace {file}")
+
+
+def audit(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason): files that are missing, mismatched or unlisted against the published manifest."""
+    return integrity_reasons(file_hashes(spark, path), spark.read.parquet(f"{path.rstrip('/')}-manifest"), ["file"])
 
 
 def single_day_violations(tail: DataFrame, keys: Sequence[str], day: str, expected: str) -> DataFrame:
