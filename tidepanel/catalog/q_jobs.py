@@ -187,6 +187,20 @@ SETTLED_SQL = {
 }
 
 
+REFERENCE = J.control_reference(CARRY_MEMBERS)
+CONTROL_SQL = {
+    "lent": f"SELECT * FROM trailed WHERE member = '{REFERENCE.name}'",
+    "drawn_pairs": f"""
+    SELECT *, row_number() OVER (PARTITION BY decision_ns ORDER BY {P.random_score(CARRY.random_seed, 'decision_ns', 'pair_id')}, pair_id) AS rk,
+      count(*) OVER (PARTITION BY decision_ns) AS total FROM lent""",
+    "formed_of": """
+    SELECT member, decision_ns, pair_id, perp_contract, spot_contract, hold, exits, rank FROM ranked
+    UNION ALL SELECT 'random_pairs', decision_ns, pair_id, perp_contract, spot_contract, hold, false, rk FROM drawn_pairs WHERE rk <= greatest(1, total // 2)
+    UNION ALL SELECT 'all_pairs', decision_ns, pair_id, perp_contract, spot_contract, hold, false, row_number() OVER (PARTITION BY decision_ns ORDER BY pair_id)
+    FROM lent WHERE trail_sum > 0""",
+}
+
+
 def inputs(t, rules=CARRY):
     return J.carry_inputs(t.legs(), declared_pairs(t), t.funding(), t.decisions, rules, S.GEOMETRY, CARRY_MEMBERS)
 
@@ -209,7 +223,7 @@ def f04(t):
 
 
 COHORT_SQL = {
-    **PAIR_SQL, **SETTLED_SQL, **warm_calendar(7, "pairs"),
+    **PAIR_SQL, **SETTLED_SQL, **CONTROL_SQL, **warm_calendar(7, "pairs"),
     "named": "SELECT DISTINCT pair_id, perp_contract, spot_contract FROM pairs",
     "prices": P.prices("legs_type"),
     "facts": """
@@ -219,7 +233,7 @@ COHORT_SQL = {
     "entries": """
     SELECT f.fold_index, r.member, r.pair_id, r.perp_contract, r.spot_contract, r.hold, r.exits, r.decision_ns AS formed,
       count(*) OVER (PARTITION BY f.fold_index, r.member, r.decision_ns) AS formed_size
-    FROM ranked r JOIN whole f ON f.decision_ns = r.decision_ns AND NOT f.skipped""",
+    FROM formed_of r JOIN whole f ON f.decision_ns = r.decision_ns AND NOT f.skipped""",
     "live": f"""
     SELECT e.*, d.decision_ns FROM entries e JOIN calendar d ON d.fold_index = e.fold_index AND NOT d.skipped AND d.decision_ns >= formed
       AND d.decision_ns < formed + hold * {WEEK}
@@ -236,7 +250,7 @@ COHORT_SQL = {
 @query("c13_carry_cohort_book", with_views("legs_type", "funding_type", "decisions", more=COHORT_SQL) + """
 SELECT fold_index, member, decision_ns, contract_id, round(weight, 9) AS weight FROM weights""")
 def c13(t):
-    return rounded(J.carry_legs(inputs(t), CARRY_MEMBERS, CARRY, S.CARRY_BASE), 9)
+    return rounded(J.carry_legs(inputs(t), CARRY_MEMBERS, CARRY, S.CARRY_BASE, controls=True), 9)
 
 
 @query("c15_pairs_removed_from_cohorts", with_views("legs_type", "funding_type", "decisions", more=COHORT_SQL) + """
@@ -244,18 +258,10 @@ SELECT e.fold_index, e.member, e.formed, e.pair_id, count(l.decision_ns) AS week
 LEFT JOIN live l USING (fold_index, member, formed, pair_id) GROUP BY ALL""")
 def c15(t):
     got = inputs(t)
-    place = got.calendar.filter(~F.col("skipped")).select("fold_index", "decision_ns")
-    ranked = J.rank_members(got.eligible, CARRY_MEMBERS, CARRY, S.CARRY_BASE).join(place, "decision_ns")
-    entries = ranked.withColumnRenamed("decision_ns", "formed_ns")
-    out = None
-    for m in CARRY_MEMBERS:
-        facts = got.facts.withColumn("removed", ~F.col("paid_last_week") & F.lit(m.exit_on_negative))
-        live = carry.live_cohorts(
-            entries.filter(F.col("member") == m.name), got.calendar, facts, hold_weeks=m.hold_weeks, book=J.BOOK
-        )
-        out = live if out is None else out.unionByName(live)
+    entries = J.carry_entries(got, CARRY_MEMBERS, CARRY, S.CARRY_BASE, controls=True)
+    live = carry.live_cohorts(entries, got.calendar, got.facts, book=J.BOOK)
     keys = ["fold_index", "member", "formed_ns", "pair_id"]
-    weeks = out.groupBy(*keys).agg(F.count("*").alias("weeks_held"))
+    weeks = live.groupBy(*keys).agg(F.count("*").alias("weeks_held"))
     return entries.select(*keys).join(weeks, keys, "left").fillna(0, ["weeks_held"]).withColumnRenamed("formed_ns", "formed")
 
 
@@ -289,7 +295,7 @@ def c22(t):
     return gone.groupBy("decision_ns").agg(F.array_join(F.array_sort(F.collect_list("leg")), ",").alias("missing_legs"))
 
 
-CARRY_NAMES = [m.name for m in CARRY_MEMBERS]
+CARRY_NAMES = J.carry_names(CARRY_MEMBERS, controls=True)
 CARRY_SQL = {
     **COHORT_SQL,
     "leg_tiers": "SELECT decision_ns, tier, perp_contract AS contract_id FROM pairs UNION ALL SELECT decision_ns, tier, spot_contract FROM pairs",
@@ -298,8 +304,12 @@ CARRY_SQL = {
 }
 
 
+def carry_line_report(t):
+    return report(t, "carry-lines", lambda: J.carry_lines(inputs(t), CARRY_MEMBERS, CARRY, COSTS, controls=True))
+
+
 def carry_report(t):
-    return report(t, "carry", lambda: J.carry_fold(inputs(t), CARRY_MEMBERS, CARRY, COSTS))
+    return report(t, "carry", lambda: J.carry_episodes(carry_line_report(t), inputs(t), COSTS, CARRY_NAMES))
 
 
 # Half shares of round rates end in a 5 at the tenth digit, so costs keep eleven.
@@ -316,6 +326,26 @@ def d17(t):
     return rounded(rows, 9, [a for a in P.AMOUNTS if a not in FINE_COSTS])
 
 
+SIDES = {"spot": "contract_id LIKE 'spot:%'", "perp": "contract_id LIKE 'perp:%'"}
+
+
+@query("d17b_leg_split", with_views("legs_type", "funding_type", "decisions", more=CARRY_SQL) + f"""
+SELECT fold_index, member, decision_ns, scenario, round(sum(CASE WHEN {SIDES['spot']} THEN turnover_cost ELSE 0 END), 11) AS spot_cost,
+  round(sum(CASE WHEN {SIDES['perp']} THEN turnover_cost ELSE 0 END), 11) AS perp_cost,
+  count_if(forced AND weight <> 0 AND {SIDES['spot']}) AS forced_spot_legs, count_if(forced AND weight <> 0 AND {SIDES['perp']}) AS forced_perp_legs,
+  round(-sum(funding_cost), 11) AS funding_collected, round(sum(gross), 9) AS basis_pnl FROM lines GROUP BY ALL""")
+def d17b(t):
+    out = J.leg_split(carry_line_report(t))
+    return rounded(rounded(out, 11, ["spot_cost", "perp_cost", "funding_collected"]), 9, ["basis_pnl"])
+
+
+@query("d17c_pair_contributions", with_views("legs_type", "funding_type", "decisions", more={**CARRY_SQL,
+    "of_pair": "SELECT DISTINCT pair_id, perp_contract AS contract_id FROM pairs UNION SELECT DISTINCT pair_id, spot_contract FROM pairs"}) + """
+SELECT fold_index, member, decision_ns, scenario, pair_id, round(sum(net), 8) AS net FROM lines JOIN of_pair USING (contract_id) GROUP BY ALL""")
+def d17c(t):
+    return rounded(J.pair_contributions(carry_line_report(t), inputs(t).eligible), 8)
+
+
 @query("p06_carry_decisions", with_views("legs_type", "funding_type", "decisions", more=CARRY_SQL) + """
 SELECT member, scenario, count(*) AS episodes, count_if(positions = 0) AS held_nothing, round(sum(net_return), 9) AS net_return,
   round(-sum(funding_cost), 9) AS funding_collected, round(sum(gross_return), 9) AS basis_pnl FROM grid_episodes GROUP BY ALL""")
@@ -335,10 +365,10 @@ def p08(t):
     ), 9)
 
 
-@query("p07_cohort_selection", with_views("legs_type", "funding_type", more={**PAIR_SQL, **SETTLED_SQL}) + """
-SELECT member, decision_ns, count(*) AS cohort_size, string_agg(pair_id, ',' ORDER BY rank) AS pairs FROM ranked GROUP BY ALL""")
+@query("p07_cohort_selection", with_views("legs_type", "funding_type", more={**PAIR_SQL, **SETTLED_SQL, **CONTROL_SQL}) + """
+SELECT member, decision_ns, count(*) AS cohort_size, string_agg(pair_id, ',' ORDER BY rank) AS pairs FROM formed_of GROUP BY ALL""")
 def p07(t):
-    ranked = J.rank_members(inputs(t).eligible, CARRY_MEMBERS, CARRY, S.CARRY_BASE)
+    ranked = J.rank_members(inputs(t).eligible, CARRY_MEMBERS, CARRY, S.CARRY_BASE, controls=True)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "pair_id")))
     return ranked.groupBy("member", "decision_ns").agg(
         F.count("*").alias("cohort_size"), F.array_join(F.transform(ordered, lambda s: s["pair_id"]), ",").alias("pairs")
@@ -362,17 +392,16 @@ def d35(t):
     got = inputs(t)
     live = got.calendar.filter(~F.col("is_warm_up") & ~F.col("skipped"))
     last = live.groupBy("fold_index").agg(F.max("decision_ns").alias("decision_ns"))
-    legs = J.carry_legs(got, CARRY_MEMBERS, CARRY, S.CARRY_BASE)
+    legs = J.carry_legs(got, CARRY_MEMBERS, CARRY, S.CARRY_BASE, controls=True)
     return rounded(legs.join(last, ["fold_index", "decision_ns"]).select("fold_index", "member", "contract_id", "weight"), 9)
 
 
 @query("b25_control_borrows_shortest_hold", with_views("legs_type", more=PAIR_SQL) + f"""
-SELECT decision_ns, count(*) AS pairs, greatest(1, count(*) // 2) AS book_width, '{CARRY_MEMBERS[0].name}' AS control_reference FROM pairs GROUP BY ALL""")
+SELECT decision_ns, count(*) AS pairs, greatest(1, count(*) // 2) AS book_width, '{REFERENCE.name}' AS control_reference FROM pairs GROUP BY ALL""")
 def b25(t):
     pairs = carry.select_pairs(t.legs(), declared_pairs(t), CARRY.pairs)
-    shortest = min(enumerate(CARRY_MEMBERS), key=lambda pair: (pair[1].hold_weeks, pair[0]))[1].name
     return pairs.groupBy("decision_ns").agg(F.count("*").alias("pairs")).withColumns({
-        "book_width": F.greatest(F.lit(1), F.floor(F.col("pairs") / 2)), "control_reference": F.lit(shortest)
+        "book_width": F.greatest(F.lit(1), F.floor(F.col("pairs") / 2)), "control_reference": F.lit(REFERENCE.name)
     })
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.timefns import WEEK_NS
 from tidepanel.operators.accounting import CostTable
 from tidepanel.operators.universe import UniverseRules, screen_contracts
+from tidepanel.operators.weights import seeded_score
 
 
 @dataclass(frozen=True)
@@ -83,23 +84,25 @@ def round_trip_bps(cost: CostTable, tier: Column) -> Column:
     return F.lit((cost.spot_fee_bps or 0.0) + cost.fee_bps) + 2 * slippage
 
 
-def hurdle(cost: CostTable, tier: Column, *, multiple: float, lookback_weeks: int, hold_weeks: int) -> Column:
-    """The smallest trailing sum worth entering for, as a fraction."""
-    return F.lit(2 * multiple) * round_trip_bps(cost, tier) / F.lit(10_000.0) * F.lit(lookback_weeks / hold_weeks)
+def hurdle(cost: CostTable, tier: Column, *, multiple: Column, lookback_weeks: Column, hold_weeks: Column) -> Column:
+    """The smallest trailing sum worth entering for, as a fraction; NULL where a member has no multiple."""
+    return 2 * multiple * round_trip_bps(cost, tier) / F.lit(10_000.0) * (lookback_weeks / hold_weeks)
 
 
-def rank_paying(eligible: DataFrame, selection: Selection, *, minimum: Column | None = None) -> DataFrame:
-    """Top-decile positive payers above their hurdle, ranked per decision.
+def book_width(eligible: Column, selection: Selection) -> Column:
+    """How many pairs a cohort may hold, out of all that are eligible."""
+    return F.greatest(F.lit(selection.minimum_selected), F.floor(eligible / F.lit(selection.decile_denominator)).cast("int"))
+
+
+def rank_paying(eligible: DataFrame, selection: Selection, *, minimum: Column | None = None, group: Sequence[str] = ("decision_ns",)) -> DataFrame:
+    """Top-decile positive payers above their hurdle, ranked per group.
 
     The decile width counts every eligible pair, so the hurdle can only thin
-    the ranking. `eligible` carries ``trailing``.
+    the ranking. `eligible` carries ``trailing``; a NULL minimum asks for nothing.
     """
-    cell = W.partitionBy("decision_ns")
-    width = F.greatest(
-        F.lit(selection.minimum_selected),
-        F.floor(F.col("_eligible") / F.lit(selection.decile_denominator)).cast("int"),
-    )
-    clears = F.lit(True) if minimum is None else F.col("trailing") >= minimum
+    cell = W.partitionBy(*group)
+    width = book_width(F.col("_eligible"), selection)
+    clears = F.lit(True) if minimum is None else F.coalesce(F.col("trailing") >= minimum, F.lit(True))
     return (
         eligible.withColumn("_eligible", F.count("*").over(cell))
         .filter((F.col("trailing") > 0) & clears)
@@ -111,6 +114,26 @@ def rank_paying(eligible: DataFrame, selection: Selection, *, minimum: Column |
     )
 
 
+CONTROLS = ("no_trade", "random_pairs", "all_pairs")
+
+
+def control_pairs(eligible: DataFrame, selection: Selection, seed: int) -> DataFrame:
+    """The pairs of the controls that hold any, under ``member`` and ``rank``; `no_trade` holds none.
+
+    `random_pairs` takes a book's width of pairs in a seeded order; `all_pairs`
+    takes every pair that paid. `eligible` carries ``trailing``.
+    """
+    cell = W.partitionBy("decision_ns")
+    drawn = seeded_score(seed, F.col("decision_ns"), F.col("pair_id"))
+    random = (
+        eligible.withColumn("_n", F.count("*").over(cell))
+        .withColumn("rank", F.row_number().over(cell.orderBy(drawn, "pair_id")))
+        .filter(F.col("rank") <= book_width(F.col("_n"), selection)).drop("_n")
+    )
+    paying = eligible.filter("trailing > 0").withColumn("rank", F.row_number().over(cell.orderBy("pair_id")))
+    return random.withColumn("member", F.lit("random_pairs")).unionByName(paying.withColumn("member", F.lit("all_pairs")))
+
+
 def fill_slots(ranked: DataFrame, blocked: DataFrame, *, free: int, group: Sequence[str]) -> DataFrame:
     """The first `free` ranked pairs of each group that are neither held nor skipped."""
     order = W.partitionBy(*group).orderBy("rank", "pair_id")
@@ -119,7 +142,7 @@ def fill_slots(ranked: DataFrame, blocked: DataFrame, *, free: int, group: Seque
 
 
 def live_cohorts(
-    entries: DataFrame, calendar: DataFrame, facts: DataFrame, *, hold_weeks: int, book: Sequence[str],
+    entries: DataFrame, calendar: DataFrame, facts: DataFrame, *, book: Sequence[str],
 ) -> DataFrame:
     """Entries still held at each decision of their fold.
 
@@ -128,35 +151,36 @@ def live_cohorts(
     ends at a skipped decision, at an untradeable or exit-rule one, and after a
     forced close. Warm-up decisions form entries and end none.
 
-    `entries` has ``formed_ns`` and ``pair_id``; `facts` has decision_ns,
-    pair_id, ``removed`` and ``closes_forced``, a missing row meaning the pair
-    cannot be traded.
+    `entries` has ``formed_ns``, ``pair_id``, and their member's ``hold_weeks`` and
+    ``exits``; `facts` has decision_ns, pair_id, ``paid_last_week`` and
+    ``closes_forced``, a missing row meaning the pair cannot be traded.
     """
     fold = [c for c in ("fold_index",) if c in calendar.columns]
-    reach = entries.withColumn("_age", F.explode(F.sequence(F.lit(0), F.lit(hold_weeks - 1)))).withColumn(
+    reach = entries.withColumn("_age", F.explode(F.sequence(F.lit(0), F.col("hold_weeks") - 1))).withColumn(
         "decision_ns", F.col("formed_ns") + F.col("_age") * F.lit(WEEK_NS)
     )
     in_window = calendar.filter(~F.col("is_warm_up")).select(*fold, "decision_ns", "skipped")
     met = reach.join(in_window, [*fold, "decision_ns"]).join(
-        facts.select("decision_ns", "pair_id", "removed", "closes_forced"), ["decision_ns", "pair_id"], "left"
+        facts.select("decision_ns", "pair_id", "paid_last_week", "closes_forced"), ["decision_ns", "pair_id"], "left"
     )
+    removed = F.when(F.col("paid_last_week").isNull(), True).otherwise(~F.col("paid_last_week") & F.col("exits"))
     path = W.partitionBy(*book, "pair_id", "formed_ns").orderBy("decision_ns")
-    ends_now = (F.col("skipped") & (F.col("_age") > 0)) | F.coalesce("removed", F.lit(True))
+    ends_now = (F.col("skipped") & (F.col("_age") > 0)) | removed
     ended = F.max(ends_now).over(path.rowsBetween(W.unboundedPreceding, 0))
     closed = F.max(F.coalesce("closes_forced", F.lit(False))).over(path.rowsBetween(W.unboundedPreceding, -1))
     return (
         met.withColumn("_ended", ended | F.coalesce(closed, F.lit(False)))
         .filter(~F.col("_ended") & ~F.col("skipped"))
-        .drop("_age", "_ended", "removed", "closes_forced", "skipped")
+        .drop("_age", "_ended", "paid_last_week", "closes_forced", "skipped")
     )
 
 
-def cohort_legs(live: DataFrame, *, hold_weeks: int, book: Sequence[str]) -> DataFrame:
-    """Leg weights of the union of live cohorts: each cohort on 1/H of capital.
+def cohort_legs(live: DataFrame, *, book: Sequence[str]) -> DataFrame:
+    """Leg weights of the union of live cohorts: each cohort on 1/H of capital, H being ``hold_weeks``.
 
     Shares divide by the size a cohort was formed with; what left stays cash.
     """
-    share = F.lit(1.0 / hold_weeks) / F.col("formed_size") / 2
+    share = F.lit(1.0) / F.col("hold_weeks") / F.col("formed_size") / 2
     legs = F.array(
         F.struct(F.col("spot_contract").alias("contract_id"), share.alias("w")),
         F.struct(F.col("perp_contract").alias("contract_id"), (-share).alias("w")),

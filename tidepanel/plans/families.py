@@ -172,21 +172,40 @@ class CarryRules:
     slots: int | None = None  # a slot book instead of weekly cohorts
 
 
-def rank_members(eligible: DataFrame, members: Sequence[CarryMember], rules: CarryRules, cost: accounting.CostTable) -> DataFrame:
-    """The paying ranking of every member per decision; `eligible` has trailing_<n>w."""
-    out = None
-    for m in members:
-        rows = eligible.withColumn("trailing", F.col(f"trailing_{m.lookback_weeks}w"))
-        floor = None
-        if m.hurdle_multiple is not None:
-            floor = carry.hurdle(
-                cost, F.col("tier"), multiple=m.hurdle_multiple, lookback_weeks=m.lookback_weeks, hold_weeks=m.hold_weeks
-            )
-        ranked = carry.rank_paying(rows, rules.selection, minimum=floor).select(
-            "decision_ns", F.lit(m.name).alias("member"), "pair_id", "perp_contract", "spot_contract", "tier", "rank", "trailing"
-        )
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+def control_reference(members: Sequence[CarryMember]) -> CarryMember:
+    """The member whose lookback and hold the controls borrow: the shortest hold, the first declared among equals."""
+    return min(members, key=lambda m: m.hold_weeks)
+
+
+def member_rows(eligible: DataFrame, members: Sequence[CarryMember]) -> DataFrame:
+    """`eligible` once for each member, with the member's parameters and its ``trailing`` sum."""
+    options = F.array(*[
+        F.struct(
+            F.lit(m.name).alias("member"), F.col(f"trailing_{m.lookback_weeks}w").alias("trailing"), F.lit(m.lookback_weeks).alias("lookback_weeks"),
+            F.lit(m.hold_weeks).alias("hold_weeks"), F.lit(m.exit_on_negative).alias("exits"), F.lit(m.hurdle_multiple).cast("double").alias("multiple"),
+        ) for m in members
+    ])
+    return eligible.withColumn("_m", F.explode(options)).select(*eligible.columns, "_m.*")
+
+
+RANKED = ("decision_ns", "member", "pair_id", "perp_contract", "spot_contract", "tier", "rank", "trailing", "hold_weeks", "exits")
+
+
+def rank_members(
+    eligible: DataFrame, members: Sequence[CarryMember], rules: CarryRules, cost: accounting.CostTable, *, controls: bool = False,
+) -> DataFrame:
+    """The paying ranking of every member per decision, in one plan; `eligible` has trailing_<n>w. Controls are members too."""
+    floor = carry.hurdle(
+        cost, F.col("tier"), multiple=F.col("multiple"), lookback_weeks=F.col("lookback_weeks"), hold_weeks=F.col("hold_weeks")
+    )
+    ranked = carry.rank_paying(member_rows(eligible, members), rules.selection, minimum=floor, group=("member", "decision_ns")).select(*RANKED)
+    if not controls:
+        return ranked
+    reference = control_reference(members)
+    borrowed = eligible.withColumns({
+        "trailing": F.col(f"trailing_{reference.lookback_weeks}w"), "hold_weeks": F.lit(reference.hold_weeks), "exits": F.lit(False),
+    })
+    return ranked.unionByName(carry.control_pairs(borrowed, rules.selection, rules.random_seed).select(*RANKED))
 
 
 @dataclass(frozen=True)
@@ -219,43 +238,84 @@ def carry_inputs(
     return CarryInputs(legs, eligible, weekly, calendar, facts)
 
 
-def carry_legs(inputs: CarryInputs, members: Sequence[CarryMember], rules: CarryRules, cost: accounting.CostTable) -> DataFrame:
+def carry_entries(inputs: CarryInputs, members: Sequence[CarryMember], rules: CarryRules, cost: accounting.CostTable, *, controls: bool = False) -> DataFrame:
+    """What every member's cohorts are formed of, with the size they are formed with."""
+    place = inputs.calendar.filter(~F.col("skipped")).select("fold_index", "decision_ns")
+    ranked = rank_members(inputs.eligible, members, rules, cost, controls=controls).join(place, "decision_ns")
+    size = F.count("*").over(W.partitionBy("fold_index", "member", "decision_ns"))
+    return ranked.withColumn("formed_size", size).withColumnRenamed("decision_ns", "formed_ns")
+
+
+def carry_legs(
+    inputs: CarryInputs, members: Sequence[CarryMember], rules: CarryRules, cost: accounting.CostTable, *, controls: bool = False,
+) -> DataFrame:
     """Leg weights of every member's book at every live decision of every fold."""
-    ranked = rank_members(inputs.eligible, members, rules, cost)
+    if not rules.slots:
+        entries = carry_entries(inputs, members, rules, cost, controls=controls)
+        return carry.cohort_legs(carry.live_cohorts(entries, inputs.calendar, inputs.facts, book=BOOK), book=BOOK)
     place = inputs.calendar.filter(~F.col("skipped")).select("fold_index", "decision_ns")
-    placed = staged(ranked.join(place, "decision_ns"), "ranked")
+    placed = staged(rank_members(inputs.eligible, members, rules, cost).join(place, "decision_ns"), "ranked")
+    named = inputs.eligible.select("pair_id", "perp_contract", "spot_contract").distinct()
     out = None
     for m in members:
-        mine = placed.filter(F.col("member") == m.name)
-        if rules.slots:
-            book = carry.slot_book(
-                mine, inputs.calendar, inputs.facts, slots=rules.slots, hold_weeks=m.hold_weeks,
-                exit_on_negative=m.exit_on_negative,
-            )
-            named = inputs.eligible.select("pair_id", "perp_contract", "spot_contract").distinct()
-            held = book.join(named, "pair_id").withColumn("formed_size", F.lit(1))
-            legs = carry.cohort_legs(held, hold_weeks=rules.slots, book=BOOK)
-        else:
-            size = F.count("*").over(W.partitionBy("fold_index", "decision_ns"))
-            entries = mine.withColumn("formed_size", size).withColumnRenamed("decision_ns", "formed_ns")
-            facts = inputs.facts.withColumn("removed", ~F.col("paid_last_week") & F.lit(m.exit_on_negative))
-            live = carry.live_cohorts(entries, inputs.calendar, facts, hold_weeks=m.hold_weeks, book=BOOK)
-            legs = carry.cohort_legs(live, hold_weeks=m.hold_weeks, book=BOOK)
+        book = carry.slot_book(
+            placed.filter(F.col("member") == m.name), inputs.calendar, inputs.facts, slots=rules.slots, hold_weeks=m.hold_weeks,
+            exit_on_negative=m.exit_on_negative,
+        )
+        held = book.join(named, "pair_id").withColumns({"formed_size": F.lit(1), "hold_weeks": F.lit(rules.slots)})
+        legs = carry.cohort_legs(held, book=BOOK)
         out = legs if out is None else out.unionByName(legs)
     return out
 
 
+def leg_tiers(inputs: CarryInputs) -> DataFrame:
+    return inputs.eligible.select("decision_ns", "tier", F.explode(F.array("perp_contract", "spot_contract")).alias("contract_id"))
+
+
+def carry_names(members: Sequence[CarryMember], controls: bool) -> list[str]:
+    return [m.name for m in members] + list(carry.CONTROLS if controls else ())
+
+
+def carry_lines(
+    inputs: CarryInputs, members: Sequence[CarryMember], rules: CarryRules, scenarios: Sequence[accounting.CostTable], *, controls: bool = False,
+) -> DataFrame:
+    """Leg-level lines of every book: a pair's two legs are contracts of their own."""
+    legs = carry_legs(inputs, members, rules, scenarios[0], controls=controls)
+    prices = windows.holding_prices(inputs.legs, rules.holding_days).select(
+        "contract_id", F.col("close_time_ns").alias("decision_ns"), "entry_close", "exit_close", "last_inside"
+    )
+    live = inputs.calendar.filter(~F.col("is_warm_up"))
+    return accounting.evaluate_book(legs, prices, live, scenarios, book=BOOK, tiers=leg_tiers(inputs), settlements=inputs.weekly)
+
+
+def carry_episodes(
+    lines: DataFrame, inputs: CarryInputs, scenarios: Sequence[accounting.CostTable], names: Sequence[str],
+) -> DataFrame:
+    live = inputs.calendar.filter(~F.col("is_warm_up"))
+    return accounting.complete_grid(accounting.episodes(lines, BOOK), live, names, scenarios)
+
+
 def carry_fold(
     inputs: CarryInputs, members: Sequence[CarryMember], rules: CarryRules, scenarios: Sequence[accounting.CostTable]
 ) -> DataFrame:
     """Carry episodes: two-leg books priced leg by leg under every scenario."""
-    legs = carry_legs(inputs, members, rules, scenarios[0])
-    tiers = inputs.eligible.select(
-        "decision_ns", "tier", F.explode(F.array("perp_contract", "spot_contract")).alias("contract_id")
-    )
-    names = [m.name for m in members]
-    return price_fold_books(
-        legs, inputs.legs, inputs.calendar, scenarios, names, tiers, inputs.weekly, rules.holding_days
+    lines = carry_lines(inputs, members, rules, scenarios)
+    return carry_episodes(lines, inputs, scenarios, carry_names(members, controls=False))
+
+
+def leg_split(lines: DataFrame) -> DataFrame:
+    """Each episode's turnover cost, funding and forced closes by market of the leg."""
+    market = carry.leg_market(F.col("contract_id"))
+    forced = F.col("forced") & (F.col("weight") != 0)
+    return lines.groupBy(*BOOK, "decision_ns", "scenario").agg(
+        F.sum(F.when(market == "spot", F.col("turnover_cost")).otherwise(0.0)).alias("spot_cost"),
+        F.sum(F.when(market == "perp", F.col("turnover_cost")).otherwise(0.0)).alias("perp_cost"),
+        F.count_if(forced & (market == "spot")).alias("forced_spot_legs"), F.count_if(forced & (market == "perp")).alias("forced_perp_legs"),
+        (-F.sum("funding_cost")).alias("funding_collected"), F.sum("gross").alias("basis_pnl"),
     )
 
 
+def pair_contributions(lines: DataFrame, eligible: DataFrame) -> DataFrame:
+    """What each pair contributed to each episode: its legs' net, summed under the pair."""
+    named = eligible.select("pair_id", F.explode(F.array("perp_contract", "spot_contract")).alias("contract_id")).distinct()
+    return lines.join(named, "contract_id").groupBy(*BOOK, "decision_ns", "scenario", "pair_id").agg(F.sum("net").alias("net"))
