@@ -437,3 +437,58 @@ def g02(t):
     return rounded(c14(t).groupBy("fold_index", "member", "decision_ns").agg(
         F.count("*").alias("positions"), F.sum(F.abs("weight")).alias("gross")
     ), 7)
+
+
+def live_pairs(t):
+    """The carry job's inputs and the pairs its cohorts hold at each decision, controls included."""
+    got = inputs(t)
+    entries = J.carry_entries(got, CARRY_MEMBERS, CARRY, S.CARRY_BASE, controls=True)
+    return got, carry.live_cohorts(entries, got.calendar, got.facts, book=J.BOOK)
+
+
+@query("c22b_held_legs_without_bar", with_views("legs_type", "funding_type", "decisions", more={**COHORT_SQL, "held_legs": f"""
+    SELECT DISTINCT l.fold_index, l.member, l.decision_ns + {WEEK} AS decision_ns, unnest([perp_contract, spot_contract]) AS leg
+    FROM live l JOIN calendar c ON c.fold_index = l.fold_index AND c.decision_ns = l.decision_ns + {WEEK} WHERE l.decision_ns + {WEEK} < formed + hold * {WEEK}"""}) + """
+SELECT fold_index, member, decision_ns, string_agg(leg, ',' ORDER BY leg) AS missing_legs, count(*) AS legs FROM held_legs h
+WHERE NOT EXISTS (SELECT 1 FROM legs_type b WHERE b.contract_id = h.leg AND b.close_time_ns = h.decision_ns) GROUP BY ALL""")
+def c22b(t):
+    """Legs still to be held at the next decision that have no bar there; a book's width bounds each list."""
+    got, live = live_pairs(t)
+    following = F.col("decision_ns") + F.lit(WEEK)
+    legs = live.filter(following < F.col("formed_ns") + F.col("hold_weeks") * F.lit(WEEK)).select(
+        "fold_index", "member", following.alias("decision_ns"), F.explode(F.array("perp_contract", "spot_contract")).alias("leg")).distinct()
+    reported = got.calendar.filter(~F.col("is_warm_up")).select("fold_index", "decision_ns")
+    bars = got.legs.select(F.col("contract_id").alias("leg"), F.col("close_time_ns").alias("decision_ns"))
+    gone = legs.join(reported, ["fold_index", "decision_ns"], "left_semi").join(bars, ["leg", "decision_ns"], "left_anti")
+    return gone.groupBy("fold_index", "member", "decision_ns").agg(
+        F.array_join(F.array_sort(F.collect_list("leg")), ",").alias("missing_legs"), F.count("*").alias("legs"))
+
+
+@query("c16b_held_pairs_untradeable", with_views("legs_type", "funding_type", "decisions", more=COHORT_SQL) + f"""
+SELECT DISTINCT l.fold_index, l.member, l.pair_id, l.decision_ns + {WEEK} AS decision_ns FROM live l
+JOIN calendar c ON c.fold_index = l.fold_index AND c.decision_ns = l.decision_ns + {WEEK}
+JOIN facts k ON k.pair_id = l.pair_id AND k.decision_ns = l.decision_ns WHERE k.forced AND l.decision_ns + {WEEK} < formed + hold * {WEEK}""")
+def c16b(t):
+    """Pairs that leave every cohort at a decision because a leg could not be priced there."""
+    got, live = live_pairs(t)
+    closing = got.facts.filter("closes_forced").select("pair_id", "decision_ns")
+    following = F.col("decision_ns") + F.lit(WEEK)
+    held = live.join(closing, ["pair_id", "decision_ns"], "left_semi").filter(following < F.col("formed_ns") + F.col("hold_weeks") * F.lit(WEEK))
+    reported = got.calendar.filter(~F.col("is_warm_up")).select("fold_index", "decision_ns")
+    out = held.select("fold_index", "member", "pair_id", following.alias("decision_ns")).distinct()
+    return out.join(reported, ["fold_index", "decision_ns"], "left_semi")
+
+
+@query("d35b_final_book_entries", with_views("legs_type", "funding_type", "decisions", more={**COHORT_SQL,
+    "last": "SELECT fold_index, max(decision_ns) AS decision_ns FROM calendar WHERE NOT skipped GROUP BY ALL"}) + f"""
+SELECT fold_index, member, pair_id, min(formed) AS entered_ns, CAST((max(decision_ns) - min(formed)) // {WEEK} AS BIGINT) AS weeks_held,
+  count(*) AS cohorts, round(sum(1.0::DOUBLE / hold / formed_size), 9) AS capital FROM live JOIN last USING (fold_index, decision_ns) GROUP BY ALL""")
+def d35b(t):
+    """The pairs of each fold's last book: when the oldest cohort entered, how long ago, and the capital they are held with."""
+    got, live = live_pairs(t)
+    open_days = got.calendar.filter(~F.col("is_warm_up") & ~F.col("skipped"))
+    last = open_days.groupBy("fold_index").agg(F.max("decision_ns").alias("decision_ns"))
+    out = live.join(last, ["fold_index", "decision_ns"]).groupBy("fold_index", "member", "pair_id").agg(
+        F.min("formed_ns").alias("entered_ns"), ((F.max("decision_ns") - F.min("formed_ns")) / F.lit(WEEK)).cast("long").alias("weeks_held"),
+        F.count("*").alias("cohorts"), F.sum(F.lit(1.0) / F.col("hold_weeks") / F.col("formed_size")).alias("capital"))
+    return rounded(out, 9)
