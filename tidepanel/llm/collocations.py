@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import discard, written
@@ -65,6 +65,25 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
 
 
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a Bloom filter holds."""
+    low, high, found = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32), np.ones(len(h), bool)
+    for i in range(FILTER_KEYS):
+        at = (low + np.uint64(i) * high) & np.uint64(FILTER_BITS - 1)
+        found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
+def filter_bits(rows: DataFrame, h: Column) -> np.ndarray:
+    """The Bloom filter of the rows' hashes: at most 8 MB reach the driver, however many they are."""
+    keyed = rows.select(h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned(h, 32).alias("high"))
+    spots = keyed.select(F.explode(F.array(*((F.col("low") + F.lit(i) * F.col("high")).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(FILTER_KEYS)))).alias("at"))
+    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("mask")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return bits
+
+
 class Frequent:
     """A Bloom filter of phrases of a language; without bits it holds everything."""
 
@@ -79,22 +98,12 @@ class Frequent:
         h = hashed(np.full(len(phrases), word_hashes([lang])[0]), np.uint64(42))
         for word in phrases.T:
             h = hashed(word, h)
-        low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
-        for i in range(FILTER_KEYS):
-            at = (low + np.uint64(i) * high) & np.uint64(FILTER_BITS - 1)
-            found &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return found
+        return passes(self.bits, h)
 
 
 def frequent(counts: DataFrame) -> Frequent:
-    """The filter of the (lang, phrase) rows: at most 8 MB reach the driver."""
-    h = F.xxhash64(F.transform(F.concat(F.array("lang"), F.split("phrase", " ")), lambda w: F.xxhash64(w)))
-    keyed = counts.select(h.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftrightunsigned(h, 32).alias("high"))
-    spots = keyed.select(F.explode(F.array(*((F.col("low") + F.lit(i) * F.col("high")).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(FILTER_KEYS)))).alias("at"))
-    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("mask")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
-    return Frequent(bits)
+    """The filter of the (lang, phrase) rows."""
+    return Frequent(filter_bits(counts, F.xxhash64(F.transform(F.concat(F.array("lang"), F.split("phrase", " ")), lambda w: F.xxhash64(w)))))
 
 
 class Words:
