@@ -389,23 +389,27 @@ def bar_fold_samples(t: Tables, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labelled.join(members, "sample_id"), bounds
 
 
+def evaluated_folds(signals: DataFrame) -> DataFrame:
+    """Signals on test rows by fold, instrument and candidate: totals, bootstrap and q-values."""
+    net = stats.net_returns(signals, S.SIGNAL_COSTS, SPREAD_BPS)
+    cell = ["fold_index", "instrument_id", "candidate"]
+    base = F.col("scenario") == "base"
+    totals = net.groupBy(*cell).agg(
+        F.sum(F.when(base, F.col("net_return"))).alias("base_total"),
+        F.sum(F.when(~base, F.col("net_return"))).alias("adverse_total"),
+        F.count_if(base & (F.col("signal") != 0)).alias("trade_count"),
+    )
+    active = net.filter(base & (F.col("signal") != 0))
+    tests = stats.bootstrap_test(active, cell, "decision_ns", **BOOT).select(*cell, "lower", "p_value")
+    joined = totals.join(tests, cell, "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
+    return stats.benjamini_hochberg(joined, ["fold_index", "instrument_id"], "candidate")
+
+
 def bar_fold_evaluation(t: Tables) -> DataFrame:
     """Baselines per fold and instrument: totals, bootstrap, q-values, decision."""
     def build() -> DataFrame:
         rows, _ = bar_fold_samples(t, bar_samples(t))
-        signals = stats.baseline_signals(rows.filter(F.col("partition") == "test"), seed=S.PANEL.random_seed)
-        net = stats.net_returns(signals, S.SIGNAL_COSTS, SPREAD_BPS)
-        cell = ["fold_index", "instrument_id", "candidate"]
-        base = F.col("scenario") == "base"
-        totals = net.groupBy(*cell).agg(
-            F.sum(F.when(base, F.col("net_return"))).alias("base_total"),
-            F.sum(F.when(~base, F.col("net_return"))).alias("adverse_total"),
-            F.count_if(base & (F.col("signal") != 0)).alias("trade_count"),
-        )
-        active = net.filter(base & (F.col("signal") != 0))
-        tests = stats.bootstrap_test(active, cell, "decision_ns", **BOOT).select(*cell, "lower", "p_value")
-        joined = totals.join(tests, cell, "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0)))
-        return stats.benjamini_hochberg(joined, ["fold_index", "instrument_id"], "candidate")
+        return evaluated_folds(stats.baseline_signals(rows.filter(F.col("partition") == "test"), seed=S.PANEL.random_seed))
 
     return report(t, "bar-folds", build)
 

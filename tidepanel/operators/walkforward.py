@@ -155,13 +155,13 @@ def with_warm_up(calendar: DataFrame, weeks: int) -> DataFrame:
     return base.unionByName(warm)
 
 
-def chronological_split(df: DataFrame, group: list[str], order: str, *, name: str = "half") -> DataFrame:
-    """First half (n div 2 rows) versus the rest, in order, per group.
+def chronological_split(df: DataFrame, group: list[str], order: str, *, name: str = "half", ties: tuple[str, ...] = ()) -> DataFrame:
+    """First half (n div 2 rows) versus the rest, in `order` and then by `ties`, per group.
 
     Positions are counted week by week of `order`, so no group is sorted in one task.
     """
     sizes = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    placed = skewsafe.with_ordinal(df, group, [order], int_div(F.col(order), WEEK_NS), "_position")
+    placed = skewsafe.with_ordinal(df, group, [order, *ties], int_div(F.col(order), WEEK_NS), "_position")
     half = F.when(F.col("_position") <= int_div(F.col("_n"), 2), "calibration").otherwise("selection")
     return placed.join(sizes, group).withColumn(name, half).drop("_n", "_position")
 
