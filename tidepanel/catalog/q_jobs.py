@@ -166,6 +166,24 @@ def f08(t):
     return microstructure.stratified_sample(carry.select_pairs(t.legs(), declared_pairs(t), CARRY.pairs))
 
 
+WIDE_PAIRS = carry.PairRules(LEG_RULES, 2, 40, 2)
+WIDE_SQL = {
+    **PAIR_SQL, "screened": P.universe("legs_brand", LEG_RULES)["screened"], "pairs": PAIR_SQL["pairs"].replace("liquidity_rank <= 5", "liquidity_rank <= 40"),
+    "sampled": f"""
+    SELECT *, CASE WHEN liquidity_rank IN {microstructure.TIER_ONE_RANKS} THEN 1 WHEN liquidity_rank IN {microstructure.TIER_TWO_RANKS} THEN 2 END AS sample_tier
+    FROM pairs""",
+}
+
+
+@query("f08b_stratified_sample_of_brands", with_views("legs_brand", more=WIDE_SQL) + """
+SELECT decision_ns, sample_tier, liquidity_rank, 'spot' AS market, spot_contract AS contract_id FROM sampled WHERE sample_tier IS NOT NULL UNION ALL
+SELECT decision_ns, sample_tier, liquidity_rank, 'perp', perp_contract FROM sampled WHERE sample_tier IS NOT NULL""")
+def f08b(t):
+    """Pairs beyond rank eight: every third or fourth of them is in the second tier, the ranks between are not sampled."""
+    names = t.read("part").select(F.col("p_brand").alias("perpetual"), F.col("p_brand").alias("spot")).distinct()
+    return microstructure.stratified_sample(carry.select_pairs(t.legs("p_brand"), names, WIDE_PAIRS))
+
+
 SETTLED_SQL = {
     "settlements": f"""
     SELECT c.contract_id, (calc_time_ns - 345600000000000 + {WEEK - 1}) // {WEEK} * {WEEK} + 345600000000000 AS decision_ns, sum(rate) AS settled,

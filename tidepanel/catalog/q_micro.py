@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.catalog.registry import query, rounded
 from tidepanel.catalog.reports import report
-from tidepanel.catalog.sqlviews import with_views
-from tidepanel.functions.timefns import DAY_NS, int_div
+from tidepanel.catalog.sqlviews import HOUR, with_views
+from tidepanel.functions.timefns import DAY_NS, HOUR_NS, int_div
+from tidepanel.operators import chain, endpoints, skewsafe
 from tidepanel.operators import microstructure as micro
 
 NOTIONALS = (5_000.0, 50_000.0, 150_000.0)
@@ -186,22 +187,94 @@ def d23(t):
     ), 4)
 
 
-@query("d25_window_symbol_means", with_views("ticks") + """
-SELECT instrument_id, count(*) AS rounds, round(avg(quantity / 1e6), 9) AS mean_rate, arg_max(quantity / 1e6, event_time_ns) AS last_rate,
-  round(avg(price / 100), 6) AS mean_basis_bps FROM ticks GROUP BY ALL""")
+# Two endpoints asked by the hour: one never has `view`, the other never `error`.
+ROUNDS_SQL = {
+    "premium": f"""
+    SELECT instrument_id, event_time_ns // {HOUR} AS round, last(quantity / 1e6 ORDER BY event_time_ns, event_id) AS rate,
+      last(price / 100 ORDER BY event_time_ns, event_id) AS basis_bps FROM ticks WHERE event_id % 3 <> 0 AND instrument_id <> 'view' GROUP BY ALL""",
+    "tops_read": f"""
+    SELECT instrument_id, event_time_ns // {HOUR} AS round, last(10 + (event_id % 5) * 0.5::DOUBLE ORDER BY event_time_ns, event_id) AS spread_bps
+    FROM ticks WHERE event_id % 3 <> 1 AND instrument_id <> 'error' GROUP BY ALL""",
+    "merged": """
+    SELECT instrument_id, round, rate, basis_bps, spread_bps, CASE WHEN b.there IS NULL THEN 'left_only' WHEN a.here IS NULL THEN 'right_only' ELSE 'both' END AS origin
+    FROM (SELECT *, true AS here FROM premium) a FULL JOIN (SELECT *, true AS there FROM tops_read) b USING (instrument_id, round)""",
+}
+
+
+def merged_rounds(t):
+    rows = t.ticks.withColumn("round", int_div(F.col("event_time_ns"), HOUR_NS))
+    e, keys, order = F.col("event_id"), ["instrument_id", "round"], ["event_time_ns", "event_id"]
+    premium = rows.filter((e % 3 != 0) & (F.col("instrument_id") != "view")).withColumns(
+        {"rate": F.col("quantity") / 1e6, "basis_bps": F.col("price") / 100})
+    tops = rows.filter((e % 3 != 1) & (F.col("instrument_id") != "error")).withColumn("spread_bps", 10 + (e % 5) * F.lit(0.5))
+    return endpoints.merge_rounds(
+        endpoints.last_of_round(premium, keys, order, ["rate", "basis_bps"]), endpoints.last_of_round(tops, keys, order, ["spread_bps"]), keys)
+
+
+@query("d25_window_symbol_means", with_views("ticks", more=ROUNDS_SQL) + """
+SELECT instrument_id, count_if(origin <> 'right_only') AS premium_rounds, count_if(origin <> 'left_only') AS book_rounds,
+  count_if(origin = 'both') AS shared_rounds, round(avg(rate), 9) AS mean_rate,
+  round(arg_max(rate, CASE WHEN origin <> 'right_only' THEN round END), 9) AS last_rate, round(avg(basis_bps), 6) AS mean_basis_bps,
+  round(avg(spread_bps), 6) AS mean_spread_bps FROM merged GROUP BY ALL""")
 def d25(t):
-    rows = t.ticks.select(
-        "instrument_id", "event_id", F.col("event_time_ns").alias("received_time_ns"), (F.col("quantity") / 1e6).alias("rate"),
-        (F.col("price") / 100).alias("basis_bps"), F.lit(None).cast("double").alias("spread_bps"),
-    )
-    out = micro.window_means(rows, ["instrument_id"]).drop("mean_spread_bps")
-    return rounded(rounded(out, 9, ["mean_rate"]), 6, ["mean_basis_bps"])
+    out = endpoints.symbol_means(merged_rounds(t), "instrument_id", "round")
+    return rounded(rounded(out, 9, ["mean_rate", "last_rate"]), 6, ["mean_basis_bps", "mean_spread_bps"])
+
+
+@query("d25b_endpoint_rounds", with_views("ticks", more=ROUNDS_SQL) + """
+SELECT instrument_id, round, origin, round(rate, 9) AS rate, round(basis_bps, 6) AS basis_bps, round(spread_bps, 6) AS spread_bps FROM merged""")
+def d25b(t):
+    return rounded(rounded(merged_rounds(t), 9, ["rate"]), 6, ["basis_bps", "spread_bps"])
+
+
+# Every instrument's books are one journal; in tier two every 97th book was recorded with another hash.
+JOURNAL_SQL = {
+    "journal": """
+    SELECT instrument_id AS chain_id, book_id, tier = 2 AND book_id % 97 = 0 AS tampered, row_number() OVER (PARTITION BY instrument_id ORDER BY received_time_ns, book_id) AS sequence FROM tops""",
+    "hashed": "SELECT *, sha256(chain_id || '|' || sequence::VARCHAR || '|' || book_id::VARCHAR) AS true_hash FROM journal",
+    "checked": """
+    SELECT chain_id, tampered AS mismatch, coalesce(lag(tampered) OVER (PARTITION BY chain_id ORDER BY sequence), false) AS unlinked FROM hashed""",
+    "verdict": """
+    SELECT chain_id, count(*) AS segments, count_if(mismatch OR unlinked) AS faulty_segments,
+      concat_ws(',', CASE WHEN bool_or(unlinked) THEN 'CHAIN_LINK_BROKEN' END, CASE WHEN bool_or(mismatch) THEN 'SEGMENT_HASH_MISMATCH' END) AS reasons
+    FROM checked GROUP BY ALL""",
+    "figures": """
+    SELECT instrument_id AS chain_id, bool_or(eligible) AS eligible, CAST(sum("count") AS BIGINT) AS measured,
+      CAST(sum(insufficient_depth) AS BIGINT) AS insufficient, max(CASE WHEN notional = 5000 THEN p50 END) AS p50 FROM stats GROUP BY ALL""",
+}
+
 
+def book_journal(t):
+    """The books of each instrument as a hash chain in order of receipt, with the hash each record should have."""
+    books = micro.validate_books(t.book_levels).select(F.col("instrument_id").alias("chain_id"), "book_id", "tier", "received_time_ns")
+    bucket = skewsafe.even_bucket(books, "received_time_ns", 64)
+    numbered = skewsafe.with_ordinal(books, ["chain_id"], ["received_time_ns", "book_id"], bucket, "sequence")
+    true = F.sha2(F.concat_ws("|", "chain_id", F.col("sequence").cast("string"), F.col("book_id").cast("string")), 256)
+    rows = numbered.withColumn("recomputed", true)
+    before = rows.select("chain_id", (F.col("sequence") + 1).alias("sequence"), F.col("recomputed").alias("previous_hash"))
+    recorded = F.when((F.col("tier") == 2) & (F.col("book_id") % 97 == 0), F.sha2(F.lit("another"), 256)).otherwise(F.col("recomputed"))
+    return rows.join(before, ["chain_id", "sequence"], "left").withColumns({
+        "previous_hash": F.coalesce("previous_hash", F.lit(chain.ZERO_HASH)), "content_hash": recorded})
+
+
+@query("p14_cost_receipt", with_views("books", more={**STATS_SQL, **JOURNAL_SQL}) + """
+SELECT v.chain_id AS instrument_id, CASE WHEN faulty_segments > 0 THEN 'refused' WHEN f.chain_id IS NULL THEN 'nothing_measured' ELSE 'sealed' END AS status,
+  segments, faulty_segments, reasons, CASE WHEN faulty_segments = 0 THEN eligible END AS eligible, CASE WHEN faulty_segments = 0 THEN measured END AS measured,
+  CASE WHEN faulty_segments = 0 THEN insufficient END AS insufficient, round(CASE WHEN faulty_segments = 0 THEN p50 END, 4) AS p50
+FROM verdict v LEFT JOIN figures f USING (chain_id)""")
+def p14(t):
+    """A receipt per instrument over its finished journal, refused where the chain does not verify."""
+    figures = statistics(t).groupBy(F.col("instrument_id").alias("chain_id")).agg(
+        F.bool_or("eligible").alias("eligible"), F.sum("count").alias("measured"), F.sum("insufficient_depth").alias("insufficient"),
+        F.max(F.when(F.col("notional") == 5_000.0, F.col("p50"))).alias("p50"))
+    out = endpoints.gated_receipt(book_journal(t), F.col("recomputed"), figures, ["eligible", "measured", "insufficient", "p50"])
+    return rounded(out.withColumnRenamed("chain_id", "instrument_id"), 4, ["p50"])
 
-@query("p14_cost_receipt", with_views("books", more=STATS_SQL) + """
+
+@query("p14b_receipt_totals", with_views("books", more=STATS_SQL) + """
 SELECT count(DISTINCT instrument_id) AS instruments, count(DISTINCT CASE WHEN eligible THEN instrument_id END) AS eligible,
   CAST(sum("count") AS BIGINT) AS measured, CAST(sum(insufficient_depth) AS BIGINT) AS insufficient FROM stats""")
-def p14(t):
+def p14b(t):
     return statistics(t).agg(
         F.countDistinct("instrument_id").alias("instruments"),
         F.countDistinct(F.when(F.col("eligible"), F.col("instrument_id"))).alias("eligible"),

@@ -11,7 +11,7 @@ from tidepanel.catalog.sqlviews import DAY, HOUR, WEEK, with_views
 from tidepanel.catalog.tables import chain_hash
 from tidepanel.functions import canonical, rules, timefns
 from tidepanel.functions.timefns import DAY_NS, HOUR_NS, int_div
-from tidepanel.operators import accounting, carry, chain, funding, quality
+from tidepanel.operators import accounting, carry, chain, endpoints, funding, quality
 
 CONTRACTS = "SELECT DISTINCT instrument_id, contract_id FROM bars_brand"
 
@@ -167,6 +167,13 @@ def d40(t):
     )
 
 
+@query("d40b_stale_list", with_views("bars_brand", more=SOURCES) + """
+SELECT kind, instrument_id, covered_month, front AS furthest_month, behind AS months_behind FROM classed WHERE behind > 1""")
+def d40b(t):
+    """The stale instruments by name, a row each, so that the list is as long as it has to be."""
+    return quality.stale_instruments(quality.coverage_class(quality.coverage_months(sources(t))))
+
+
 @query("g06_months_by_instrument", with_views("bars_brand", more=SOURCES) + """
 SELECT kind, instrument_id, count(DISTINCT month) AS months, min(month) AS first_month, max(month) AS last_month FROM sources
 WHERE status = 'present' GROUP BY ALL""")
@@ -198,6 +205,46 @@ def b22(t):
     return rows.select("instrument_id", "decision_ns", covered.alias("covered"))
 
 
+@query("b22b_covers_decision_day_by_tail", with_views("bars_brand", "decisions", more={**SOURCES, "m": f"""
+    SELECT s.instrument_id, list(DISTINCT CASE WHEN status = 'present' THEN month END) AS months,
+      (SELECT strftime(make_timestamp(max(day) * {DAY // 1000}), '%Y-%m-%d') FROM bars_brand b WHERE b.instrument_id = s.instrument_id AND day % 5 <> 0
+        AND CAST(substr(s.instrument_id, 7, 2) AS INT) % 2 = 0 AND day < 10000) AS tail FROM sources s WHERE kind = 'klines' GROUP BY ALL"""}) + f"""
+SELECT instrument_id, count(*) AS decisions, count_if(CASE WHEN tail IS NOT NULL THEN tail >= strftime(make_timestamp(decision_ns // 1000), '%Y-%m-%d')
+    ELSE list_contains(months, strftime(make_timestamp(decision_ns // 1000), '%Y-%m')) END) AS covered, any_value(tail) AS tail_day FROM m CROSS JOIN decisions GROUP BY ALL""")
+def b22b(t):
+    """Instruments with a tail of daily files are covered up to its last day, the others by their months."""
+    months = sources(t).filter("kind = 'klines'").groupBy("instrument_id").agg(
+        F.collect_set(F.when(F.col("status") == "present", F.col("month"))).alias("months"))
+    has_tail = F.substring("instrument_id", 7, 2).cast("int") % 2 == 0
+    tails = t.bars("p_brand").filter(has_tail & (F.col("day") % 5 != 0) & (F.col("day") < 10_000)).groupBy("instrument_id").agg(
+        timefns.day_string(F.max("day") * F.lit(DAY_NS)).alias("tail_day"))
+    days = t.decisions.agg(F.array_sort(F.collect_set("decision_ns"))).scalar()
+    asked = F.transform("_days", lambda d: rules.covers_day(F.col("tail_day"), F.col("months"), timefns.day_string(d), timefns.month_string(d)))
+    return months.join(tails, "instrument_id", "left").withColumn("_days", days).select(
+        "instrument_id", F.size(asked).cast("long").alias("decisions"), F.size(F.filter(asked, lambda c: c)).cast("long").alias("covered"), "tail_day")
+
+
+EXIT_SQL = {
+    **SOURCES,
+    "reached": "SELECT min(m) AS coverage_month FROM (SELECT kind, max(month) AS m FROM sources WHERE status = 'present' GROUP BY ALL)",
+}
+
+
+@query("c21c_exit_gate", with_views("bars_brand", more={**EXIT_SQL, "named": f"""
+    SELECT (d + 1) * {DAY} AS exit_ns, count(*) AS asked, count(b.day) AS with_bar FROM (SELECT DISTINCT day AS d FROM bars_brand WHERE day % 7 = 3)
+    CROSS JOIN (SELECT DISTINCT instrument_id FROM bars_brand) i LEFT JOIN bars_brand b ON b.instrument_id = i.instrument_id AND b.day = d GROUP BY ALL""",
+    "gated": f"""
+    SELECT *, (SELECT coverage_month FROM reached) AS coverage_month, strftime(make_timestamp((exit_ns - {DAY}) // 1000), '%Y-%m') AS exit_month FROM named"""}) + """
+SELECT exit_ns, asked, with_bar, coverage_month, concat_ws(',', CASE WHEN with_bar = 0 THEN 'EXIT_BAR_MISSING' WHEN with_bar < asked THEN 'EXIT_BAR_INCOMPLETE' END,
+  CASE WHEN exit_month > coverage_month THEN 'COVERAGE_MONTH_NOT_REACHED' END) AS reasons FROM gated""")
+def c21c(t):
+    """Every exit close: how many instruments have their bar, and whether the covered months reach it."""
+    bars = t.bars("p_brand").select("instrument_id", "day").distinct()
+    exits = bars.filter("day % 7 = 3").groupBy("day").agg(F.count("*").alias("with_bar"))
+    asked = bars.agg(F.countDistinct("instrument_id")).scalar()
+    return quality.exit_gate(exits, asked, quality.coverage_month(sources(t)).scalar())
+
+
 @query("c21_required_exit_bar", with_views("bars_brand", more={"e": "SELECT max(close_time_ns) AS exit_ns FROM bars_brand WHERE day % 7 = 3"}) + """
 SELECT instrument_id, bool_or(close_time_ns = exit_ns) AS has_exit_bar FROM bars_brand CROSS JOIN e GROUP BY ALL""")
 def c21(t):
@@ -515,17 +562,36 @@ def h11(t):
     return rounded(rows.select("kind", rules.safe_share(F.col("a"), F.col("n"), 6).alias("failure_share")), 4)
 
 
-@query("d26_endpoint_health", with_views("chain", more={"f": f"SELECT *, {FAILURES} AS failure, row_number() OVER (PARTITION BY chain_id ORDER BY sequence DESC) AS rk FROM chain"}) + """
-SELECT kind AS endpoint, count(*) AS rounds, count(failure) AS failures, round(count(failure) / count(*), 6) AS failure_rate, max(received_time_ns) AS newest_ns
-FROM f WHERE rk <= 20 GROUP BY ALL""")
+ENDPOINTS = ("premium_index", "perp_book", "spot_book")
+EVERY, LAST = 5, 20
+# Every fifth round asks three endpoints; each fails and leaves symbols out by its own rule.
+HEALTH_SQL = {
+    "segments": f"""
+    SELECT *, sequence % {EVERY} = 0 AS asked, event_id % 16 AS depth_failed,
+      row_number() OVER (PARTITION BY chain_id ORDER BY sequence DESC) AS rk FROM chain""",
+    "recent": f"SELECT * FROM segments WHERE rk <= {LAST}",
+    "told": f"""
+    SELECT chain_id, unnest(['premium_index', 'perp_book', 'spot_book']) AS endpoint, count(*) AS rounds, count_if(asked) AS snapshot_rounds,
+      unnest([count_if(asked AND event_id % 6 = 0), count_if(asked AND event_id % 10 = 0), count_if(asked AND event_id % 15 = 0)]) AS failures,
+      unnest([sum(CASE WHEN asked THEN event_id % 4 ELSE 0 END), sum(CASE WHEN asked THEN event_id % 3 ELSE 0 END), 0])::BIGINT AS excluded_total,
+      sum(depth_failed) / (15.0::DOUBLE * count(*)) AS depth_failure_rate, max(sequence) AS last_sequence, max(received_time_ns) AS newest_ns
+    FROM recent GROUP BY chain_id""",
+}
+
+
+def health_segments(t):
+    """Rounds of a journal as segments: what failed, what was left out, how many depth requests went unanswered."""
+    e, asked = F.col("event_id"), F.col("sequence") % EVERY == 0
+    failures = F.array_compact(F.array(*[F.when(asked & (e % n == 0), f"{name}:timeout") for name, n in zip(ENDPOINTS, (6, 10, 15), strict=True)]))
+    left_out = F.create_map(F.lit(ENDPOINTS[0]), F.when(asked, e % 4).otherwise(0), F.lit(ENDPOINTS[1]), F.when(asked, e % 3).otherwise(0))
+    return t.chain.withColumns({"failures": failures, "excluded": left_out, "depth_asked": F.lit(15), "depth_failed": e % 16})
+
+
+@query("d26_endpoint_health", with_views("chain", more=HEALTH_SQL) + """
+SELECT chain_id, endpoint, rounds, snapshot_rounds, failures, round(CASE WHEN snapshot_rounds > 0 THEN failures / snapshot_rounds ELSE 0 END, 6) AS failure_rate,
+  excluded_total, round(depth_failure_rate, 6) AS depth_failure_rate, last_sequence, newest_ns FROM told""")
 def d26(t):
-    newest = W.partitionBy("chain_id").orderBy(F.desc("sequence"))
-    recent = failures(t).withColumn("rk", F.row_number().over(newest)).filter("rk <= 20")
-    out = recent.groupBy(F.col("kind").alias("endpoint")).agg(
-        F.count("*").alias("rounds"), F.count("failure").alias("failures"),
-        (F.count("failure") / F.count("*")).alias("failure_rate"), F.max("received_time_ns").alias("newest_ns"),
-    )
-    return rounded(out, 6)
+    return rounded(endpoints.endpoint_health(health_segments(t), "chain_id", ENDPOINTS, last=LAST, every=EVERY), 6)
 
 
 @query("d39_data_freshness", with_views("chain") + """

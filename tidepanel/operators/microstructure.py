@@ -168,15 +168,6 @@ def measured_cost_tiers(medians: DataFrame, *, order_notional: float) -> DataFra
     )
 
 
-def window_means(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rounds, mean and last rate, mean basis and spread per symbol over a window."""
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("rounds"), F.avg("rate").alias("mean_rate"),
-        F.max_by("rate", F.struct("received_time_ns", "event_id")).alias("last_rate"),
-        F.avg("basis_bps").alias("mean_basis_bps"), F.avg("spread_bps").alias("mean_spread_bps"),
-    )
-
-
 def stratified_sample(pairs: DataFrame) -> DataFrame:
     """Both legs of the declared ranks: the top eight, then every few below."""
     tier = F.when(F.col("liquidity_rank").isin(*TIER_ONE_RANKS), 1).when(F.col("liquidity_rank").isin(*TIER_TWO_RANKS), 2)

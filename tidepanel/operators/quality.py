@@ -216,6 +216,21 @@ def coverage_class(covered: DataFrame) -> DataFrame:
     )
 
 
+def exit_gate(exits: DataFrame, asked: Column, coverage: Column) -> DataFrame:
+    """Reasons against closing at each exit day; `exits` has `day` and `with_bar`, the instruments that have its bar."""
+    reasons = F.array_compact(F.array(
+        F.when(F.col("with_bar") == 0, "EXIT_BAR_MISSING").when(F.col("with_bar") < asked, "EXIT_BAR_INCOMPLETE"),
+        F.when(month_string(F.col("day") * F.lit(DAY_NS)) > coverage, "COVERAGE_MONTH_NOT_REACHED")))
+    return exits.select(
+        ((F.col("day") + 1) * F.lit(DAY_NS)).alias("exit_ns"), asked.alias("asked"), "with_bar", coverage.alias("coverage_month"),
+        F.array_join(reasons, ",").alias("reasons"))
+
+
+def stale_instruments(classed: DataFrame) -> DataFrame:
+    """A row per instrument that is more than one month behind its kind's front."""
+    return classed.filter(F.col("coverage") == "stale").select("kind", "instrument_id", "covered_month", "furthest_month", "months_behind")
+
+
 def split_by_coverage(tail: DataFrame, covered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mark each tail row carried or superseded by the month that now covers it."""
     month = month_string(F.col("open_time_ns"))
