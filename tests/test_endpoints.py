@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import chain, endpoints, quality
+from tidepanel.operators import chain, endpoints, microstructure, quality
 
 ENDPOINTS = ("premium", "book")
 
@@ -71,3 +71,11 @@ def test_exit_gate_tells_every_reason(spark):
     exits = spark.createDataFrame([(0, 2), (20, 1), (40, 0)], "day long, with_bar long")
     got = [r.reasons for r in quality.exit_gate(exits, F.lit(2), F.lit("1970-01")).orderBy("exit_ns").collect()]
     assert got == ["", "EXIT_BAR_INCOMPLETE", "EXIT_BAR_MISSING,COVERAGE_MONTH_NOT_REACHED"]
+
+
+def test_ranks_of_both_tiers_are_sampled(spark):
+    pairs = spark.range(1, 41).select(F.lit(5).alias("decision_ns"), F.col("id").alias("liquidity_rank"), F.concat(F.lit("s"), "id").alias("spot_contract"),
+                                      F.concat(F.lit("p"), "id").alias("perp_contract"))
+    got = {(r.sample_tier, r.liquidity_rank, r.market) for r in microstructure.stratified_sample(pairs).collect()}
+    ranks = [(1, r) for r in range(1, 9)] + [(2, r) for r in (9, 12, 15, 19, 23, 27, 31, 35)]
+    assert got == {(tier, rank, market) for tier, rank in ranks for market in ("spot", "perp")}
