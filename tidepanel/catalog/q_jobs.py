@@ -11,7 +11,7 @@ from tidepanel.catalog.q_windows import recursive, votes_sql
 from tidepanel.catalog.registry import query, rounded
 from tidepanel.catalog.reports import report
 from tidepanel.catalog.sqlviews import WEEK, with_views
-from tidepanel.operators import carry, microstructure, universe, vectors, windows
+from tidepanel.operators import carry, funding, microstructure, universe, vectors, windows
 from tidepanel.plans import families as J
 from tidepanel.plans.momentum import CONTROLS
 from tidepanel.session import staged
@@ -122,6 +122,25 @@ def d38(t):
     ), 9)
 
 
+LOOKBACKS = tuple(sorted({m.lookback_weeks for m in FUNDING}))
+
+
+@query("d38b_funding_scores", with_views("bars_type", "funding_type", more={**P.universe(),
+    "settled_weeks": f"""
+    SELECT instrument_id, (calc_time_ns - 345600000000000 + {WEEK - 1}) // {WEEK} * {WEEK} + 345600000000000 AS week_ns, sum(rate) AS settled FROM funding_type GROUP BY ALL""",
+    "eligible_contracts": "SELECT DISTINCT u.decision_ns, u.contract_id, b.instrument_id FROM universe u JOIN (SELECT DISTINCT contract_id, instrument_id FROM bars_type) b USING (contract_id)",
+    "scored": f"""
+    SELECT e.decision_ns, lookback_weeks, e.contract_id, CAST(sum(settled) AS DOUBLE) AS score
+    FROM eligible_contracts e CROSS JOIN (VALUES {', '.join(f'({n})' for n in LOOKBACKS)}) v(lookback_weeks)
+    LEFT JOIN settled_weeks s ON s.instrument_id = e.instrument_id AND week_ns > e.decision_ns - lookback_weeks * {WEEK} AND week_ns <= e.decision_ns GROUP BY ALL"""}) + """
+SELECT decision_ns, lookback_weeks, count(score) AS scored, count_if(score IS NULL) AS unscored, round(coalesce(avg(score), 0), 9) AS mean_score FROM scored GROUP BY ALL""")
+def d38b(t):
+    """What the funding members could rank on at each decision."""
+    bars = staged(t.bars(), "bars")
+    weekly = funding.for_contracts(funding.weekly_settlements(t.funding()), bars)
+    return rounded(funding.score_extras(weekly, universe.select_universe(bars, S.UNIVERSE), LOOKBACKS), 9)
+
+
 @query("l10_warm_up_calendar", with_views("bars_type", "decisions", more={**P.universe(), **warm_calendar(3, "universe")}) + """
 SELECT fold_index, decision_ns, ordinal, is_warm_up FROM whole""")
 def l10(t):

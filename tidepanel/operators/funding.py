@@ -91,3 +91,15 @@ def trailing_weekly(weekly: DataFrame, at: DataFrame, weeks: Sequence[int]) -> D
         for n in weeks
     }
     return stacked.withColumns(sums).filter("_asked").drop("settled", "_asked")
+
+
+def score_extras(weekly: DataFrame, eligible: DataFrame, weeks: Sequence[int]) -> DataFrame:
+    """Per decision and lookback: eligible contracts with and without a settlement in the window, and their mean score.
+
+    A contract that was never scored is not averaged in; without any score the mean is zero.
+    """
+    options = F.array(*[F.struct(F.lit(n).alias("lookback_weeks"), F.col(f"trailing_{n}w").alias("score")) for n in weeks])
+    scored = trailing_weekly(weekly, eligible, weeks).select("decision_ns", F.explode(options).alias("_m")).select("decision_ns", "_m.*")
+    return scored.groupBy("decision_ns", "lookback_weeks").agg(
+        F.count("score").alias("scored"), F.count_if(F.col("score").isNull()).alias("unscored"),
+        F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"))
