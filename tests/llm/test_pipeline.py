@@ -1,5 +1,6 @@
 """The corpus pipeline: every stage by its own input, and the entry module without it."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tidepanel.llm import bpe, simhash
+from tidepanel.llm import bpe
 from tidepanel.llm.common import written
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -35,9 +36,15 @@ def test_columns_and_counts(stages):
     assert all(r.n_chars == len(r.text) for r in stages["line_dedup"].collect())
 
 
+def shingle_set(text):
+    """Five-word shingles of a text, written anew; a shorter text is one shingle."""
+    words = re.findall(rb"[^ \t-\r]+", text.encode().lower())
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_near_dedup_keeps_one_of_each_group(stages):
     rows = stages["line_dedup"].collect()
-    prints = [simhash.fingerprint(r.text.encode(), corpus_pipeline.WORDS) for r in rows]
+    sets = [shingle_set(r.text) for r in rows]
     root = list(range(len(rows)))
 
     def up(i):
@@ -45,9 +52,9 @@ def test_near_dedup_keeps_one_of_each_group(stages):
             i = root[i]
         return i
 
-    for i, a in enumerate(prints):
-        for j, b in enumerate(prints[:i]):
-            if (a ^ b).bit_count() <= corpus_pipeline.RADIUS:
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
                 root[up(i)] = up(j)
     best = {}
     for i, r in enumerate(rows):
