@@ -60,16 +60,66 @@ def test_tables_follow_their_distribution():
     assert many[0] == 1 and (many >= 1).all() and many[3] > many[1] - 30
 
 
-def test_shares_add_up(spark):
+def small(spark):
     text = " ".join("a b c a b d e a b".split() * 40)
-    docs = spark.createDataFrame([(i, text) for i in range(1, 30)] + [(30, "q r s")], "doc_id long, text string")
-    model, totals = hpylm.fit(hpylm.dishes(docs))
-    rows = model.collect()
-    assert sum(r.share for r in rows) + totals.unseen == pytest.approx(1, rel=0.01)
-    for u in np.flatnonzero(totals.customers):
-        room = totals.room[u]
-        share = [(dict(zip(r.ctx, r.lead, strict=True)).get(u, 0) + room * r.share) / (totals.customers[u] + hpylm.THETA) for r in rows]
-        assert sum(share) + room * totals.unseen / (totals.customers[u] + hpylm.THETA) == pytest.approx(1, rel=0.02)
+    rows = [(i, text) for i in range(1, 30)] + [(30, "q r s"), (31, "b never"), (32, "a q q"), (33, None)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_every_word_is_a_context_and_shares_add_up(spark):
+    rows, docs = small(spark)
+    counts, _ = hpylm.written(hpylm.pairs(docs), "pairs")
+    model = hpylm.fit(counts)
+    trained = [plain_tokens(t) for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    want = Counter(p for t in trained for p in zip([None, *t], t, strict=False))
+    contexts, words = model.contexts.collect(), [w for w in model.words.collect() if w.c]
+    assert sorted(c.customers for c in contexts) == sorted(Counter(p[0] for p in want.elements()).values())
+    assert counts.where("n > 0").count() == len(want)
+    lead = {(r.w, r.ctx): r.lead for r in model.blocks.collect()}
+    assert len(model.roots) == hpylm.SWEEPS - hpylm.BURN
+    for u in contexts:
+        total = sum(lead.get((w.w, u.ctx), 0.0) for w in words) / (u.customers + hpylm.THETA)
+        for i, root in enumerate(model.roots):
+            share = sum((w[f"guests_{i}"] - root.d * w[f"tops_{i}"] + root.fresh) / (root.guests + hpylm.THETA) for w in words)
+            assert share + root.fresh / (root.guests + hpylm.THETA) == pytest.approx(1)
+            total += (hpylm.THETA + model.d * u[f"tables_{i}"]) / (u.customers + hpylm.THETA) / len(model.roots)
+        assert total == pytest.approx(1)
+
+
+@pytest.mark.parametrize("hot", [1, 20])
+def test_scores_are_those_of_the_tables_wherever_a_pair_is_looked_up(spark, monkeypatch, hot):
+    monkeypatch.setattr(hpylm, "HOT", hot)
+    rows, docs = small(spark)
+    counts, _ = hpylm.written(hpylm.pairs(docs), "pairs")
+    model = hpylm.fit(counts)
+    blocks = {(r.w, r.ctx): r.lead for r in model.blocks.collect()}
+    contexts, words = {r.ctx: r for r in model.contexts.collect()}, {r.w: r for r in model.words.collect()}
+    code = lambda t: int(np.uint64(hpylm._HASHES[t.encode()]).view(np.int64)) if t else int(hpylm.END.view(np.int64))
+
+    def log10(w, ctx):
+        u, x = contexts.get(ctx), words[w]
+        guests = (u.customers if u else 0) + hpylm.THETA
+        rest = [(hpylm.THETA + model.d * (u[f"tables_{i}"] if u else 0)) / guests * (x[f"guests_{i}"] - r.d * x[f"tops_{i}"] + r.fresh) / (r.guests + hpylm.THETA)
+                for i, r in enumerate(model.roots)]
+        return math.log10(blocks[w, ctx] / guests + sum(rest) / len(rest))
+
+    want = {}
+    for d, text in rows:
+        ids = [code(t) for t in plain_tokens(text)]
+        want[d] = sum(log10(w, ctx) for w, ctx in zip(ids, [code(None), *ids], strict=False))
+    got = {r.doc_id: r.score for r in hpylm.score(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_more_sweeps_move_held_out_scores_little(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts, _ = hpylm.written(hpylm.pairs(docs), "pairs")
+    counts = counts.where("n < m OR n > 0")
+    logs = []
+    for turns, burn in ((hpylm.SWEEPS, hpylm.BURN), (10, 5)):
+        row = hpylm.fit(counts, turns, burn).scored().join(counts.select("k", "n"), "k").selectExpr("sum((m - n) * score) AS s", "sum(m - n) AS t").first()
+        logs.append(row.s / row.t)
+    assert logs[0] == pytest.approx(logs[1], abs=0.01)
 
 
 def test_nulls_repeats_and_empty_tables(spark):

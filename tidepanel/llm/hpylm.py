@@ -1,9 +1,10 @@
 """Scoring by a hierarchical Pitman-Yor language model.
 
 Restaurants. The root holds the words of the corpus over a uniform base. Below it
-stands one restaurant for each class of the previous word (`CONTEXTS` classes, by
-hash); all share the root as their parent. A token is a customer of its context's
-restaurant, and each table there is a customer at the root.
+stands one restaurant for each word that something follows, and one for the start
+of texts; all share the root as their parent. A token is a customer of the
+restaurant of the word before it, and each table there is a customer at the root.
+So the restaurants and their dishes grow with the corpus.
 
 Seating. The customers of one dish in one restaurant are a block: given the
 parent's share of the dish and the restaurant's totals, the number t of their
@@ -11,25 +12,26 @@ tables follows S_d(c, t) a^t (generalised Stirling numbers), and a Gibbs step
 draws it anew; then the root seats the dish's new customers in the same way.
 Blocks beyond `EXACT` customers follow the same law: the generating function of its
 weights moves from `EXACT` to c customers by a thinned weight and a Poisson number
-of further tables. A sweep draws all
-blocks given the seating before it, and then sums up the totals of restaurants;
-at first, each block has one table. Predictive shares are averages over the
-sweeps after the first `BURN`.
-
-At scale. Counts come from one map-side combined aggregation. A dish is one row
-with at most `CONTEXTS` counts, so sweeps over the dishes need no shuffle, and the
-driver sees only restaurant totals. Draws are seeded by the data, so a later sweep
-repeats the earlier ones of its dishes rather than storing their seating. To score,
-texts are read once: tokens of words with a share of at least `HOT` (so at most
-1 / HOT words of `CONTEXTS` contexts) are looked up on the spot, and tokens of the
-other words are shuffled to their dish. Words are
-known by 64-bit hashes.
+of further tables. A sweep draws all blocks given the seating before it, and then
+sums up the totals of restaurants; at first, each block has one table. Predictive
+probabilities are averages over the `SWEEPS - BURN` sweeps after the first `BURN`.
+The discounts come from the counts of counts, the concentrations are `THETA`.
+
+At scale. A block is one row, and so are a word and a context: a sweep joins blocks
+with the totals of their context and the share of their word, which are sums with
+map-side combine. No restaurant is ever gathered in one place, and skewed joins
+split. Blocks of one customer always have one table, so sweeps leave them out and
+count them once. Every sweep is written, and a draw is keyed by its block, so a
+task that runs again draws the same. The driver sees sums over all rows only.
+To score, texts are read once: tokens of pairs with a share of at least 1 / `HOT`
+of all (so at most `HOT` pairs, which are broadcast) are scored on the spot, and
+the others are joined with the pairs' scores. Pairs that only held-out texts have
+are rows without customers, so every token finds its pair.
+Words and pairs are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +42,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import discard, release, written
 
-CONTEXTS = 1024
-HOT = 1 / 500
+HOT = 500_000
 EXACT = 1024
 CELLS = 4_000_000
 SWEEPS, BURN = 3, 1
@@ -49,9 +50,6 @@ THETA = 1.0
 SEED = 42
 REMEMBERED = 400_000
 CHUNK = 2_000_000
-# Rows of the scoring shuffle that are no tokens, by what stands for their context.
-DISH, SUMMARY = -2, -1
-SUMMARY_FORM, DISH_FORM = "<?qddqq", "<qdi"
 
 
 class Hashes(dict):
@@ -69,7 +67,7 @@ _HASHES = Hashes()
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Token hashes, contexts and lengths of texts, some texts at a time: (first text, w, ctx, tokens of each text).
+    """Token hashes, those before them and lengths of texts, some texts at a time: (first text, w, ctx, tokens of each text).
 
     Words are cut at the blank and U+0009 to U+000D, and A-Z is lower-case; the
     end of every text is a token, and what stands before its first. Null is empty.
@@ -91,29 +89,56 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
 
 def _arrays(flat: list[int], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = np.array(flat, np.uint64)
-    before = np.concatenate(([END], w[:-1]))
-    return w, (before % np.uint64(CONTEXTS)).astype(np.int32), np.array(sizes)
+    return w, np.concatenate(([END], w[:-1])), np.array(sizes)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits each of which depends on all bits of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pair_keys(w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of a word and the one before it."""
+    return mixed(w + np.uint64(0x9E3779B97F4A7C15) * mixed(ctx))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def dishes(train: DataFrame) -> DataFrame:
-    """(w, ctx array, n array): the counts of every word of (text) by context."""
+def pairs(docs: DataFrame) -> DataFrame:
+    """(k, w, ctx, n, m): every word of (doc_id, text) after every other, with its counts in the training texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, w, ctx, _ in tokens(batch["text"]):
-                word, place = np.unique(w, return_inverse=True)
-                pair, n = np.unique(place.astype(np.int64) * CONTEXTS + ctx, return_counts=True)
+            training = batch["training"].to_numpy(zero_copy_only=False)
+            for first, w, ctx, sizes in tokens(batch["text"]):
+                k, at, place = np.unique(pair_keys(w, ctx), return_index=True, return_inverse=True)
+                n = np.bincount(place, weights=np.repeat(training[first:first + len(sizes)], sizes), minlength=len(k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word.view(np.int64)[pair // CONTEXTS]), pa.array((pair % CONTEXTS).astype(np.int32)), pa.array(n.astype(np.int64))],
-                    ["w", "ctx", "n"])
+                    [*(pa.array(x.view(np.int64)) for x in (k, w[at], ctx[at])), pa.array(n.astype(np.int64)), pa.array(np.bincount(place))],
+                    ["k", "w", "ctx", "n", "m"])
+
+    counted = docs.select((~held_out(F.col("doc_id"))).alias("training"), "text").mapInArrow(run, "k long, w long, ctx long, n long, m long")
+    return counted.groupBy("k").agg(F.max("w").alias("w"), F.max("ctx").alias("ctx"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
 
-    counted = train.select("text").mapInArrow(run, "w long, ctx int, n long").groupBy("w", "ctx").agg(F.sum("n").alias("n"))
-    return counted.groupBy("w").agg(F.collect_list(F.struct("ctx", "n")).alias("of")).select(
-        "w", F.col("of.ctx").alias("ctx"), F.col("of.n").alias("n"))
+class Keyed:
+    """Draws that depend on a row's key and the sweep only, not on the rows around it."""
+
+    def __init__(self, keys: np.ndarray, turn: int):
+        self.keys, self.turn = keys.view(np.uint64), turn
+
+    def of(self, rows: np.ndarray) -> Keyed:
+        return Keyed(self.keys[rows], self.turn)
+
+    def random(self, size: int) -> np.ndarray:
+        return (mixed(self.keys + mixed(np.full(size, 2 * self.turn + 1, np.uint64))) >> np.uint64(11)) / 2.0**53
+
+    def poisson(self, mean: np.ndarray) -> np.ndarray:
+        return np.array([np.random.default_rng([self.turn, int(k)]).poisson(m) for k, m in zip(self.keys, mean, strict=True)], np.int64)
 
 
 def stirling(d: float, most: int = EXACT) -> np.ndarray:
@@ -134,7 +159,7 @@ class Seats:
     def __init__(self, d: float):
         self.d, self.table = d, stirling(d)
 
-    def draw(self, c: np.ndarray, a: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def draw(self, c: np.ndarray, a: np.ndarray, rng: np.random.Generator | Keyed) -> np.ndarray:
         """Tables of blocks of c >= 1 customers, where a new table has weight `a`."""
         tables = np.ones(len(c), np.int64)
         many = np.flatnonzero(c > EXACT)
@@ -147,12 +172,12 @@ class Seats:
             weight[many], more = a[many] * thin, a[many] * (1 - thin) / self.d
             if not last:
                 tops = self._sized(np.full(len(many), EXACT), weight[many], None) + more
-        tables = self._sized(np.minimum(c, EXACT), weight, rng).astype(np.int64)
-        tables[many] += rng.poisson(more)
+        tables = self._sized(np.minimum(c, EXACT), weight, rng.random(len(c))).astype(np.int64)
+        tables[many] += (rng.of(many) if isinstance(rng, Keyed) else rng).poisson(more)
         return np.minimum(tables, c)
 
-    def _sized(self, c: np.ndarray, a: np.ndarray, rng: np.random.Generator | None) -> np.ndarray:
-        """Tables of blocks of at most EXACT customers, or their means without `rng`."""
+    def _sized(self, c: np.ndarray, a: np.ndarray, drawn: np.ndarray | None) -> np.ndarray:
+        """Tables of blocks of at most EXACT customers by numbers drawn from 0 to 1, or their means without these."""
         tables = np.ones(len(c))
         order = np.argsort(c, kind="stable")
         edges = np.searchsorted(c[order], np.arange(2, EXACT + 2))
@@ -163,235 +188,167 @@ class Seats:
                 rows = order[start:min(start + CELLS // size, high)]
                 weight = self.table[size, 1:size + 1] + t * np.log(a[rows])[:, None]
                 share = np.exp(weight - weight.max(axis=1, keepdims=True))
-                if rng is None:
+                if drawn is None:
                     tables[rows] = share @ t / share.sum(axis=1)
                     continue
                 share = np.cumsum(share, axis=1)
-                tables[rows] = 1 + (share < rng.random(len(rows))[:, None] * share[:, -1:]).sum(axis=1)
+                tables[rows] = 1 + (share < drawn[rows][:, None] * share[:, -1:]).sum(axis=1)
         return tables
 
 
-class Totals:
-    """Customers and tables of all restaurants after a sweep; small, and the same for every task."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_tables: float, words: int, d: float, d_root: float):
-        self.customers, self.tables = customers, tables
-        self.root_customers, self.root_tables, self.words = float(tables.sum()), root_tables, words
-        self.d, self.d_root = d, d_root
-
-    @property
-    def fresh(self) -> float:
-        """Weight at the root of a word's first table."""
-        return (THETA + self.d_root * self.root_tables) / (self.words + 1)
-
-    @property
-    def unseen(self) -> float:
-        return self.fresh / (self.root_customers + THETA)
-
-    @property
-    def room(self) -> np.ndarray:
-        """Weight of a new table in each restaurant."""
-        return THETA + self.d * self.tables
-
-    def share(self, guests: np.ndarray, tops: np.ndarray) -> np.ndarray:
-        """The root's predictive shares of words with `guests` customers at `tops` tables."""
-        return (guests - self.d_root * tops + self.fresh) / (self.root_customers + THETA)
-
-
-def mean(totals: list[Totals]) -> Totals:
-    first = totals[0]
-    return Totals(first.customers, np.mean([t.tables for t in totals], axis=0), float(np.mean([t.root_tables for t in totals])),
-                  first.words, first.d, first.d_root)
-
-
-def sweeps(batch: pa.RecordBatch, known: list[Totals], seats: Seats, root: Seats) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """After each sweep, of which the totals before are `known`: tables by block, root customers and root tables by word."""
-    c, ctx, word, _ = _blocks(batch)
-    count = batch.num_rows
-    guests, tops = np.bincount(word, minlength=count), np.ones(count, np.int64)
-    for turn, totals in enumerate(known):
-        rng = _generator(batch, turn)
-        t = seats.draw(c, totals.room[ctx] * totals.share(guests, tops)[word], rng)
-        guests = np.bincount(word, weights=t, minlength=count).astype(np.int64)
-        tops = root.draw(guests, np.full(count, totals.fresh), rng)
-        yield t, guests, tops
-
-
-def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    offsets = batch["ctx"].offsets.to_numpy().astype(np.int64)
-    inside = slice(offsets[0], offsets[-1])
-    word = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    return batch["n"].values.to_numpy()[inside], batch["ctx"].values.to_numpy()[inside], word, offsets - offsets[0]
-
-
-def _generator(batch: pa.RecordBatch, turn: int) -> np.random.Generator:
-    """Seeded by the batch's first word: a task that runs again draws the same."""
-    return np.random.default_rng([turn, batch["w"][0].as_py() & (1 << 63) - 1])
-
-
-def fit(counts: DataFrame, turns: int = SWEEPS, burn: int = BURN) -> tuple[DataFrame, Totals]:
-    """The dishes with (w, c, share, ctx, lead): c in all, the root's share, and per context the customers beyond the discounts."""
-    each = counts.select(F.posexplode("ctx").alias("at", "ctx"), "n").select("ctx", F.col("n")[F.col("at")].alias("c"))
-    by_context = each.groupBy("ctx").agg(
-        F.sum("c").alias("customers"), F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).collect()
-    kinds = counts.agg(F.count("*").alias("v"), F.count_if(F.size("ctx") == 1).alias("one"), F.count_if(F.size("ctx") == 2).alias("two")).first()
-    customers, tables = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS)
-    for r in by_context:
-        customers[r.ctx], tables[r.ctx] = r.customers, r.kinds
-    discount = lambda one, two: min(max(one / (one + 2 * two), 0.05), 0.95) if one else 0.5
-    d, d_root = discount(sum(r.one for r in by_context), sum(r.two for r in by_context)), discount(kinds.one, kinds.two)
-    known = [Totals(customers, tables, kinds.v, kinds.v, d, d_root)]
-
-    def count_tables(known: list[Totals]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seats, root = Seats(d), Seats(d_root)
-            sums, tops = np.zeros(CONTEXTS), 0.0
+class Root:
+    """Totals of the root after a sweep: `guests` customers at `tops` tables, of `words` different words."""
+
+    def __init__(self, guests: int, tops: int, words: int, d: float):
+        self.guests, self.words, self.d = guests, words, d
+        #: Weight of a word's first table.
+        self.fresh = (THETA + d * tops) / (words + 1)
+
+    def share(self, guests: Column, tops: Column) -> Column:
+        """The predictive share of a word with `guests` customers at `tops` tables."""
+        return (guests - self.d * tops + self.fresh) / (self.guests + THETA)
+
+
+def _discount(one: int | None, two: int | None) -> float:
+    return min(max(one / (one + 2 * (two or 0)), 0.05), 0.95) if one else 0.5
+
+
+class Model:
+    """A fitted model: written tables of `blocks`, `contexts` and `words`, and the root after every kept sweep.
+
+    blocks (k, w, ctx, m, lead): customers beyond the discounts, averaged over the kept sweeps.
+    contexts (ctx, customers, tables_0, ...), words (w, c, guests_0, tops_0, ...): after every kept sweep.
+    """
+
+    def __init__(self, blocks: DataFrame, contexts: DataFrame, words: DataFrame, roots: list[Root], d: float, tokens: int):
+        self.blocks, self.contexts, self.words, self.roots, self.d, self.tokens = blocks, contexts, words, roots, d, tokens
+
+    def scored(self) -> DataFrame:
+        """(k, m, score, base, known) of every pair: log10 of its probability in the model and in the base, and whether the word is known."""
+        none = F.lit(0)
+        turns = range(len(self.roots))
+        all_ = F.coalesce("customers", none) + THETA
+        backs = [((THETA + self.d * F.coalesce(f"tables_{i}", none)) / all_).alias(f"back_{i}") for i in turns]
+        shares = [root.share(F.coalesce(f"guests_{i}", none), F.coalesce(f"tops_{i}", none)).alias(f"share_{i}") for i, root in enumerate(self.roots)]
+        words = self.words.select("w", (F.col("c") > 0).alias("known"), *shares, F.log10(
+            (F.col("c") + 0.1) / (self.tokens + 0.1 * (self.roots[0].words + 1))).alias("base"))
+        led = self.blocks.join(self.contexts, "ctx", "left").select("k", "w", "m", (F.col("lead") / all_).alias("lead"), *backs)
+        rest = sum((F.col(f"back_{i}") * F.col(f"share_{i}") for i in turns), F.lit(0.0)) / len(self.roots)
+        return led.join(words, "w").select("k", "m", F.log10(F.col("lead") + rest).alias("score"), "base", "known")
+
+
+def fit(counts: DataFrame, turns: int = SWEEPS, burn: int = BURN) -> Model:
+    """The model of written `pairs`, after `turns` sweeps of which the first `burn` are not kept."""
+    spark = counts.sparkSession
+    kinds, one = F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)
+    whole = counts.agg(F.sum("n").alias("n"), kinds.alias("kinds"), one.alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
+    # `fixed`: tables of the blocks with one customer, which no sweep changes.
+    contexts, contexts_path = written(counts.where("n > 0").groupBy("ctx").agg(
+        F.sum("n").alias("customers"), one.alias("fixed"), kinds.alias("tables")), "contexts")
+    words, words_path = written(counts.groupBy("w").agg(F.sum("n").alias("c"), one.alias("fixed"), kinds.alias("guests")).withColumn(
+        "tops", F.least(F.col("guests"), F.lit(1))), "words")
+    named = words.agg(F.count_if(F.col("guests") > 0).alias("v"), F.count_if(F.col("guests") == 1).alias("one"),
+                      F.count_if(F.col("guests") == 2).alias("two")).first()
+    d, d_root = _discount(whole.one, whole.two), _discount(named.one, named.two)
+    root = Root(whole.kinds, named.v, named.v, d_root)
+    seats = counts.where("n > 1").withColumns({"t": F.lit(1).cast("long"), "kept": F.lit(0).cast("long")})
+    seats_path, roots = None, []
+
+    for turn in range(turns):
+        keep = turn >= burn
+
+        def seated(batches: Iterator[pa.RecordBatch], turn: int = turn, keep: bool = keep) -> Iterator[pa.RecordBatch]:
+            law = Seats(d)
             for batch in batches:
-                if batch.num_rows:
-                    *_, (t, _, top) = sweeps(batch, known, seats, root)
-                    sums += np.bincount(_blocks(batch)[1], weights=t, minlength=CONTEXTS)
-                    tops += top.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, CONTEXTS), pa.int32()), pa.array([tops, *sums])], ["ctx", "t"])
-        return run
-
-    for _ in range(turns):
-        found = counts.mapInArrow(count_tables(list(known)), "ctx int, t double").groupBy("ctx").agg(F.sum("t").alias("t")).collect()
-        by = {r.ctx: r.t for r in found}
-        known.append(Totals(customers, np.array([by.get(u, 0.0) for u in range(CONTEXTS)]), by.get(-1, 0.0), kinds.v, d, d_root))
-    kept = known[1 + burn:]
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seats, root = Seats(d), Seats(d_root)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c, ctx, word, offsets = _blocks(batch)
-            tables, share = np.zeros(len(c)), np.zeros(batch.num_rows)
-            for after, (t, guests, tops) in zip(known[1:], sweeps(batch, known[:-1], seats, root), strict=True):
-                if after in kept:
-                    tables += t / len(kept)
-                    share += after.share(guests, tops) / len(kept)
-            offsets = pa.array(offsets.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([
-                batch["w"], pa.array(np.bincount(word, weights=c).astype(np.int64)), pa.array(share),
-                pa.ListArray.from_arrays(offsets, pa.array(ctx)), pa.ListArray.from_arrays(offsets, pa.array(c - d * tables))],
-                ["w", "c", "share", "ctx", "lead"])
-
-    return counts.mapInArrow(predict, "w long, c long, share double, ctx array<int>, lead array<double>"), mean(kept)
-
-
-class Lookup:
-    """Scores of tokens of some dishes: (w, c, share), sorted by w, and their `lead` by context."""
-
-    def __init__(self, w: np.ndarray, c: np.ndarray, share: np.ndarray, sizes: np.ndarray, ctx: np.ndarray, lead: np.ndarray, totals: Totals):
-        order = np.argsort(w)
-        rank = np.empty(len(w), np.int64)
-        rank[order] = np.arange(len(w))
-        self.w, self.c, self.share = w[order], c[order], share[order]
-        pair = np.repeat(rank, sizes) * CONTEXTS + ctx
-        by_pair = np.argsort(pair)
-        self.pair, self.lead = pair[by_pair], lead[by_pair]
-        self.unseen = totals.unseen
-        self.back, self.all = totals.room / (totals.customers + THETA), totals.customers + THETA
-        train = int(totals.customers.sum())
-        self.space = train + 0.1 * (totals.words + 1)
-
-    def find(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of words, and whether they are here."""
-        if not len(self.w):
-            return np.zeros(len(w), np.int64), np.zeros(len(w), bool)
-        place = np.minimum(np.searchsorted(self.w, w), len(self.w) - 1)
-        return place, self.w[place] == w
-
-    def scores(self, place: np.ndarray, here: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 of the model's and of the base's probability, and whether the word is known."""
-        if len(self.w):
-            share, c = np.where(here, self.share[place], self.unseen), np.where(here, self.c[place], 0)
-            want = place * CONTEXTS + ctx
-            at = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
-            lead = np.where(here & (self.pair[at] == want), self.lead[at], 0.0)
-        else:
-            share, c, lead = np.full(len(place), self.unseen), np.zeros(len(place)), 0.0
-        return np.log10(lead / self.all[ctx] + self.back[ctx] * share), np.log10((c + 0.1) / self.space), c > 0
-
-
-def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = zip(batch["c"].to_pylist(), batch["share"].to_pylist(), batch["ctx"], batch["lead"], strict=True)
-    packed = [struct.pack(DISH_FORM, c, share, len(ctx)) + ctx.values.to_numpy().tobytes() + lead.values.to_numpy().tobytes() for c, share, ctx, lead in rows]
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays(
-        [batch["w"], pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, DISH, np.int32)), pa.array(packed, pa.binary())], ["w", "id", "ctx", "more"])
-
-
-def _unpacked(w: list[np.ndarray], payloads: list[bytes], totals: Totals) -> Lookup:
-    heads = [struct.unpack_from(DISH_FORM, p) for p in payloads]
-    sizes = np.array([h[2] for h in heads], np.int64)
-    start = struct.calcsize(DISH_FORM)
-    ctx = [np.frombuffer(p, np.int32, h[2], start) for p, h in zip(payloads, heads, strict=True)]
-    lead = [np.frombuffer(p, np.float64, h[2], start + 4 * h[2]) for p, h in zip(payloads, heads, strict=True)]
-    flat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    return Lookup(flat(w, np.int64), np.array([h[0] for h in heads], np.int64), np.array([h[1] for h in heads]), sizes,
-                  flat(ctx, np.int32), flat(lead, np.float64), totals)
-
-
-ROUTED = "w long, id long, ctx int, more binary"
-
-
-def _routed(rows: DataFrame, hot: Lookup) -> DataFrame:
-    """A row for every token of another than the hot words, and one per document with its size and its hot words' sums."""
+                t = law.draw(batch["n"].to_numpy(), batch["a"].to_numpy(), Keyed(batch["k"].to_numpy(), turn))
+                kept = batch["kept"].to_numpy() + keep * t
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("k", "w", "ctx", "n", "m")), pa.array(t), pa.array(kept)],
+                                                 ["k", "w", "ctx", "n", "m", "t", "kept"])
+
+        def topped(batches: Iterator[pa.RecordBatch], turn: int = turn, fresh: float = root.fresh) -> Iterator[pa.RecordBatch]:
+            law = Seats(d_root)
+            for batch in batches:
+                guests = batch["guests"].to_numpy()
+                tops = law.draw(np.maximum(guests, 1), np.full(len(guests), fresh), Keyed(batch["w"].to_numpy(), -1 - turn & 0xFFFF))
+                at = batch.schema.get_field_index("tops")
+                yield batch.set_column(at, "tops", pa.array(np.minimum(tops, guests)))
+
+        room = contexts.select("ctx", (THETA + d * F.col("tables")).alias("room"))
+        shares = words.select("w", root.share(F.col("guests"), F.col("tops")).alias("share"))
+        drawn = seats.join(room, "ctx").join(shares, "w").withColumn("a", F.col("room") * F.col("share")).drop("room", "share", "t")
+        old = [p for p in (seats_path, contexts_path, words_path) if p]
+        seats, seats_path = written(drawn.mapInArrow(seated, "k long, w long, ctx long, n long, m long, t long, kept long"), "seats")
+        place = len(roots)
+        by_context = seats.groupBy("ctx").agg(F.sum("t").alias("t"))
+        tables = (F.col("fixed") + F.coalesce("t", F.lit(0))).alias("tables")
+        contexts, contexts_path = written(contexts.drop("tables").join(by_context, "ctx", "left").select(
+            *contexts.drop("tables").columns, tables, *([tables.alias(f"tables_{place}")] if keep else [])), "contexts")
+        by_word = seats.groupBy("w").agg(F.sum("t").alias("t"))
+        guests = (F.col("fixed") + F.coalesce("t", F.lit(0))).alias("guests")
+        seen = words.drop("guests", "tops")
+        sized = seen.join(by_word, "w", "left").select(*seen.columns, guests, F.lit(0).cast("long").alias("tops"))
+        named_now = sized.mapInArrow(topped, sized.schema)
+        if keep:
+            named_now = named_now.withColumns({f"guests_{place}": F.col("guests"), f"tops_{place}": F.col("tops")})
+        words, words_path = written(named_now, "words")
+        total = words.agg(F.sum("guests").alias("guests"), F.sum("tops").alias("tops")).first()
+        root = Root(total.guests or 0, total.tops or 0, named.v, d_root)
+        roots += [root] * keep
+        for path in old:
+            discard(spark, path)
+        release(spark)
+
+    lead = F.col("n") - F.when(F.col("n") > 0, d).otherwise(0.0)
+    few = counts.where("n < 2").select("k", "w", "ctx", "m", lead.alias("lead"))
+    many = seats.select("k", "w", "ctx", "m", (F.col("n") - d * F.col("kept") / len(roots)).alias("lead"))
+    return Model(few.union(many), contexts, words, roots, d, whole.n or 0)
+
+
+class Frequent:
+    """Scores of the most frequent pairs, looked up on the spot."""
+
+    def __init__(self, rows: pa.Table):
+        k = rows["k"].to_numpy()
+        order = np.argsort(k)
+        self.k = k[order]
+        self.score, self.base, self.known = (rows[c].to_numpy()[order] for c in ("score", "base", "known"))
+
+    def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs, and whether they are here."""
+        if not len(self.k):
+            return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+        place = np.minimum(np.searchsorted(self.k, k), len(self.k) - 1)
+        return place, self.k[place] == k
+
+
+_OF = "struct<doc_id: long, score: double, base: double, n_tokens: long, n_known: long>"
+
+
+def _routed(rows: DataFrame, frequent: Frequent) -> DataFrame:
+    """A row for every token of another than the frequent pairs, and one per document with its size and the sums of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, names = batch["id"].to_numpy(), batch["doc_id"].to_pylist()
+            ids, names = batch["id"].to_numpy(), batch["doc_id"]
             for first, w, ctx, sizes in tokens(batch["text"]):
                 count = len(sizes)
                 doc = np.repeat(np.arange(count), sizes)
-                w = w.view(np.int64)
-                place, here = hot.find(w)
-                score, base, known = hot.scores(place[here], here[here], ctx[here])
-                sums = [np.bincount(doc[here], weights=x, minlength=count) for x in (score, base, known)]
-                more = [struct.pack(SUMMARY_FORM, name is not None, name or 0, a, b, int(n), int(k)) for name, a, b, n, k in zip(
-                    names[first:first + count], *(x.tolist() for x in (*sums[:2], sizes, sums[2])), strict=True)]
+                k = pair_keys(w, ctx).view(np.int64)
+                place, here = frequent.find(k)
+                at, mine = place[here], doc[here]
+                total = lambda x: np.bincount(mine, weights=x, minlength=count).astype(float)  # noqa: B023, E731
                 own, cold = ids[first:first + count], ~here
-                spread = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate((spread, w[cold]))), pa.array(np.concatenate((own, own[doc[cold]]))),
-                    pa.array(np.concatenate((np.full(count, SUMMARY, np.int32), ctx[cold]))),
-                    pa.array(more + [None] * int(cold.sum()), pa.binary())], ["w", "id", "ctx", "more"])
-
-    return rows.mapInArrow(run, ROUTED)
-
-
-def _summed(routed: DataFrame, totals: Totals) -> DataFrame:
-    """Per task and document: the sums of what the task holds of it."""
+                of = pa.StructArray.from_arrays([
+                    names.slice(first, count), pa.array(total(frequent.score[at])), pa.array(total(frequent.base[at])),
+                    pa.array(sizes.astype(np.int64)), pa.array(total(frequent.known[at]).astype(np.int64))],
+                    ["doc_id", "score", "base", "n_tokens", "n_known"])
+                # A document's own row is spread by its id: the key of no pair, or of one that its sums ignore.
+                spread = mixed(own.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(own), of], ["k", "id", "of"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k[cold]), pa.array(own[doc[cold]]), pa.nulls(int(cold.sum()), of.type)], ["k", "id", "of"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        w, ids, ctx = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("w", "id", "ctx"))
-        kinds = [b["ctx"].to_numpy() for b in held]
-        payloads = [p for b, k in zip(held, kinds, strict=True) for p in b["more"].filter(pa.array(k == DISH)).to_pylist()]
-        own = [p for b, k in zip(held, kinds, strict=True) for p in b["more"].filter(pa.array(k == SUMMARY)).to_pylist()]
-        del held
-        dishes_here = _unpacked([w[ctx == DISH]], payloads, totals)
-        token = ctx >= 0
-        place, here = dishes_here.find(w[token])
-        score, base, known = dishes_here.scores(place, here, ctx[token])
-        named = [struct.unpack(SUMMARY_FORM, p) for p in own]
-        every = np.concatenate((ids[token], ids[ctx == SUMMARY]))
-        id_, at = np.unique(every, return_inverse=True)
-        column = lambda tail, i, kind: np.concatenate((tail, np.array([s[i] for s in named], kind)))
-        total = lambda x: np.bincount(at, weights=x, minlength=len(id_))
-        name, told = np.zeros(len(id_), np.int64), np.zeros(len(id_), bool)
-        mine = at[len(score):]
-        name[mine], told[mine] = [s[1] for s in named], [s[0] for s in named]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(id_), pa.array(name, mask=~told), pa.array(total(column(score, 2, float))), pa.array(total(column(base, 3, float))),
-            pa.array(total(column(np.zeros(len(score)), 4, float)).astype(np.int64)), pa.array(total(column(known, 5, float)).astype(np.int64))],
-            ["id", "doc_id", "score", "base", "n_tokens", "n_known"])
-
-    return routed.repartition("w").mapInArrow(run, "id long, doc_id long, score double, base double, n_tokens long, n_known long")
+    return rows.mapInArrow(run, f"k long, id long, of {_OF}")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -403,27 +360,20 @@ def score(docs: DataFrame) -> DataFrame:
     score is that of the uniform base.
     """
     spark = docs.sparkSession
-    doc_id = F.col("doc_id").cast("long")
-    counts, counts_path = written(dishes(docs.where(~held_out(doc_id))), "dishes")
+    texts = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts, counts_path = written(pairs(texts), "pairs")
     release(spark)
-    fitted, totals = fit(counts)
-    model, _ = written(fitted, "hpylm")
+    model = fit(counts)
+    scored, _ = written(model.scored(), "hpylm")
     discard(spark, counts_path)
     release(spark)
-    train = int(totals.customers.sum())
-    lowest = max(1, math.ceil(train * HOT))
-    is_hot = (F.col("c") >= lowest) | (F.col("w") == int(END.view(np.int64)))
-    rows = model.where(is_hot).collect()  # at most 1 / HOT words, and the end
-    hot = Lookup(np.array([r.w for r in rows], np.int64), np.array([r.c for r in rows], np.int64), np.array([r.share for r in rows]),
-                 np.array([len(r.ctx) for r in rows], np.int64), np.array([u for r in rows for u in r.ctx], np.int32),
-                 np.array([x for r in rows for x in r.lead], np.float64), totals)
-    texts = docs.select(F.monotonically_increasing_id().alias("id"), doc_id.alias("doc_id"), "text")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(_packed, batches)
-
-    routed = _routed(texts, hot).union(model.where(~is_hot).mapInArrow(pack, ROUTED))
-    whole = _summed(routed, totals).groupBy("id").agg(
-        F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("score", "base", "n_tokens", "n_known")))
-    return whole.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"),
-                        F.col("base").alias("base_score"), "score")
+    everything = scored.agg(F.sum("m").alias("m")).first().m or 0
+    frequent = Frequent(scored.where(F.col("m") * HOT >= everything).select("k", "score", "base", "known").toArrow())
+    told = _routed(texts, frequent).join(scored.select("k", "score", "base", "known"), "k", "left")
+    own = F.col("of").isNotNull()
+    sums = {"n_known": F.when(own, F.col("of.n_known")).otherwise(F.col("known").cast("long")),
+            "base_score": F.when(own, F.col("of.base")).otherwise(F.col("base")), "score": F.when(own, F.col("of.score")).otherwise(F.col("score"))}
+    whole = told.groupBy("id").agg(
+        F.max("of.doc_id").alias("doc_id"), F.sum("of.n_tokens").alias("n_tokens"), *(F.sum(c).alias(name) for name, c in sums.items()))
+    return whole.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+                        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
