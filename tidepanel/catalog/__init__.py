@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_windows", "q_accounting", "q_samples", "q_decisions", "q_holdout", "q_sources", "q_files", "q_panel", "q_micro", "q_jobs", "q_models", "q_folds", "q_streams", "q_ordered")
+MODULES = ("q_windows", "q_accounting", "q_samples", "q_decisions", "q_holdout", "q_sources", "q_refusals", "q_files", "q_panel", "q_micro", "q_jobs", "q_models", "q_folds", "q_streams", "q_ordered")
 
 
 def _load():
