@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.functions.timefns import DAY_NS
 
+EMA_CHUNK = 128
+
 
 @dataclass(frozen=True)
 class IndicatorWindows:
@@ -100,26 +101,40 @@ def sma(bars: DataFrame, window: int, name: str) -> DataFrame:
 
 
 def ema(bars: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """The `2 / (w + 1)` recursion over a contract's whole series, per window.
+    """The `2 / (w + 1)` recursion over a contract's whole series of non-null closes, per window.
 
-    The recursion has no bounded frame, so it runs per contract in pandas; a
-    contract's series holds one row per calendar day and stays small.
+    A step is an affine map of the average before it, and so is a run of steps: in a
+    chunk of `EMA_CHUNK` rows the average is `keep^i * carry + own`, where `own` is a
+    weighted running sum of the chunk. Only one row per chunk is gathered by contract
+    to compose the maps; what a chunk receives is joined back to its rows.
     """
-    fields = ", ".join(f"ema_{w} double" for w in windows)
-
-    def smooth(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("close_time_ns")
-        out = frame[["contract_id", "close_time_ns"]].copy()
-        for w in windows:
-            out[f"ema_{w}"] = frame["close"].ewm(span=w, adjust=False).mean()
-        return out
-
-    smoothed = (
-        bars.select("contract_id", "close_time_ns", "close")
-        .groupBy("contract_id")
-        .applyInPandas(smooth, f"contract_id string, close_time_ns long, {fields}")
-    )
-    return bars.join(smoothed, ["contract_id", "close_time_ns"])
+    ordered = W.partitionBy("contract_id").orderBy("close_time_ns")
+    inside = W.partitionBy("contract_id", "_chunk").orderBy("close_time_ns").rowsBetween(W.unboundedPreceding, 0)
+    keeps = {w: 1.0 - 2.0 / (w + 1) for w in windows}
+    rows = bars.withColumn("_place", F.row_number().over(ordered) - 1).withColumns(
+        {"_chunk": F.floor(F.col("_place") / EMA_CHUNK), "_step": F.col("_place") % EMA_CHUNK + 1})
+    # Weights grow with the step, so that the running sum holds every earlier term; a window of one row keeps nothing.
+    own = {w: F.col("close") if w == 1 else F.pow(F.lit(keep), F.col("_step")) * F.sum(
+        (1 - keep) * F.col("close") * F.pow(F.lit(1 / keep), F.col("_step"))).over(inside) for w, keep in keeps.items()}
+    rows = rows.withColumns({f"_own_{w}": own[w] for w in windows})
+
+    last = F.struct("_step", *(F.col(f"_own_{w}") for w in windows))
+    chunks = rows.groupBy("contract_id", "_chunk").agg(
+        F.max_by(last, "_step").alias("_last"), F.min_by("close", "_step").alias("_first"))
+    gathered = chunks.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_first", "_last"))).alias("_all"))
+
+    def received(w: int) -> Column:
+        """What each chunk receives: the first close of all, then the average at the end of the chunk before."""
+        start = F.array(F.get("_all", F.lit(0))["_first"])
+        after = lambda got, c: F.pow(F.lit(keeps[w]), c["_last"]["_step"]) * F.element_at(got, -1) + c["_last"][f"_own_{w}"]
+        return F.aggregate("_all", start, lambda got, c: F.concat(got, F.array(after(got, c))))
+
+    carries = gathered.select("contract_id", "_all", *(received(w).alias(f"_got_{w}") for w in windows)).select(
+        "contract_id", F.posexplode("_all").alias("_at", "_one"), *(f"_got_{w}" for w in windows)).select(
+        "contract_id", F.col("_one._chunk").alias("_chunk"), *(F.get(f"_got_{w}", F.col("_at")).alias(f"_carry_{w}") for w in windows))
+    out = rows.join(carries, ["contract_id", "_chunk"])
+    averages = [(F.pow(F.lit(keep), F.col("_step")) * F.col(f"_carry_{w}") + F.col(f"_own_{w}")).alias(f"ema_{w}") for w, keep in keeps.items()]
+    return out.select(*bars.columns, *averages)
 
 
 def indicator_votes(bars: DataFrame, spec: IndicatorWindows = IndicatorWindows()) -> DataFrame:
