@@ -66,3 +66,18 @@ def test_exact_quantiles_are_nearest_rank(spark):
         for q in quantiles:
             want = values[max(math.ceil(len(values) * q) - 1, 0)]
             assert next(r.value for r in got if r.k == k and r.quantile == q) == want
+
+
+def test_slots_do_not_depend_on_the_layout_of_rows(spark):
+    """The slots are computed twice in a query; a sketch merged in another order cuts them elsewhere, and ranks are lost."""
+    rng = random.Random(7)
+    values = [round(rng.lognormvariate(3, 1), 4) for _ in range(30_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("k", F.lit("one"))
+    counted = df.groupBy("k", F.col("v").alias("_v")).agg(F.count("*").alias("_n"))
+    layouts = [skewsafe.slot_bounds(counted.repartition(n, "_n", "_v"), ["k"]).first() for n in (1, 5)]
+    assert layouts[0] == layouts[1] and layouts[0].row_count == len(values) and len(layouts[0]._bounds) in (63, 64)
+    quantiles = [Decimal(q) / 40 for q in range(1, 40)]
+    query = skewsafe.exact_quantiles(df, ["k"], "v", quantiles)
+    assert "percentile_approx" not in query._jdf.queryExecution().toString()
+    ordered = sorted(values)
+    assert {r.quantile: r.value for r in query.collect()} == {q: ordered[max(math.ceil(len(ordered) * q) - 1, 0)] for q in quantiles}
