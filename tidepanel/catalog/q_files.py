@@ -91,7 +91,7 @@ def trade_files(t):
 
 @query("a10c_trade_file", with_views("ticks") + f"""
 SELECT instrument_id, CAST(event_id AS VARCHAR) AS trade_id, event_time_ns // 1000000 * 1000000 + {SECOND} AS available_time_ns, round(price, 4) AS price, side
-FROM ticks WHERE event_id % 59 <> 0 AND event_id % 41 <> 0 AND (event_id % 43 <> 0 OR round(price, 4) = 1.5)""")
+FROM ticks WHERE event_id % 59 <> 0 AND event_id % 41 <> 0 AND event_id % 43 <> 0""")
 def a10c(t):
     rows, _ = trade_files(t)
     lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
