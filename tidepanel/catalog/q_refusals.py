@@ -73,9 +73,11 @@ def a05b(t):
     return refusals.refused_fields(rows, BAR_KEYS, refusals.CANDLE_FIELDS)
 
 
-@query("a13b_rest_depth_rejects", with_views("ticks") + """
-SELECT event_id AS sequence, CASE WHEN event_id % 37 = 0 THEN 'bids' WHEN event_id % 41 = 0 THEN 'asks' ELSE 'header' END AS reason
-FROM ticks WHERE event_id % 37 = 0 OR event_id % 41 = 0 OR event_id % 43 = 0""")
+@query("a13b_rest_depth_rejects", with_views("ticks", more={"sides": """
+    SELECT *, CAST(price * 0.5::DOUBLE AS DECIMAL(20,4)) AS bid, CAST(price * 1.5::DOUBLE AS DECIMAL(20,4)) AS ask FROM ticks"""}) + """
+SELECT event_id AS sequence, CASE WHEN event_id % 37 = 0 OR NOT coalesce(bid > 0 AND quantity >= 0, false) THEN 'bids'
+  WHEN event_id % 41 = 0 OR NOT coalesce(ask > 0 AND quantity >= 0, false) THEN 'asks' ELSE 'header' END AS reason
+FROM sides WHERE event_id % 37 = 0 OR event_id % 41 = 0 OR event_id % 43 = 0 OR NOT coalesce(bid > 0 AND ask > 0 AND quantity >= 0, false)""")
 def a13b(t):
     e = F.col("event_id")
     bids, asks = depth_sides()
