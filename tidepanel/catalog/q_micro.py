@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.catalog.registry import query, rounded
+from tidepanel.catalog.registry import query, rounded, six, six_sql
 from tidepanel.catalog.reports import report
 from tidepanel.catalog.sqlviews import HOUR, with_views
 from tidepanel.functions.timefns import DAY_NS, HOUR_NS, int_div
@@ -40,15 +40,6 @@ BOOK_SQL = {
 }
 
 
-def six(value):
-    """Rounded to six places by way of a decimal, so that an exact half rounds alike in every engine."""
-    return F.round(value.cast("decimal(28,9)"), 6).cast("double")
-
-
-def six_sql(value: str) -> str:
-    return f"CAST(round(CAST({value} AS DECIMAL(28,9)), 6) AS DOUBLE)"
-
-
 def observations(t):
     return report(t, "depth", lambda: micro.depth_observations(t.book_levels, NOTIONALS))
 
@@ -129,7 +120,7 @@ def statistics(t):
 
 
 @query("d20_instrument_slippage", with_views("books", more=STATS_SQL) + """
-SELECT instrument_id, notional, "count", insufficient_depth, round(p50, 4) AS p50, round(p90, 4) AS p90, round(p99, 4) AS p99, eligible FROM stats""")
+SELECT instrument_id, notional, "count", insufficient_depth, CAST(round(CAST(p50 AS DECIMAL(28,9)), 4) AS DOUBLE) AS p50, CAST(round(CAST(p90 AS DECIMAL(28,9)), 4) AS DOUBLE) AS p90, CAST(round(CAST(p99 AS DECIMAL(28,9)), 4) AS DOUBLE) AS p99, eligible FROM stats""")
 def d20(t):
     out = statistics(t).select("instrument_id", "notional", "count", "insufficient_depth", "p50", "p90", "p99", "eligible")
     return rounded(out, 4, ["p50", "p90", "p99"])
@@ -146,7 +137,7 @@ def d21(t):
 
 
 @query("d22_tier_medians", with_views("books", more=STATS_SQL) + """
-SELECT tier, market, notional, members, contributing, round(p50_of_p50, 4) AS p50_of_p50, round(p50_of_p90, 4) AS p50_of_p90 FROM med""")
+SELECT tier, market, notional, members, contributing, CAST(round(CAST(p50_of_p50 AS DECIMAL(28,9)), 4) AS DOUBLE) AS p50_of_p50, CAST(round(CAST(p50_of_p90 AS DECIMAL(28,9)), 4) AS DOUBLE) AS p50_of_p90 FROM med""")
 def d22(t):
     return rounded(micro.tier_medians(statistics(t), floor=3), 4, ["p50_of_p50", "p50_of_p90"])
 
