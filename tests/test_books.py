@@ -6,6 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 
+from tidepanel.catalog.tables import Tables
 from tidepanel.functions.timefns import WEEK_NS
 from tidepanel.operators import carry, stats
 
@@ -69,3 +70,12 @@ def test_deflated_sharpe(spark):
         s = sharpes[m]
         scale = 1 - (z**3).mean() * s + ((z**4).mean() - 1) / 4 * s * s
         assert got[m] == pytest.approx(normal.cdf((s - top) * np.sqrt(len(v) - 1) / np.sqrt(scale)))
+
+
+def test_books_are_dealt_by_the_rows_of_the_table(spark, monkeypatch):
+    """A task's share of the levels must not grow with the table."""
+    tables = Tables(spark, "/root/testdata/sf0.01")
+    assert tables.pieces("lineitem", 1_000) == -(-tables.read("lineitem").count() // 1_000)
+    assert tables.pieces("region") == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(Tables, "pieces", lambda self, name: 23)
+    assert tables.book_levels.rdd.getNumPartitions() == 23
