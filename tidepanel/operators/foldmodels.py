@@ -20,8 +20,6 @@ from tidepanel.operators import skewsafe
 from tidepanel.operators.models import FEATURES, feature_frame, sigmoid
 
 TARGET = "forward_return"
-# Value slots a fold's feature is cut into before its distinct values are ranked.
-SLOTS = 64
 # Gains are compared as shares of the squared residuals after rounding, so that equal splits of different features tie in every engine.
 GAIN_DIGITS = 12
 
@@ -141,14 +139,14 @@ def _long(rows: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
 def split_candidates(train: DataFrame, keys: Sequence[str], *, minimum_leaf: int, limit: int) -> DataFrame:
     """`cuts` by group and feature: at most `limit` evenly picked midpoints between distinct values.
 
-    Equal values are counted before the shuffle. A sketch cuts a group's values
-    into slots of like counts, so an outlier does not widen them, and only slot
+    Equal values are counted before the shuffle. A draw by hash cuts a group's values
+    into slots of like counts, the same in each branch that asks for them, so an outlier does not widen them, and only slot
     summaries are ordered as a whole. Every candidate leaves `minimum_leaf` rows on both sides.
     """
     cell = [*keys, "feature"]
     counted = _long(feature_frame(train), keys).groupBy(*cell, "v").agg(F.count("*").alias("_c"))
-    bounds = counted.groupBy(*cell).agg(
-        F.percentile_approx("v", [i / SLOTS for i in range(1, SLOTS)], 1_000).alias("_bounds"), F.sum("_c").alias("_total"))
+    drawn = skewsafe.slot_bounds(counted.select(*cell, F.col("v").alias("_v"), F.col("_c").alias("_n")), cell)
+    bounds = drawn.withColumnRenamed("row_count", "_total")
     slotted = counted.join(bounds, cell).withColumn("_slot", F.size(F.filter("_bounds", lambda b: b < F.col("v")))).drop("_bounds")
     ranked = skewsafe.running_totals(slotted, cell, ["v"], F.col("_slot"), {"_upto": F.col("_c")})
     following = skewsafe.carry(ranked, cell, ["v"], F.col("_slot"), F.col("v"), "_after", direction="next", inclusive=False)
