@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -172,26 +173,23 @@ def reconstruct_books(updates: DataFrame) -> DataFrame:
 
 
 class BookProcessor(StatefulProcessor):
-    """Keyed order-book state; rows of a trigger are applied in sequence order."""
+    """Keyed order-book state; rows of a trigger are applied in sequence order.
+
+    A book is bounded, so it is one value: a key costs one read and one write of
+    state a trigger, however many levels it has.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "quantity double")
-        self.cursor = handle.getValueState("cursor", "last bigint, valid boolean")
+        self.book = handle.getValueState("book", "last bigint, valid boolean, levels string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("sequence")
-        bids: dict = {}
-        asks: dict = {}
-        for (side, price), (quantity,) in self.levels.iterator():
-            (bids if side == "bid" else asks)[price] = quantity
-        last, valid = self.cursor.get() if self.cursor.exists() else (None, False)
+        last, valid, levels = self.book.get() or (None, False, "[[], []]")
+        bids, asks = ({price: quantity for price, quantity in side} for side in json.loads(levels))
         updates = frame[["sequence", "kind", "side", "price", "quantity"]].itertuples(index=False, name=None)
         out = [(key[0], s, "valid" if v else "invalid", b, a) for s, v, b, a in replay_book(updates, bids, asks, last, valid)]
-        self.levels.clear()
-        for side, book in (("bid", bids), ("ask", asks)):
-            for price, quantity in book.items():
-                self.levels.updateValue((side, price), (quantity,))
-        self.cursor.update((int(frame["sequence"].iloc[-1]), out[-1][2] == "valid"))
+        levels = json.dumps([list(bids.items()), list(asks.items())])
+        self.book.update((int(frame["sequence"].iloc[-1]), out[-1][2] == "valid", levels))
         yield pd.DataFrame(out, columns=["instrument_id", "sequence", "status", "best_bid", "best_ask"])
 
     def close(self) -> None:
