@@ -1,5 +1,7 @@
 """Files as they are: zipped dumps, line files, appends, and audits of what was published."""
 
+import zipfile
+
 from tidepanel.session import discard
 from tidepanel.sources import panel
 
@@ -18,6 +20,21 @@ def test_archives_round_trip(spark, tmp_path):
         assert [t for a, t in got if a == "b-1"] == ["y", "z"]
 
 
+def test_archives_are_compressed_and_the_same_each_time(spark, tmp_path):
+    rows = [("a", i // 5, f"{i // 5},8,0.0001000{i % 5}") for i in range(30_000)]
+    files = []
+    for parts in (2, 7):
+        lines = spark.createDataFrame(rows, "archive string, position bigint, line string").repartition(parts, "line")
+        path = str(tmp_path / f"zips-{parts}")
+        assert panel.write_archives(lines, path).first().lines == 30_000
+        files.append(f"{path}/a.zip")
+    with zipfile.ZipFile(files[0]) as archive:
+        member = archive.infolist()[0]
+        assert member.compress_type == zipfile.ZIP_DEFLATED and 4 * member.compress_size < member.file_size
+        assert archive.read(member).decode() == "".join(f"{t}\n" for _, _, t in sorted(rows, key=lambda r: r[1:]))
+    assert open(files[0], "rb").read() == open(files[1], "rb").read()
+
+
 def test_json_lines_and_what_is_none(spark, tmp_path):
     path = str(tmp_path / "lines")
     spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": "?", "b": "y"}',), ('{"a": 2',), ("",), ('{"b": "z"}',)], "value string").write.text(path)

@@ -8,7 +8,6 @@ import itertools
 import zipfile
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as filesystem
 from pyspark.errors import AnalysisException
@@ -114,22 +113,29 @@ def write_archives(lines: DataFrame, path: str, header: str | None = None) -> Da
     """Zipped CSV dumps, one archive per `archive` name with its `line`s by `position`; returns (archive, lines, hash).
 
     An archive holds one instrument's lines of one period, so a group is bounded by
-    the calendar. Files go through `pyarrow.fs`, to a folder every executor can reach.
+    the calendar. Its lines stay an Arrow table and are compressed in parts. Files go
+    through `pyarrow.fs`, to a folder every executor can reach.
     """
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        name = frame["archive"].iloc[0]
-        text = frame.sort_values("position")["line"].tolist()
+    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        # Lines of the same position are ordered, too, so that a retry writes the same bytes.
+        text = table.select(["position", "line"]).sort_by([("position", "ascending"), ("line", "ascending")])["line"]
         content = io.BytesIO()
-        with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
-            member = zipfile.ZipInfo(f"{name}.csv")  # with a fixed time, so that a retry writes the same bytes
-            archive.writestr(member, "\n".join([header, *text] if header else text) + "\n")
+        with zipfile.ZipFile(content, "w") as archive:
+            member = zipfile.ZipInfo(f"{name}.csv")  # with a fixed time, as above
+            member.compress_type = zipfile.ZIP_DEFLATED
+            with archive.open(member, "w", force_zip64=True) as file:
+                if header:
+                    file.write(f"{header}\n".encode())
+                for at in range(0, len(text), 10_000):
+                    file.write("".join(f"{t}\n" for t in text.slice(at, 10_000).to_pylist()).encode())
         system, place = filesystem.FileSystem.from_uri(path) if ":" in path else (filesystem.LocalFileSystem(), path)
         system.create_dir(place, recursive=True)
         with system.open_output_stream(f"{place}/{name}.zip") as out:
-            out.write(content.getvalue())
-        return pd.DataFrame([(name, len(text), hashlib.sha256(content.getvalue()).hexdigest())], columns=["archive", "lines", "hash"])
+            out.write(content.getbuffer())
+        return pa.table({"archive": [name], "lines": pa.array([len(text)], pa.int64()), "hash": [hashlib.sha256(content.getbuffer()).hexdigest()]})
 
-    return staged(lines.groupBy("archive").applyInPandas(pack, "archive string, lines bigint, hash string"), "archives")
+    return staged(lines.groupBy("archive").applyInArrow(pack, "archive string, lines bigint, hash string"), "archives")
 
 
 def zipped_lines(spark: SparkSession, path: str, header: str | None = None) -> DataFrame:
