@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tidepanel.catalog import q_ordered
 from tidepanel.streaming import monitors, ordered
 
 
@@ -75,3 +76,30 @@ def test_chain_goes_on_after_a_restart(spark, tmp_path):
             link = ordered.record_hash(chain, n, r.kind, r.payload, snapshot, link)
             assert r.content_hash == link
         assert n == 12
+
+
+def test_keys_of_a_shard_share_its_state(spark, tmp_path):
+    path, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    keys = [1, 2**60 + 1, None]
+    rows = [(keys[i % 3], i, "x", f"p{i}") for i in range(18)]
+    schema = "chain_id bigint, event_id bigint, kind string, payload string"
+    for part in (rows[:10], rows[10:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = monitors.read_landing(spark, path, spark.createDataFrame([], schema).schema, files_per_trigger=1)
+        got = monitors.drain_to(ordered.chained(stream, shards=1), out).collect()
+    for k, chain in enumerate(keys):
+        link = ordered.FIRST_LINK
+        for n, r in enumerate(sorted((r for r in got if r.chain_id == chain), key=lambda r: r.sequence), 1):
+            assert (r.sequence, r.event_id, r.previous_hash) == (n, 3 * (n - 1) + k, link)
+            link = r.content_hash
+            assert link == ordered.record_hash(chain, n, "x", r.payload, r.snapshot, r.previous_hash)
+        assert n == 6
+
+
+def test_a_slice_lands_in_files_that_hold_whole_keys(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    rows = spark.range(600).selectExpr("id", "id % 7 AS k", "id DIV 300 AS part")
+    q_ordered.land(rows, F.col("part"), [1, 0], path, "k", 3)
+    read = spark.read.parquet(path).withColumn("file", F.input_file_name()).groupBy("part", "k").agg(F.countDistinct("file").alias("files"), F.count("*").alias("n"))
+    assert {(r.files, r.n) for r in read.collect()} <= {(1, 42), (1, 43)}
+    assert len(list((tmp_path / "landing").glob("*.parquet"))) > 2

@@ -9,20 +9,32 @@ from tidepanel.catalog.registry import query
 from tidepanel.catalog.sqlviews import HOUR, with_views
 from tidepanel.functions.timefns import ns_to_timestamp
 from tidepanel.operators import skewsafe
-from tidepanel.session import scratch_path
+from tidepanel.session import scratch_path, staged
 from tidepanel.streaming import monitors, ordered
 
 SLICES = 6
 
 
-def land(rows: DataFrame, part, order, path: str) -> None:
-    """Write `rows` as one file per slice, in the given order, behind what is there."""
+def land(rows: DataFrame, part, order, path: str, key: str, files: int = 1) -> None:
+    """Write `rows` slice by slice, in the given order, behind what is there.
+
+    A key's rows of a slice are in one file, so that they are met in order however files share a trigger.
+    """
     for i in order:
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(part == i).repartition(files, key).write.mode("append").parquet(path)
+
+
+def files_of(t) -> int:
+    """Files of a slice, so that a task's share of the landing stays the same as the table grows."""
+    return -(-t.read("events").count() // (SLICES * 250_000))
 
 
-def stream_of(rows: DataFrame, path: str) -> DataFrame:
-    return monitors.read_landing(rows.sparkSession, path, rows.schema, files_per_trigger=1)
+def shards_of(t) -> int:
+    return t.pieces("events", 4_000)
+
+
+def stream_of(rows: DataFrame, path: str, files: int = 1) -> DataFrame:
+    return monitors.read_landing(rows.sparkSession, path, rows.schema, files_per_trigger=files)
 
 
 def sliced(column: str, frame: DataFrame, slices: int = SLICES):
@@ -79,10 +91,10 @@ BOOK_ROWS = """SELECT instrument_id, sequence, CASE WHEN bad THEN 'invalid' ELSE
 
 @query("k03c_ordered_order_books", with_views("ticks", more=BOOK_SQL) + BOOK_ROWS)
 def k03c(t):
-    """Files come in swapped pairs, one a trigger; the watermark puts messages back in order."""
-    rows = depth_messages(t)
+    """Slices come in swapped pairs, one a trigger; the watermark puts messages back in order."""
+    rows, files = staged(depth_messages(t), "depth"), files_of(t)
     path = scratch_path(t.spark, "depth-landing")
-    land(rows, sliced("event_time_ns", rows), [1, 0, 3, 2, 5, 4], path)
+    land(rows, sliced("event_time_ns", rows), [1, 0, 3, 2, 5, 4], path, "instrument_id", files)
     # A heartbeat after the last message lets the watermark pass all of them.
     later = F.max("event_time") + F.expr("INTERVAL 60 DAYS")
     beat = rows.agg(later.alias("event_time"), F.max("event_time_ns").alias("event_time_ns")).select(
@@ -90,7 +102,7 @@ def k03c(t):
         F.lit(None).cast("bigint").alias("previous_sequence"), F.array().cast(rows.schema["bids"].dataType).alias("bids"),
         F.array().cast(rows.schema["asks"].dataType).alias("asks"))
     beat.select(*rows.columns).write.mode("append").parquet(path)
-    books = monitors.drain(ordered.ordered_books(stream_of(rows, path), "12 days"), "books")
+    books = monitors.drain(ordered.ordered_books(stream_of(rows, path, files), "12 days", shards_of(t)), "books")
     return books.filter("instrument_id <> 'heartbeat'")
 
 
@@ -125,19 +137,19 @@ def chain_records(t) -> DataFrame:
 
 def grow_chain(t, records: DataFrame, path: str, out: str) -> DataFrame:
     """Run the chain over what has landed since its checkpoint was last written."""
-    return monitors.drain_to(ordered.chained(stream_of(records, path)), out)
+    return monitors.drain_to(ordered.chained(stream_of(records, path, files_of(t)), shards_of(t)), out)
 
 
 @query("k01b_chained_stream", with_views("numbered", more=CHAIN_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """
 SELECT chain_id, sequence, event_id, kind, payload, snapshot, previous_hash, content_hash FROM grown""")
 def k01b(t):
     """Two runs from one checkpoint: the second goes on with the chains of the first."""
-    records = chain_records(t)
+    records, files = staged(chain_records(t), "records"), files_of(t)
     part = sliced("event_id", records)
     path, out = scratch_path(t.spark, "records-landing"), scratch_path(t.spark, "chained")
-    land(records, part, [0, 1, 2], path)
+    land(records, part, [0, 1, 2], path, "chain_id", files)
     grow_chain(t, records, path, out)
-    land(records, part, [3, 4, 5], path)
+    land(records, part, [3, 4, 5], path, "chain_id", files)
     return grow_chain(t, records, path, out)
 
 
@@ -157,14 +169,15 @@ UNION ALL SELECT chain_id, event_id, sequence, 'late' FROM again
 UNION ALL SELECT chain_id, event_id, sequence, 'broken_run' FROM before WHERE sequence <> seq0 + 1
 UNION ALL SELECT chain_id, event_id, sequence, 'clock_step' FROM before WHERE received_ns < ns0""")
 def k06b(t):
-    """Records with gaps, clock steps and wrong day folders, one file a trigger; some come a second time in the last file."""
+    """Records with gaps, clock steps and wrong day folders, one slice a trigger; some come a second time in the last files."""
     stepped = F.col("received_time_ns") - F.when(F.col("event_id") % 23 == 0, F.lit(1000 * HOUR)).otherwise(F.lit(0))
     day = lambda ns: F.date_format(ns_to_timestamp(ns), "yyyy-MM-dd")
     sent = t.broken_chain.select(
         "chain_id", "event_id", F.col("event_id").alias("arrival"), "sequence", stepped.alias("received_ns"), day(stepped).alias("received_day"),
         F.when(F.col("event_id") % 12 == 0, "1999-01-01").otherwise(day(stepped)).alias("day"))
+    sent, files = staged(sent, "sent"), files_of(t)
     again = sent.filter("event_id % 19 = 0").withColumn("arrival", F.col("arrival") + 1_000_000_000)
     path = scratch_path(t.spark, "arrivals-landing")
-    land(sent, sliced("arrival", sent), range(SLICES), path)
-    again.coalesce(1).write.mode("append").parquet(path)
-    return monitors.drain(ordered.discontinuities(stream_of(sent, path)), "discontinuities")
+    land(sent, sliced("arrival", sent), range(SLICES), path, "chain_id", files)
+    again.repartition(files, "chain_id").write.mode("append").parquet(path)
+    return monitors.drain(ordered.discontinuities(stream_of(sent, path, files), shards_of(t)), "discontinuities")

@@ -1,7 +1,12 @@
 """Streams whose records must be taken in order, with state that outlives a micro-batch.
 
-State is one entry per key in RocksDB: a cursor, a bounded book, and the records
+State holds one entry per key in RocksDB: a cursor, a bounded book, and the records
 that wait for the watermark. A restart from the checkpoint goes on where it was.
+
+Keys are dealt over shards by their hash, and a shard's entries are read and written
+together: calls to the state store and timers cost far more than the rows, and
+number as the shards, not as the keys. A checkpoint has to be read with the number
+of shards it was written with.
 """
 
 from __future__ import annotations
@@ -12,16 +17,19 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SNAPSHOT_EVERY = 5
 FIRST_LINK = "0" * 64
+SHARDS = 64
 
 
-def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
+def keyed(stream: DataFrame, key: str, shards: int, processor: StatefulProcessor, schema: str, time_mode: str = "None") -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(key).transformWithStateInPandas(
+    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+    return stream.withColumn("shard", shard).groupBy("shard").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time_mode
     )
 
@@ -67,33 +75,28 @@ class Book:
 class OrderedBooks(StatefulProcessor):
     """Books in event time: a message waits until the watermark has passed it and is then applied in sequence.
 
-    One timer per instrument stands at the earliest waiting message. A message
-    that comes after its successors were applied is told as `late` and changes nothing.
+    One timer per shard stands at its earliest waiting message. A message that comes
+    after its successors were applied is told as `late` and changes nothing. What waits
+    is one text a trigger: a row of state for each message would cost more than its book.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "event_ms bigint, sequence bigint, message string")
-        self.book = handle.getValueState("book", "applied bigint, book string")
-
-    def _state(self) -> tuple[int, Book]:
-        applied, text = self.book.get() if self.book.exists() else (-1, None)
-        return applied, Book(text)
+        self.waiting = handle.getListState("waiting", "messages string")
+        self.books = handle.getListState("books", "instrument_id string, applied bigint, book string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        applied, _ = self._state()
+        applied = {instrument: sequence for instrument, sequence, _ in self.books.get()}
         late, fresh = [], []
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.sequence <= applied:
-                    late.append((key[0], r.sequence, "late", None, None))
-                    continue
-                levels = [[[float(x["price"]), float(x["quantity"])] for x in side] for side in (r.bids, r.asks)]
-                previous = None if pd.isna(r.previous_sequence) else int(r.previous_sequence)
-                fresh.append((int(r.event_time.timestamp() * 1000), int(r.sequence), json.dumps([r.action, previous, *levels])))
+            for r in frame[["instrument_id", "event_ms", "sequence", "message"]].itertuples(index=False, name=None):
+                if r[2] <= applied.get(r[0], -1):
+                    late.append((r[0], r[2], "late", None, None))
+                else:
+                    fresh.append(r)
         if fresh:
-            self.waiting.appendList(fresh)
-            self._arm(min(f[0] for f in fresh))
+            self.waiting.appendValue((json.dumps(fresh),))
+            self._arm(min(f[1] for f in fresh))
         yield pd.DataFrame(late, columns=["instrument_id", "sequence", "status", "best_bid", "best_ask"])
 
     def _arm(self, at: int) -> None:
@@ -105,21 +108,31 @@ class OrderedBooks(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: w[1])
-        due, rest = [w for w in held if w[0] <= mark], [w for w in held if w[0] > mark]
-        applied, book = self._state()
+        due, rest = {}, []
+        for (text,) in self.waiting.get():
+            for w in json.loads(text):
+                if w[1] <= mark:
+                    due.setdefault(w[0], []).append(w)
+                else:
+                    rest.append(w)
+        state = {instrument: (applied, text) for instrument, applied, text in self.books.get()}
         out = []
-        for _, sequence, text in due:
-            if sequence <= applied:  # a second copy of a message that has been applied
-                out.append((key[0], sequence, "late", None, None))
-                continue
-            action, previous, bids, asks = json.loads(text)
-            out.append((key[0], sequence, *book.apply(action, sequence, previous, bids, asks)))
-            applied = sequence
-        self.book.update((applied, book.dump()))
+        for instrument, messages in due.items():
+            applied, text = state.get(instrument, (-1, None))
+            book = Book(text)
+            for _, _, sequence, message in sorted(messages, key=lambda w: w[2]):
+                if sequence <= applied:  # a second copy of a message that has been applied
+                    out.append((instrument, sequence, "late", None, None))
+                    continue
+                m = json.loads(message)
+                sides = ([(float(x["price"]), float(x["quantity"])) for x in m[side]] for side in ("bids", "asks"))
+                out.append((instrument, sequence, *book.apply(m["action"], sequence, m.get("previous_sequence"), *sides)))
+                applied = sequence
+            state[instrument] = applied, book.dump()
+        self.books.put([(instrument, *entry) for instrument, entry in state.items()])
         if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(min(w[0] for w in rest))
+            self.waiting.put([(json.dumps(rest),)])
+            self.handle.registerTimer(min(w[1] for w in rest))
         else:
             self.waiting.clear()
         yield pd.DataFrame(out, columns=["instrument_id", "sequence", "status", "best_bid", "best_ask"])
@@ -128,14 +141,17 @@ class OrderedBooks(StatefulProcessor):
         pass
 
 
-def ordered_books(messages: DataFrame, delay: str) -> DataFrame:
+def ordered_books(messages: DataFrame, delay: str, shards: int = SHARDS) -> DataFrame:
     """Book state after every message of a stream whose files may come up to `delay` out of order.
 
     `messages` has instrument_id, event_time, action, sequence, previous_sequence,
     and bids and asks as arrays of (price, quantity). What the watermark has not
     passed yet waits in state; a heartbeat of any other instrument moves it on.
     """
-    return keyed(messages.withWatermark("event_time", delay), "instrument_id", OrderedBooks(), BOOK_TOPS, "EventTime")
+    text = F.to_json(F.struct("action", "previous_sequence", "bids", "asks"))
+    rows = messages.withWatermark("event_time", delay).select(
+        "instrument_id", "event_time", F.unix_millis("event_time").alias("event_ms"), "sequence", text.alias("message"))
+    return keyed(rows, "instrument_id", shards, OrderedBooks(), BOOK_TOPS, "EventTime")
 
 
 def replayed_books(messages: DataFrame) -> DataFrame:
@@ -162,53 +178,52 @@ def replayed_books(messages: DataFrame) -> DataFrame:
 
 # Chained records
 
-CHAINED = ("chain_id bigint, sequence bigint, event_id bigint, kind string, payload string, snapshot string, previous_hash string, "
+# Chains are text: next to a null, pandas would make numbers of them that lose digits.
+CHAINED = ("chain_id string, sequence bigint, event_id bigint, kind string, payload string, snapshot string, previous_hash string, "
            "content_hash string")
 
 
-def record_hash(chain: int, sequence: int, kind: str, payload: str, snapshot: str | None, previous: str) -> str:
+def record_hash(chain: int | str | None, sequence: int, kind: str, payload: str, snapshot: str | None, previous: str) -> str:
     return hashlib.sha256("|".join((str(chain), str(sequence), kind, payload, snapshot or "", previous)).encode()).hexdigest()
 
 
 class Chain(StatefulProcessor):
     """Appends the records of a key to its chain: each names its predecessor's hash, and every fifth holds a full snapshot.
 
-    State is the head and the latest payload of each kind.
+    State is the head of each chain and the latest payload of each kind.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "sequence bigint, hash string")
-        self.latest = handle.getMapState("latest", "kind string", "payload string")
+        self.heads = handle.getListState("heads", "chain_id string, sequence bigint, hash string, latest string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("event_id")
-        sequence, link = self.head.get() if self.head.exists() else (0, FIRST_LINK)
-        latest = {k[0]: v[0] for k, v in self.latest.iterator()}
+        heads = {chain: (sequence, link, json.loads(latest)) for chain, sequence, link, latest in self.heads.get()}
         out = []
-        for r in frame.itertuples(index=False):
+        for chain, event, kind, payload in frame[["chain_id", "event_id", "kind", "payload"]].itertuples(index=False, name=None):
+            sequence, link, latest = heads.get(chain) or (0, FIRST_LINK, {})
             sequence += 1
-            latest[r.kind] = r.payload
+            latest[kind] = payload
             snapshot = ",".join(f"{k}={v}" for k, v in sorted(latest.items())) if sequence % SNAPSHOT_EVERY == 0 else None
-            content = record_hash(key[0], sequence, r.kind, r.payload, snapshot, link)
-            out.append((key[0], sequence, r.event_id, r.kind, r.payload, snapshot, link, content))
-            link = content
-        self.head.update((sequence, link))
-        for kind in frame["kind"].unique():
-            self.latest.updateValue((kind,), (latest[kind],))
+            content = record_hash(chain, sequence, kind, payload, snapshot, link)
+            out.append((chain, sequence, event, kind, payload, snapshot, link, content))
+            heads[chain] = sequence, content, latest
+        self.heads.put([(chain, sequence, link, json.dumps(latest)) for chain, (sequence, link, latest) in heads.items()])
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHAINED.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def chained(stream: DataFrame) -> DataFrame:
+def chained(stream: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Records (chain_id, event_id, kind, payload) as they are appended to their chains, in the order of event_id within a micro-batch."""
-    return keyed(stream, "chain_id", Chain(), CHAINED)
+    rows = stream.select(F.col("chain_id").cast("string").alias("chain_id"), "event_id", "kind", "payload")
+    return keyed(rows, "chain_id", shards, Chain(), CHAINED).withColumn("chain_id", F.col("chain_id").cast("bigint"))
 
 
 # Contiguity
 
-CHECKED = "chain_id bigint, event_id bigint, sequence bigint, reason string"
+CHECKED = "chain_id string, event_id bigint, sequence bigint, reason string"
 
 
 class Contiguity(StatefulProcessor):
@@ -220,14 +235,15 @@ class Contiguity(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "sequence bigint, received_ns bigint")
+        self.newest = handle.getListState("newest", "chain_id string, sequence bigint, received_ns bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values("arrival")
-        sequence, received = self.newest.get() if self.newest.exists() else (None, None)
+        newest = {chain: (sequence, received) for chain, sequence, received in self.newest.get()}
         out = []
         for r in frame.itertuples(index=False):
-            tell = lambda reason, r=r: out.append((key[0], r.event_id, r.sequence, reason))
+            tell = lambda reason, r=r: out.append((r.chain_id, r.event_id, r.sequence, reason))
+            sequence, received = newest.get(r.chain_id) or (None, None)
             if r.day != r.received_day:
                 tell("misplaced")
             if sequence is not None and r.sequence <= sequence:
@@ -237,14 +253,15 @@ class Contiguity(StatefulProcessor):
                 tell("broken_run")
             if received is not None and r.received_ns < received:
                 tell("clock_step")
-            sequence, received = int(r.sequence), int(r.received_ns)
-        self.newest.update((sequence, received))
+            newest[r.chain_id] = int(r.sequence), int(r.received_ns)
+        self.newest.put([(chain, *entry) for chain, entry in newest.items()])
         yield pd.DataFrame(out, columns=["chain_id", "event_id", "sequence", "reason"])
 
     def close(self) -> None:
         pass
 
 
-def discontinuities(stream: DataFrame) -> DataFrame:
+def discontinuities(stream: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Every reason a record of (chain_id, event_id, arrival, sequence, received_ns, received_day, day) gives, by record."""
-    return keyed(stream, "chain_id", Contiguity(), CHECKED)
+    rows = stream.withColumn("chain_id", F.col("chain_id").cast("string"))
+    return keyed(rows, "chain_id", shards, Contiguity(), CHECKED).withColumn("chain_id", F.col("chain_id").cast("bigint"))
