@@ -2,7 +2,7 @@
 
 import zipfile
 
-from tidepanel.session import discard
+from tidepanel.session import discard, staged
 from tidepanel.sources import panel
 
 
@@ -52,6 +52,15 @@ def test_appends_compare_nulls_and_fields(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "x", None), (2, None, None), (3, None, None)]
 
 
+def test_an_append_is_judged_in_one_pass(spark, tmp_path, monkeypatch):
+    path, made = str(tmp_path / "log"), []
+    monkeypatch.setattr(panel, "staged", lambda df, label: made.append(label) or staged(df, label))
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, a string")
+    assert panel.append_to_log(spark, path, rows, "id").count() == 0
+    assert panel.append_to_log(spark, path, rows.withColumn("a", F.lit("x")), "id").collect() == [(2, "x")]
+    assert made == ["news", "news"] and spark.read.parquet(path).count() == 2
+
+
 def test_audit_of_published_files(spark, tmp_path):
     path = str(tmp_path / "dataset")
     rows = spark.createDataFrame([(k, i) for k in "abcd" for i in range(5)], "k string, i int")

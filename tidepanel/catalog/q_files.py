@@ -9,7 +9,7 @@ from tidepanel.catalog.registry import query
 from tidepanel.catalog.sqlviews import SECOND, with_views
 from tidepanel.functions.timefns import int_div
 from tidepanel.operators import quality
-from tidepanel.session import discard, scratch_path
+from tidepanel.session import discard, scratch_path, staged
 from tidepanel.sources import panel, payloads
 
 KLINE_HEADER, FUNDING_HEADER = "open_time", "calc_time"
@@ -174,7 +174,7 @@ UNION ALL SELECT 'conflict:' || kind, 0, count(*) FROM chain WHERE event_id % 6
 def a19b(t):
     """A log that grows in three appends; the second repeats known records, some of them with other content, the third is all known."""
     path = scratch_path(t.spark, "log")
-    records = t.chain.select("event_id", "kind", F.when(F.col("event_id") % 4 != 0, F.col("payload")).alias("payload"), "content_hash")
+    records = staged(t.chain.select("event_id", "kind", F.when(F.col("event_id") % 4 != 0, F.col("payload")).alias("payload"), "content_hash"), "records")
     panel.append_to_log(t.spark, path, records.filter("event_id % 2 = 0"), "event_id")
     altered = records.withColumn("content_hash", F.when(F.col("event_id") % 6 == 0, F.lit("altered")).otherwise(F.col("content_hash")))
     conflicts = panel.append_to_log(t.spark, path, altered, "event_id")

@@ -81,27 +81,30 @@ def publish_bars(bars: DataFrame, path: str, *, partitions: Sequence[str] = ("ve
     spread.write.mode("errorifexists").option("compression", "zstd").partitionBy(*partitions).parquet(path)
 
 
-def append_records(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Records to append, and conflicts: a known key with different content. Contents are compared field by field, null like null."""
+def news(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """Incoming records that the log does not hold as they are; `_fresh` tells new keys from known ones with other content."""
     names = [c for c in sorted(existing.columns) if c != key]
     known = existing.select(key, F.struct(*names).alias("_known"), F.lit(True).alias("_there"))
     judged = incoming.withColumn("_new", F.struct(*names)).join(known, key, "left")
-    fresh = judged.filter(F.col("_there").isNull()).drop("_known", "_new", "_there")
-    conflicts = judged.filter(F.col("_there") & ~F.col("_new").eqNullSafe(F.col("_known"))).drop("_known", "_new", "_there")
-    return fresh, conflicts
+    judged = judged.withColumn("_fresh", F.col("_there").isNull())
+    return judged.filter(F.col("_fresh") | ~F.col("_new").eqNullSafe(F.col("_known"))).drop("_known", "_new", "_there")
+
+
+def append_records(existing: DataFrame, incoming: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Records to append, and conflicts: a known key with different content. Contents are compared field by field, null like null."""
+    judged = news(existing, incoming, key)
+    return judged.filter("_fresh").drop("_fresh"), judged.filter("NOT _fresh").drop("_fresh")
 
 
 def append_to_log(spark: SparkSession, path: str, incoming: DataFrame, key: str) -> DataFrame:
     """Append what is new to an append-only log and return the conflicts, which stay out; known records are no news.
 
-    Both sides of the decision are written before the log grows, so a run that is
+    The decision is made in one join and written before the log grows, so a run that is
     repeated after a failure decides over the same log or finds everything known.
     """
-    existing = read_or_empty(spark, path, incoming.schema)
-    fresh, conflicts = append_records(existing, incoming, key)
-    told = staged(conflicts, "conflicts")
-    staged(fresh, "fresh").write.mode("append").option("compression", "zstd").parquet(path)
-    return told
+    judged = staged(news(read_or_empty(spark, path, incoming.schema), incoming, key), "news")
+    judged.filter("_fresh").drop("_fresh").write.mode("append").option("compression", "zstd").parquet(path)
+    return judged.filter("NOT _fresh").drop("_fresh")
 
 
 def merge_sources(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
