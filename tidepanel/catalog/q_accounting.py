@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.catalog import panelsql as P
 from tidepanel.catalog import settings as S
 from tidepanel.catalog.registry import query, rounded
+from tidepanel.catalog.reports import report
 from tidepanel.catalog.sqlviews import with_views
 from tidepanel.catalog.tables import Tables
 from tidepanel.operators import universe, walkforward, windows
@@ -76,13 +77,18 @@ FOLD_SQL = {
 }
 
 
+def daily_bars(t: Tables):
+    """The daily bars as a report: the folds and the holdout are jobs of their own over the same panel."""
+    return report(t, "daily-bars", t.bars)
+
+
 def fold_rows(t: Tables):
     """Momentum episodes of every fold's test weeks, in one job."""
     samples = walkforward.rebalance_samples(t.decisions, holding_days=7)
     bounds = walkforward.calendar_bounds(samples, S.GEOMETRY)
     calendar = walkforward.test_calendar(walkforward.fold_membership(samples, bounds, S.GEOMETRY))
     return momentum.momentum_episodes(
-        t.bars(), calendar, S.PANEL, S.MEMBERS, S.SCENARIOS,
+        daily_bars(t), calendar, S.PANEL, S.MEMBERS, S.SCENARIOS,
         t.funding(),
     )
 
