@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,29 @@ def test_unusual_inputs(spark):
     unlabelled = langid.languages(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in unlabelled.where("doc_id < 60").collect()} == {"und"}
     assert langid.languages(docs.where("false")).collect() == []
+
+
+def test_words_of_latin_texts_are_those_of_the_pattern():
+    plain = lambda text: langid._words(text.lower())
+    for c in map(chr, [*range(0x500), 0x2019, 0x3000, 0x4E2D, 0x1F600, 0xDFFF]):
+        for text in (c, f"Ab{c}Cd É{c}", f"{c}x\u0301{c}"):
+            assert langid.words_of(text) == plain(text), repr(text)
+
+
+def test_grams_of_many_words_are_those_of_each(spark, monkeypatch):
+    words = ["a", "ab", "the", "thé", "there", "中文", "x" * 50, "e\u0301t", "\U0001d4d0b", "thethethe"]
+    times = [3, 1, 2, 5, 1, 4, 7, 1, 1, 2**40]
+    want = Counter()
+    for word, n in zip(words, times, strict=True):
+        for size in range(1, langid.LONGEST + 1):
+            for gram in langid.grams_of(word, size):
+                want[size, gram] += n
+    # Each n-gram comes once, however many words have it: before, every one of every word was counted by itself.
+    found = [((size, gram), n) for size, some in langid.grams_in(words, times) for gram, n in some]
+    assert len(found) == len(want) and dict(found) == want
+    rows = spark.createDataFrame([(lang, w, n) for lang in ("en", "de") for w, n in zip(words, times, strict=True)], "lang string, key string, n long")
+    for held, chunk in ((langid.HELD, langid.CHUNK), (5, 1)):
+        monkeypatch.setattr(langid, "HELD", held)
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        got = {(r.lang, r["size"], r.key): r.n for r in langid.gram_counts(rows).collect()}
+        assert got == {(lang, *k): n for lang in ("en", "de") for k, n in want.items()}

@@ -17,9 +17,10 @@ longest such length score by their mean.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -35,14 +36,19 @@ LANGUAGES = 5_000
 WORD_LETTERS = 40
 #: Evidence of more words than this makes no answer more certain.
 CERTAIN = 16
-#: Bounds of a task's counts and of its memory of unseen words.
-HELD = 300_000
+#: Bounds of a task's counts and of its memory of unseen words, and of the characters that it counts at once.
+HELD, CHUNK = 300_000, 1_000_000
 _words = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+#: The characters of Latin-1 in lower case, and blanks for those that are no letters; it has no marks.
+_LATIN = "".join(c.lower() if _words(c) else " " for c in map(chr, range(256))).encode("latin-1")
 
 
 def words_of(text: str) -> list[str]:
     """The lower-cased words of a text: a letter, then letters and marks."""
-    return _words(text.lower())
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _words(text.lower())
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -54,22 +60,39 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _summed(df: DataFrame, count, held: int) -> DataFrame:
-    """(lang, size, key, n): what `count` adds to a Counter for the rows of every batch, summed over all tasks."""
+def _summed(df: DataFrame, count: Callable[[dict[int, Counter], list[str], list[int]], None]) -> DataFrame:
+    """(lang, size, key, n): what `count` adds to the Counters by size for the texts of each language, summed over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        counts: dict[str, dict[int, Counter]] = {}
+        waiting: dict[str, tuple[list[str], list[int]]] = {}
+        letters = 0
         for batch in batches:
             for lang, text, n in zip(batch["lang"], batch["text"], batch["n"], strict=True):
-                count(counts.setdefault(lang.as_py(), Counter()), text.as_py(), n.as_py())
-                if len(counts[lang.as_py()]) > held:
-                    yield rows(counts)
-                    counts = {}
-        yield rows(counts)
-
-    def rows(counts: dict[str, Counter]) -> pa.RecordBatch:
-        found = [(lang, size, key, n) for lang, of in counts.items() for (size, key), n in of.items()]
-        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "size", "key", "n"])
+                texts, times = waiting.setdefault(lang.as_py(), ([], []))
+                texts.append(text.as_py())
+                times.append(n.as_py())
+                letters += len(texts[-1]) + 1
+                if letters >= CHUNK:
+                    yield from added(counts, waiting)
+                    letters = 0
+        yield from added(counts, waiting)
+        yield from given(counts)
+
+    def added(counts: dict[str, dict[int, Counter]], waiting: dict[str, tuple[list[str], list[int]]]) -> Iterator[pa.RecordBatch]:
+        for lang, (texts, times) in waiting.items():
+            count(counts.setdefault(lang, defaultdict(Counter)), texts, times)
+        waiting.clear()
+        if sum(len(found) for sizes in counts.values() for found in sizes.values()) > HELD:
+            yield from given(counts)
+            counts.clear()
+
+    def given(counts: dict[str, dict[int, Counter]]) -> Iterator[pa.RecordBatch]:
+        for lang, sizes in counts.items():
+            for size, found in sizes.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(found)), pa.repeat(pa.scalar(size, pa.int32()), len(found)), pa.array(list(found), pa.string()),
+                     pa.array(list(found.values()), pa.int64())], ["lang", "size", "key", "n"])
 
     return df.mapInArrow(run, "lang string, size int, key string, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
 
@@ -77,22 +100,49 @@ def _summed(df: DataFrame, count, held: int) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, size = 0, key, n) of every word."""
 
-    def count(counts: Counter, text: str, n: int) -> None:
-        for word, times in Counter(words_of(text)).items():
-            counts[0, word] += n * times
-
-    return _summed(docs.select("lang", "text", F.lit(1).cast("long").alias("n")), count, HELD)
+    def count(counts: dict[int, Counter], texts: list[str], _: list[int]) -> None:
+        for text in texts:
+            counts[0].update(words_of(text))
+
+    return _summed(docs.select("lang", "text", F.lit(1).cast("long").alias("n")), count)
+
+
+def grams_in(words: list[str], times: list[int]) -> Iterator[tuple[int, list[tuple[str, int]]]]:
+    """The n-grams of words that occur `times` each: by size, all that differ and how often they occur."""
+    text = " ".join(["", *words, ""])
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    blank = code == ord(" ")
+    # What begins at a blank is the next word's.
+    weights = np.append(times, 0)[np.cumsum(blank) - 1].astype(float)
+    _, ids = np.unique(code, return_inverse=True)
+    at = np.arange(len(code))  # where n-grams begin
+    letters = int(ids.max()) + 1
+    for size in range(1, LONGEST + 1):
+        if size > 1:
+            # An n-gram goes on unless it ends: with its word's blank, or with the text.
+            on = (at + size - 1 < len(code)) & ((size == 2) | ~blank[np.minimum(at + size - 2, len(code) - 1)])
+            at, ids = at[on], ids[on] * letters + letter[at[on] + size - 1]
+            _, first, ids = np.unique(ids, return_index=True, return_inverse=True)
+        else:
+            letter = ids
+            _, first = np.unique(ids, return_index=True)
+        n = np.bincount(ids, weights[at]).astype(np.int64).tolist()
+        found = [(text[i:i + size], k) for i, k in zip(at[first].tolist(), n, strict=True)]
+        if size == 1:
+            found = [f for f in found if f[0] != " "]
+        yield size, found
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, size, key, n) of every n-gram of counted words, `size` being its length."""
 
-    def count(counts: Counter, word: str, n: int) -> None:
-        for size in range(1, LONGEST + 1):
-            for gram in grams_of(word, size):
-                counts[size, gram] += n
+    def count(counts: dict[int, Counter], words: list[str], times: list[int]) -> None:
+        for size, found in grams_in(words, times):
+            held = counts[size]
+            for gram, n in found:
+                held[gram] += n
 
-    return _summed(words.select("lang", F.col("key").alias("text"), "n"), count, HELD)
+    return _summed(words.select("lang", F.col("key").alias("text"), "n"), count)
 
 
 class Model:
@@ -114,14 +164,16 @@ class Model:
         return known if known is not None else self.unseen(word)
 
     def unseen(self, word: str) -> list[tuple[int, float]]:
+        whole = f" {word} "
         for size in range(LONGEST, 0, -1):
-            held, known, sums = self.grams[size], 0, {}
-            for gram in grams_of(word, size):
-                for i, value in held.get(gram, ()):
-                    sums[i] = sums.get(i, 0.0) + value
-                known += gram in held
+            get = self.grams[size].get
+            known = [found for i in range(len(whole) - size + 1) if (found := get(whole[i:i + size])) is not None]
             if known:
-                return [(i, s / known) for i, s in sorted(sums.items())]
+                sums: dict[int, float] = {}
+                for found in known:
+                    for i, value in found:
+                        sums[i] = sums.get(i, 0.0) + value
+                return [(i, s / len(known)) for i, s in sorted(sums.items())]
         return []
 
     def predict(self, text: str | None, memory: dict[str, list[tuple[int, float]]]) -> tuple[str, float]:
