@@ -93,3 +93,22 @@ def test_trie_bursts_and_spills():
 def test_empty_tables(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).collect() == []
     assert collocations.collocations(spark.createDataFrame([(None, None), ("?!", "en")], "text string, lang string")).collect() == []
+
+
+def test_each_token_is_looked_up_once():
+    asked = Counter()
+
+    class Word(bytes):
+        def __hash__(self):
+            asked[bytes(self)] += 1
+            return hash(bytes(self))
+
+    names, hashes = [], []
+    words = collocations.Words(b"en", collocations.Frequent(), names, hashes)
+    other = collocations.Words(b"de", collocations.Frequent(), names, hashes)
+    assert words.of([b"a", collocations.END, b"b", b"a"]).tolist() == [0, -1, 1, 0]
+    assert other.of([b"b"]).tolist() == [2] and words.of([b"c", b"b"]).tolist() == [3, 1]
+    assert words.of([]).tolist() == [] and names == [b"a", b"b", b"b", b"c"] and sum(map(len, hashes)) == 4
+    tokens = [Word(b"w%d" % (i % 7)) for i in range(700)]
+    assert words.of(tokens).tolist() == [4 + i % 7 for i in range(700)]
+    assert sum(asked.values()) <= len(tokens) + 7 * 2

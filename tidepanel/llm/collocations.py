@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -106,23 +107,35 @@ def frequent(counts: DataFrame) -> Frequent:
     return Frequent(filter_bits(counts, F.xxhash64(F.transform(F.concat(F.array("lang"), F.split("phrase", " ")), lambda w: F.xxhash64(w)))))
 
 
+class Seen(dict):
+    """Numbers of words by first sight, the end of a piece being 0; `fresh` gathers those that are new."""
+
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Words:
     """Ids of words by first sight; -1 for the end of a piece and for words that the filter lacks."""
 
     def __init__(self, lang: bytes, known: Frequent, names: list[bytes], hashes: list[np.ndarray]) -> None:
-        self.lang, self.known, self.names, self.hashes, self.ids = lang, known, names, hashes, {END: -1}
+        self.lang, self.known, self.names, self.hashes, self.ids = lang, known, names, hashes, Seen()
+        self.held = np.full(1, -1)  # the id of each number
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        ids, names = self.ids, self.names
-        fresh = [w for w in dict.fromkeys(tokens) if w not in ids]
+        numbers = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
+        fresh, self.ids.fresh = self.ids.fresh, []
         hashes = word_hashes(fresh)
         known = self.known.holds(self.lang, hashes[:, None])
-        for word, held in zip(fresh, known.tolist(), strict=True):
-            ids[word] = len(names) if held else -1
-            if held:
-                names.append(word)
+        self.held = np.append(self.held, np.where(known, len(self.names) + np.cumsum(known) - 1, -1))
+        self.names += compress(fresh, known.tolist())
         self.hashes.append(hashes[known])
-        return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+        return self.held[numbers]
 
 
 class Counter:
@@ -153,10 +166,10 @@ class Counter:
     def _phrases(self, lang: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct phrases as rows of word ids, sorted, and their counts."""
         grams, size = ids, len(self.names)
-        kinds, counts = np.unique(ids[ids >= 0], return_counts=True)
         rows = np.arange(size)[:, None]
         if self.length == 1:
-            return kinds[:, None], counts
+            counts = np.bincount(ids[ids >= 0], minlength=size)
+            return rows[counts > 0], counts[counts > 0]
         self.hashes[:] = hashes, = [np.concatenate(self.hashes)]
         for k in range(2, self.length + 1):
             whole = (grams[:-1] >= 0) & (grams[1:] >= 0)
