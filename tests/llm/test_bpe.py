@@ -58,3 +58,10 @@ def test_operator_round_trip_with_nulls(spark):
     assert [r.decoded_sha256 for r in digest] == [hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in rows]
     assert [r.n_tokens for r in digest][1] == 0 and digest[0] == digest[2]
     assert bpe.round_trip(docs.limit(0)).collect() == []
+
+
+def test_a_word_is_remembered_once():
+    codec, words = bpe.Encoder(bpe.vocabulary_path()), [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    codec.encode("start " + " ".join(words))
+    assert len(codec.spaced_ids) == 100 and not [p for p in codec.piece_ids if p.startswith(" w")]
+    assert bpe.REMEMBERED <= 200_000

@@ -9,7 +9,8 @@ times the few entries that end at each, however often merges would interleave.
 
 Texts are cut into pieces first, as the vocabulary file prescribes. Pieces
 repeat a lot, so each Python worker remembers the ids of those it has met, up to
-`REMEMBERED` of them, then forgets all and goes on.
+`REMEMBERED` of them, then forgets all and goes on. A word is remembered once, with
+or without the blank before it, and idle workers keep what they remember.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.common import map_batches
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 LONG_TEXT = 1 << 22
 # Fixed values of the byte-level format: the piece pattern, and the bytes that stand for themselves.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +102,7 @@ class Encoder:
         self.compatible = Remembered(self._compatible)
         self.piece_ids = Remembered(lambda piece: packed(self.encode_piece(piece.encode())))
         self.word_ids = Remembered(self._join)
-        self.spaced_ids = Remembered(lambda word: self.piece_ids[" " + word] if LETTERS(word) else self._join(" " + word))
+        self.spaced_ids = Remembered(lambda word: packed(self.encode_piece(b" " + word.encode())) if LETTERS(word) else self._join(" " + word))
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens at a token's left (0) or right (1) end, outermost first, each with the time that it merges away."""
