@@ -150,3 +150,19 @@ def test_large_blocks_follow_the_same_law(d, a):
         with np.errstate(divide="ignore", invalid="ignore"):
             grown = np.logaddexp(row[:-1], row[1:] + np.log(np.maximum(c - d * t[1:], 1e-300)))
         row[1:] = np.where(t[1:] <= c + 1, grown, -np.inf)
+
+
+@pytest.mark.parametrize("every", [1, 2, 100])
+def test_single_pairs_of_broadcast_words_have_no_row(spark, every):
+    _, docs = small(spark)
+    counts = hpylm.pairs(docs).collect()
+    hot = np.sort(np.array(list({r.w for r in counts}), np.int64))[::every]
+    rows = hpylm.tallies(docs, hot).collect()
+    broadcast = set(hot.tolist())
+    want = {(r.w, r.ctx): (r.n, r.m) for r in counts if not {r.w, r.ctx} <= broadcast or r.n > 1 or r.m > r.n == 1}
+    assert {(r.w, r.ctx): (r.n, r.m) for r in rows if r.kind != hpylm.WORD} == want and len(want) < len(counts) + every
+    assert sum(r.kind == hpylm.BOTH for r in rows) == sum(set(p) <= broadcast for p in want)
+    words = Counter()
+    for r in counts:
+        words[r.w] += r.n
+    assert {r.w: r.n for r in rows if r.kind == hpylm.WORD} == words

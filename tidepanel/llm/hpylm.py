@@ -23,10 +23,18 @@ map-side combine. No restaurant is ever gathered in one place, and skewed joins
 split. Blocks of one customer always have one table, so sweeps leave them out and
 count them once. Every sweep is written, and a draw is keyed by its block, so a
 task that runs again draws the same. The driver sees sums over all rows only.
-To score, texts are read once: tokens of pairs with a share of at least 1 / `HOT`
-of all (so at most `HOT` pairs, which are broadcast) are scored on the spot, and
-the others are joined with the pairs' scores. Pairs that only held-out texts have
-are rows without customers, so every token finds its pair.
+Most pairs occur once, and nearly as many as there are tokens. A pair of two of the
+`HOT` words that are broadcast with their totals needs no row for that: without a
+row it has one customer if its text is of the training set and none if it is held
+out, and the totals of words and contexts follow from the counts of words and the
+pairs that occur twice. So one pass over the texts counts, with such pairs as one
+number, and rows are written of pairs that occur again or have another word.
+To score, texts are read once more: tokens of two broadcast words are scored as if
+their pair had no row, and what a row changes is added. That of pairs with a
+share of at least 1 / `HOT` of all (so at most `HOT`, which are broadcast, too) is
+added on the spot, that of others by a join, as are the scores of all other tokens.
+A Bloom filter of fixed size spares the join tokens whose pair has no row. A sample
+names the words to broadcast; any choice of them gives the same scores.
 Words and pairs are known by 64-bit hashes.
 """
 
@@ -37,12 +45,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.collocations import filter_bits, passes
 from tidepanel.llm.common import discard, release, written
 
 HOT = 500_000
+#: One text in so many is asked which words to broadcast.
+SAMPLE = 16
+#: What a row of `tallies` counts: a pair of two broadcast words, another pair, a word.
+BOTH, PAIR, WORD = range(3)
 EXACT = 1024
 CELLS = 4_000_000
 SWEEPS, BURN = 3, 1
@@ -125,6 +139,70 @@ def pairs(docs: DataFrame) -> DataFrame:
     return counted.groupBy("k").agg(F.max("w").alias("w"), F.max("ctx").alias("ctx"), F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
+def places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
+
+
+def frequent_words(texts: DataFrame) -> DataFrame:
+    """(w) of at most `HOT` words, those that a sample of (id, text) has most often; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, w, _, _ in tokens(batch["text"]):
+                u, n = np.unique(w.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["w", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "w long, n long")
+    return written(some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(HOT).select("w"), "frequent")[0]
+
+
+_TALLY = "kind byte, w long, ctx long, n long, m long"
+
+
+def tallies(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(kind, w, ctx, n, m): all words of (doc_id, text), and all pairs but those of two words of `hot` (sorted) that have no row.
+
+    n and m as in `pairs`. Without a row, n is 1 for a pair of a training text and 0 for one that only held-out texts have.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def rows(kind: int, w: np.ndarray, ctx: np.ndarray | None, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(w), kind, np.int8)), pa.array(w), pa.nulls(len(w), pa.int64()) if ctx is None else pa.array(ctx),
+            pa.array(n.astype(np.int64)), pa.array(m)], ["kind", "w", "ctx", "n", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            training = batch["training"].to_numpy(zero_copy_only=False)
+            for first, w, _, sizes in tokens(batch["text"]):
+                mine = np.repeat(training[first:first + len(sizes)], sizes)
+                u, at = np.unique(w.view(np.int64), return_inverse=True)
+                yield rows(WORD, u, None, np.bincount(at, weights=mine), np.bincount(at))
+                before = np.concatenate(([np.searchsorted(u, END.view(np.int64))], at[:-1]))
+                codes, back = np.unique(at * len(u) + before, return_inverse=True)
+                n, m = np.bincount(back, weights=mine), np.bincount(back)
+                a, b = codes // len(u), codes % len(u)
+                place, here = places(sent.value, u)
+                both = here[a] & here[b]
+                yield rows(BOTH, place[a[both]] << 32 | place[b[both]], None, n[both], m[both])
+                yield rows(PAIR, u[a[~both]], u[b[~both]], n[~both], m[~both])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.filter(pa.array(batch["kind"].to_numpy() == BOTH))
+            code = both["w"].to_numpy()
+            yield rows(BOTH, sent.value[code >> 32], sent.value[code & 0xFFFFFFFF], both["n"].to_numpy(), both["m"].to_numpy())
+            yield batch.filter(pa.array(batch["kind"].to_numpy() != BOTH))
+
+    counted = texts.select((~held_out(F.col("doc_id"))).alias("training"), "text").mapInArrow(run, _TALLY)
+    whole = counted.groupBy("kind", "w", "ctx").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return whole.where((F.col("kind") != BOTH) | (F.col("n") > 1) | ((F.col("n") == 1) & (F.col("m") > 1))).mapInArrow(named, _TALLY)
+
+
 class Keyed:
     """Draws that depend on a row's key and the sweep only, not on the rows around it."""
 
@@ -216,42 +294,66 @@ def _discount(one: int | None, two: int | None) -> float:
 class Model:
     """A fitted model: written tables of `blocks`, `contexts` and `words`, and the root after every kept sweep.
 
-    blocks (k, w, ctx, m, lead): customers beyond the discounts, averaged over the kept sweeps.
+    blocks (k, w, ctx, m, kind, lead): customers beyond the discounts, averaged over the kept sweeps.
     contexts (ctx, customers, tables_0, ...), words (w, c, guests_0, tops_0, ...): after every kept sweep.
     """
 
-    def __init__(self, blocks: DataFrame, contexts: DataFrame, words: DataFrame, roots: list[Root], d: float, tokens: int):
-        self.blocks, self.contexts, self.words, self.roots, self.d, self.tokens = blocks, contexts, words, roots, d, tokens
+    def __init__(self, blocks: DataFrame, contexts: DataFrame, words: DataFrame, roots: list[Root], d: float, tokens: int, paths: list[str]):
+        self.blocks, self.contexts, self.words, self.roots, self.d, self.tokens, self.paths = blocks, contexts, words, roots, d, tokens, paths
 
-    def scored(self) -> DataFrame:
-        """(k, m, score, base, known) of every pair: log10 of its probability in the model and in the base, and whether the word is known."""
+    def _shares(self) -> DataFrame:
         none = F.lit(0)
-        turns = range(len(self.roots))
-        all_ = F.coalesce("customers", none) + THETA
-        backs = [((THETA + self.d * F.coalesce(f"tables_{i}", none)) / all_).alias(f"back_{i}") for i in turns]
         shares = [root.share(F.coalesce(f"guests_{i}", none), F.coalesce(f"tops_{i}", none)).alias(f"share_{i}") for i, root in enumerate(self.roots)]
-        words = self.words.select("w", (F.col("c") > 0).alias("known"), *shares, F.log10(
+        return self.words.select("w", (F.col("c") > 0).alias("known"), *shares, F.log10(
             (F.col("c") + 0.1) / (self.tokens + 0.1 * (self.roots[0].words + 1))).alias("base"))
-        led = self.blocks.join(self.contexts, "ctx", "left").select("k", "w", "m", (F.col("lead") / all_).alias("lead"), *backs)
-        rest = sum((F.col(f"back_{i}") * F.col(f"share_{i}") for i in turns), F.lit(0.0)) / len(self.roots)
-        return led.join(words, "w").select("k", "m", F.log10(F.col("lead") + rest).alias("score"), "base", "known")
+
+    def _backs(self) -> tuple[Column, list[Column]]:
+        none = F.lit(0)
+        all_ = F.coalesce("customers", none) + THETA
+        return all_, [((THETA + self.d * F.coalesce(f"tables_{i}", none)) / all_).alias(f"back_{i}") for i in range(len(self.roots))]
+
+    def scored(self, blocks: DataFrame | None = None) -> DataFrame:
+        """(k, m, score, base, known) of every pair, or of those of `blocks`: log10 of its probability in the model and in the base, and whether the word is known."""
+        all_, backs = self._backs()
+        led = (self.blocks if blocks is None else blocks).join(self.contexts, "ctx", "left").select("k", "w", "m", (F.col("lead") / all_).alias("lead"), *backs)
+        rest = sum((F.col(f"back_{i}") * F.col(f"share_{i}") for i in range(len(self.roots))), F.lit(0.0)) / len(self.roots)
+        return led.join(self._shares(), "w").select("k", "m", F.log10(F.col("lead") + rest).alias("score"), "base", "known")
+
+    def vocabulary(self, hot: DataFrame) -> Vocabulary:
+        """What the words of (w) make of a pair, to be broadcast."""
+        all_, backs = self._backs()
+        known = self._shares().join(hot, "w").join(self.contexts.withColumnRenamed("ctx", "w"), "w", "left")
+        turns = range(len(self.roots))
+        return Vocabulary(known.select("w", "known", "base", *(f"share_{i}" for i in turns), all_.alias("all"), *backs).toArrow(), len(self.roots))
 
 
 def fit(counts: DataFrame, turns: int = SWEEPS, burn: int = BURN) -> Model:
     """The model of written `pairs`, after `turns` sweeps of which the first `burn` are not kept."""
-    spark = counts.sparkSession
-    kinds, one = F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)
-    whole = counts.agg(F.sum("n").alias("n"), kinds.alias("kinds"), one.alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
+    return fitted(counts.select(F.lit(PAIR).cast("byte").alias("kind"), "w", "ctx", "n", "m"), counts.groupBy("w").agg(F.sum("n").alias("c")), turns, burn)
+
+
+def fitted(blocks: DataFrame, totals: DataFrame, turns: int = SWEEPS, burn: int = BURN) -> Model:
+    """The model of (kind, w, ctx, n, m), with all pairs of two customers or more, and of the counts (w, c) of all words."""
+    spark, none = blocks.sparkSession, F.lit(0)
+    seats = blocks.where("n > 1")
+    again = (F.sum("n").alias("again"), F.count("*").alias("many"))
+    sums = seats.agg(*again, F.count_if(F.col("n") == 2).alias("two")).first()
+    all_tokens = totals.agg(F.sum("c").alias("n")).first().n or 0
+    # Every token has a next one but the last, which stands before the first: a word's customers are its count.
     # `fixed`: tables of the blocks with one customer, which no sweep changes.
-    contexts, contexts_path = written(counts.where("n > 0").groupBy("ctx").agg(
-        F.sum("n").alias("customers"), one.alias("fixed"), kinds.alias("tables")), "contexts")
-    words, words_path = written(counts.groupBy("w").agg(F.sum("n").alias("c"), one.alias("fixed"), kinds.alias("guests")).withColumn(
-        "tops", F.least(F.col("guests"), F.lit(1))), "words")
+    one = F.col("c") - F.coalesce("again", none)
+    contexts, contexts_path = written(totals.where("c > 0").withColumnRenamed("w", "ctx").join(seats.groupBy("ctx").agg(*again), "ctx", "left").select(
+        "ctx", F.col("c").alias("customers"), one.alias("fixed"), (one + F.coalesce("many", none)).alias("tables")), "contexts")
+    guests = one + F.coalesce("many", none)
+    words, words_path = written(totals.join(seats.groupBy("w").agg(*again), "w", "left").select(
+        "w", "c", one.alias("fixed"), guests.alias("guests"), F.least(guests, F.lit(1)).alias("tops")), "words")
+    release(spark)
+    single = all_tokens - (sums.again or 0)
     named = words.agg(F.count_if(F.col("guests") > 0).alias("v"), F.count_if(F.col("guests") == 1).alias("one"),
                       F.count_if(F.col("guests") == 2).alias("two")).first()
-    d, d_root = _discount(whole.one, whole.two), _discount(named.one, named.two)
-    root = Root(whole.kinds, named.v, named.v, d_root)
-    seats = counts.where("n > 1").withColumns({"t": F.lit(1).cast("long"), "kept": F.lit(0).cast("long")})
+    d, d_root = _discount(single, sums.two), _discount(named.one, named.two)
+    root = Root(single + sums.many, named.v, named.v, d_root)
+    seats = seats.withColumns({"t": F.lit(1).cast("long"), "kept": F.lit(0).cast("long")})
     seats_path, roots = None, []
 
     for turn in range(turns):
@@ -260,10 +362,11 @@ def fit(counts: DataFrame, turns: int = SWEEPS, burn: int = BURN) -> Model:
         def seated(batches: Iterator[pa.RecordBatch], turn: int = turn, keep: bool = keep) -> Iterator[pa.RecordBatch]:
             law = Seats(d)
             for batch in batches:
-                t = law.draw(batch["n"].to_numpy(), batch["a"].to_numpy(), Keyed(batch["k"].to_numpy(), turn))
+                k = pair_keys(*(batch[c].to_numpy().view(np.uint64) for c in ("w", "ctx")))
+                t = law.draw(batch["n"].to_numpy(), batch["a"].to_numpy(), Keyed(k, turn))
                 kept = batch["kept"].to_numpy() + keep * t
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("k", "w", "ctx", "n", "m")), pa.array(t), pa.array(kept)],
-                                                 ["k", "w", "ctx", "n", "m", "t", "kept"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("kind", "w", "ctx", "n", "m")), pa.array(t), pa.array(kept)],
+                                                 ["kind", "w", "ctx", "n", "m", "t", "kept"])
 
         def topped(batches: Iterator[pa.RecordBatch], turn: int = turn, fresh: float = root.fresh) -> Iterator[pa.RecordBatch]:
             law = Seats(d_root)
@@ -277,7 +380,8 @@ def fit(counts: DataFrame, turns: int = SWEEPS, burn: int = BURN) -> Model:
         shares = words.select("w", root.share(F.col("guests"), F.col("tops")).alias("share"))
         drawn = seats.join(room, "ctx").join(shares, "w").withColumn("a", F.col("room") * F.col("share")).drop("room", "share", "t")
         old = [p for p in (seats_path, contexts_path, words_path) if p]
-        seats, seats_path = written(drawn.mapInArrow(seated, "k long, w long, ctx long, n long, m long, t long, kept long"), "seats")
+        seats, seats_path = written(drawn.mapInArrow(seated, f"{_TALLY}, t long, kept long"), "seats")
+        release(spark)
         place = len(roots)
         by_context = seats.groupBy("ctx").agg(F.sum("t").alias("t"))
         tables = (F.col("fixed") + F.coalesce("t", F.lit(0))).alias("tables")
@@ -299,56 +403,98 @@ def fit(counts: DataFrame, turns: int = SWEEPS, burn: int = BURN) -> Model:
         release(spark)
 
     lead = F.col("n") - F.when(F.col("n") > 0, d).otherwise(0.0)
-    few = counts.where("n < 2").select("k", "w", "ctx", "m", lead.alias("lead"))
-    many = seats.select("k", "w", "ctx", "m", (F.col("n") - d * F.col("kept") / len(roots)).alias("lead"))
-    return Model(few.union(many), contexts, words, roots, d, whole.n or 0)
+    few = blocks.where("n < 2").select("w", "ctx", "m", "kind", lead.alias("lead"))
+    many = seats.select("w", "ctx", "m", "kind", (F.col("n") - d * F.col("kept") / len(roots)).alias("lead"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = pair_keys(*(batch[c].to_numpy().view(np.uint64) for c in ("w", "ctx")))
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *batch.columns], ["k", *batch.schema.names])
+
+    return Model(few.union(many).mapInArrow(keyed, "k long, w long, ctx long, m long, kind byte, lead double"), contexts, words, roots, d, all_tokens,
+                 [p for p in (seats_path, contexts_path, words_path) if p])
+
+
+class Vocabulary:
+    """The broadcast words: what each adds to the probability of a pair, as its word and as its context."""
+
+    def __init__(self, rows: pa.Table, turns: int):
+        order = np.argsort(rows["w"].to_numpy())
+        column = lambda c: rows[c].to_numpy()[order]
+        self.w, self.known, self.base, self.all = map(column, ("w", "known", "base", "all"))
+        self.share, self.back = ([column(f"{c}_{i}") for i in range(turns)] for c in ("share", "back"))
+
+    def score(self, w: np.ndarray, ctx: np.ndarray, lead: np.ndarray | float) -> np.ndarray:
+        """log10 of the probabilities of pairs by the places of their words, with so many customers beyond the discounts."""
+        rest = sum(share[w] * back[ctx] for share, back in zip(self.share, self.back, strict=True)) / len(self.share)
+        return np.log10(lead / self.all[ctx] + rest)
+
+
+def corrections(blocks: DataFrame, law: Broadcast, d: float) -> DataFrame:
+    """(k, m, seen, unseen) of pairs of two broadcast words: their score beyond that of one customer, and beyond that of none."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, ctx = (places(law.value.w, batch[c].to_numpy())[0] for c in ("w", "ctx"))
+            score = law.value.score(w, ctx, batch["lead"].to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch["k"], batch["m"], *(pa.array(score - law.value.score(w, ctx, lead)) for lead in (1 - d, 0.0))], ["k", "m", "seen", "unseen"])
+
+    return blocks.mapInArrow(each, "k long, m long, seen double, unseen double")
 
 
 class Frequent:
-    """Scores of the most frequent pairs, looked up on the spot."""
+    """What the most frequent pairs add, looked up on the spot."""
 
     def __init__(self, rows: pa.Table):
-        k = rows["k"].to_numpy()
-        order = np.argsort(k)
-        self.k = k[order]
-        self.score, self.base, self.known = (rows[c].to_numpy()[order] for c in ("score", "base", "known"))
-
-    def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of pairs, and whether they are here."""
-        if not len(self.k):
-            return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
-        place = np.minimum(np.searchsorted(self.k, k), len(self.k) - 1)
-        return place, self.k[place] == k
+        order = np.argsort(rows["k"].to_numpy())
+        self.k, self.seen, self.unseen, self.base, self.known = (rows[c].to_numpy()[order] for c in ("k", "seen", "unseen", "base", "known"))
 
 
 _OF = "struct<doc_id: long, score: double, base: double, n_tokens: long, n_known: long>"
 
 
-def _routed(rows: DataFrame, frequent: Frequent) -> DataFrame:
-    """A row for every token of another than the frequent pairs, and one per document with its size and the sums of the others."""
+def _routed(rows: DataFrame, law: Broadcast, frequent: Broadcast, bits: Broadcast, d: float) -> DataFrame:
+    """A row for every token that a pair's row may add to, and one per document with its size and the sums of what is known on the spot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs_ = law.value, frequent.value
         for batch in batches:
             ids, names = batch["id"].to_numpy(), batch["doc_id"]
+            training = batch["training"].to_numpy(zero_copy_only=False)
             for first, w, ctx, sizes in tokens(batch["text"]):
                 count = len(sizes)
-                doc = np.repeat(np.arange(count), sizes)
+                doc, mine = np.repeat(np.arange(count), sizes), np.repeat(training[first:first + count], sizes)
+                u, at = np.unique(w.view(np.int64), return_inverse=True)
+                place, here = (x[at] for x in places(words.w, u))
+                end, ended = places(words.w, np.array([END.view(np.int64)]))
+                before, both = np.concatenate((end, place[:-1])), here & np.concatenate((ended, here[:-1]))
+                score, base, known = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(w), np.int64)
+                score[both] = words.score(place[both], before[both], np.where(mine[both], 1 - d, 0.0))
+                base[both], known[both] = words.base[place[both]], words.known[place[both]]
                 k = pair_keys(w, ctx).view(np.int64)
-                place, here = frequent.find(k)
-                at, mine = place[here], doc[here]
-                total = lambda x: np.bincount(mine, weights=x, minlength=count).astype(float)  # noqa: B023, E731
-                own, cold = ids[first:first + count], ~here
+                at, often = places(pairs_.k, k)
+                at = at[often]
+                score[often] += np.where(mine[often], pairs_.seen[at], pairs_.unseen[at])
+                base[often] += pairs_.base[at]
+                known[often] += pairs_.known[at]
+                asked = ~often
+                maybe = np.flatnonzero(asked & both)
+                asked[maybe] = passes(bits.value, k[maybe].view(np.uint64))
+                total = lambda x: np.bincount(doc, weights=x, minlength=count)  # noqa: B023, E731
+                own = ids[first:first + count]
                 of = pa.StructArray.from_arrays([
-                    names.slice(first, count), pa.array(total(frequent.score[at])), pa.array(total(frequent.base[at])),
-                    pa.array(sizes.astype(np.int64)), pa.array(total(frequent.known[at]).astype(np.int64))],
+                    names.slice(first, count), pa.array(total(score)), pa.array(total(base)),
+                    pa.array(sizes.astype(np.int64)), pa.array(total(known).astype(np.int64))],
                     ["doc_id", "score", "base", "n_tokens", "n_known"])
                 # A document's own row is spread by its id: the key of no pair, or of one that its sums ignore.
                 spread = mixed(own.view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(own), of], ["k", "id", "of"])
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(own), pa.nulls(count, pa.bool_()), of], ["k", "id", "training", "of"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[cold]), pa.array(own[doc[cold]]), pa.nulls(int(cold.sum()), of.type)], ["k", "id", "of"])
+                    [pa.array(k[asked]), pa.array(own[doc[asked]]), pa.array(mine[asked]), pa.nulls(int(asked.sum()), of.type)],
+                    ["k", "id", "training", "of"])
 
-    return rows.mapInArrow(run, f"k long, id long, of {_OF}")
+    return rows.mapInArrow(run, f"k long, id long, training boolean, of {_OF}")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -361,18 +507,32 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts, counts_path = written(pairs(texts), "pairs")
+    sent = spark.sparkContext.broadcast
+    hot = frequent_words(texts)
+    counts, counts_path = written(tallies(texts, np.sort(hot.toArrow()["w"].to_numpy())), "tallies")
+    release(spark)
+    words = counts.where(F.col("kind") == WORD)
+    model = fitted(counts.where(F.col("kind") != WORD), words.select("w", F.col("n").alias("c")))
+    everything = words.agg(F.sum("m").alias("m")).first().m or 0
+    law, both = sent(model.vocabulary(hot)), F.col("kind") == BOTH
+    plain = model.scored(model.blocks.where(~both)).select(
+        "k", "m", F.col("score").alias("seen"), F.col("score").alias("unseen"), "base", F.col("known").cast("long").alias("known"), F.lit(False).alias("both"))
+    added = corrections(model.blocks.where(both).select("k", "w", "ctx", "m", "lead"), law, model.d).select(
+        "k", "m", "seen", "unseen", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), F.lit(True).alias("both"))
+    scored, _ = written(plain.union(added), "hpylm")
+    for path in (counts_path, *model.paths):
+        discard(spark, path)
     release(spark)
-    model = fit(counts)
-    scored, _ = written(model.scored(), "hpylm")
-    discard(spark, counts_path)
+    often = F.col("m") * HOT >= everything
+    frequent = sent(Frequent(scored.where(often).select("k", "seen", "unseen", "base", "known").toArrow()))
+    bits = sent(filter_bits(scored.where(~often & F.col("both")), F.col("k")))
     release(spark)
-    everything = scored.agg(F.sum("m").alias("m")).first().m or 0
-    frequent = Frequent(scored.where(F.col("m") * HOT >= everything).select("k", "score", "base", "known").toArrow())
-    told = _routed(texts, frequent).join(scored.select("k", "score", "base", "known"), "k", "left")
+    routed = _routed(texts.withColumn("training", ~held_out(F.col("doc_id"))), law, frequent, bits, model.d)
+    told = routed.join(scored.where(~often).select("k", "seen", "unseen", "base", "known"), "k", "left")
     own = F.col("of").isNotNull()
-    sums = {"n_known": F.when(own, F.col("of.n_known")).otherwise(F.col("known").cast("long")),
-            "base_score": F.when(own, F.col("of.base")).otherwise(F.col("base")), "score": F.when(own, F.col("of.score")).otherwise(F.col("score"))}
+    sums = {"n_known": F.when(own, F.col("of.n_known")).otherwise(F.col("known")),
+            "base_score": F.when(own, F.col("of.base")).otherwise(F.col("base")),
+            "score": F.when(own, F.col("of.score")).when(F.col("training"), F.col("seen")).otherwise(F.col("unseen"))}
     whole = told.groupBy("id").agg(
         F.max("of.doc_id").alias("doc_id"), F.sum("of.n_tokens").alias("n_tokens"), *(F.sum(c).alias(name) for name, c in sums.items()))
     return whole.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
