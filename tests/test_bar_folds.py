@@ -17,6 +17,7 @@ from scripts.verify import table_of
 SMALL = "/root/testdata/sf0.001"
 NAMES = [
     "d13_cross_fold_aggregate",
+    "d14_model_dominance",
 ]
 
 
