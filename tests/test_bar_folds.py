@@ -18,6 +18,7 @@ SMALL = "/root/testdata/sf0.001"
 NAMES = [
     "d13_cross_fold_aggregate",
     "d14_model_dominance",
+    "d15_candidate_decision",
 ]
 
 
