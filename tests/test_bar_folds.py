@@ -19,6 +19,7 @@ NAMES = [
     "d13_cross_fold_aggregate",
     "d14_model_dominance",
     "d15_candidate_decision",
+    "d15b_candidate_decision_by_fold",
 ]
 
 
