@@ -20,6 +20,7 @@ NAMES = [
     "d14_model_dominance",
     "d15_candidate_decision",
     "d15b_candidate_decision_by_fold",
+    "p11_baseline_fold_evaluation",
 ]
 
 
