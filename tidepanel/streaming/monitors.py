@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidepanel.session import scratch_path
 
 BOOK_TOPS = "instrument_id string, sequence bigint, status string, best_bid double, best_ask double"
+BOOK_UPDATES = ["instrument_id", "segment", "sequence", "kind", "side", "price", "quantity"]
+SHARDS, BLOCK = 256, 8192
 
 
 def landing(spark: SparkSession, rows: DataFrame, label: str) -> tuple[str, str]:
@@ -155,13 +157,11 @@ def reconstruct_books(updates: DataFrame) -> DataFrame:
     order, and each task streams through them one batch at a time. Expects
     ``segment``: the sequence of the latest snapshot at or before the row.
     """
-    columns = ["instrument_id", "segment", "sequence", "kind", "side", "price", "quantity"]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, bids, asks, last, valid = None, {}, {}, None, False
         for frame in batches:
             out = []
-            for instrument, segment, *update in frame[columns].itertuples(index=False, name=None):
+            for instrument, segment, *update in frame[BOOK_UPDATES].itertuples(index=False, name=None):
                 if (instrument, segment) != current:
                     current, bids, asks, last, valid = (instrument, segment), {}, {}, None, False
                 for last, valid, bid, ask in replay_book([tuple(update)], bids, asks, last, valid):
@@ -173,39 +173,54 @@ def reconstruct_books(updates: DataFrame) -> DataFrame:
 
 
 class BookProcessor(StatefulProcessor):
-    """Keyed order-book state; rows of a trigger are applied in sequence order.
+    """Order books kept per key; the rows of a trigger are applied to their book in sequence order.
 
-    A book is bounded, so it is one value: a key costs one read and one write of
-    state a trigger, however many levels it has.
+    All books of a key are one value: a key costs one read and one write of state a
+    trigger, however many books and levels it has. Rows without `instrument_id` and
+    `segment` are of one book, named by the key.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.book = handle.getValueState("book", "last bigint, valid boolean, levels string")
+        self.books = handle.getValueState("books", "books string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("sequence")
-        last, valid, levels = self.book.get() or (None, False, "[[], []]")
-        bids, asks = ({price: quantity for price, quantity in side} for side in json.loads(levels))
-        updates = frame[["sequence", "kind", "side", "price", "quantity"]].itertuples(index=False, name=None)
-        out = [(key[0], s, "valid" if v else "invalid", b, a) for s, v, b, a in replay_book(updates, bids, asks, last, valid)]
-        levels = json.dumps([list(bids.items()), list(asks.items())])
-        self.book.update((int(frame["sequence"].iloc[-1]), out[-1][2] == "valid", levels))
+        updates: dict[tuple, list[tuple]] = {}
+        for frame in rows:
+            frame = frame.assign(**{c: v for c, v in (("instrument_id", key[0]), ("segment", 0)) if c not in frame})
+            for instrument, segment, *update in frame[BOOK_UPDATES].itertuples(index=False, name=None):
+                updates.setdefault((instrument, segment), []).append(update)
+        (text,) = self.books.get() or ("[]",)
+        books = {(instrument, segment): book for instrument, segment, *book in json.loads(text)}
+        out = []
+        for (instrument, segment), part in updates.items():
+            last, valid, *levels = books.get((instrument, segment), (None, False, [], []))
+            bids, asks = ({price: quantity for price, quantity in side} for side in levels)
+            for last, valid, bid, ask in replay_book(sorted(part, key=lambda u: u[0]), bids, asks, last, valid):
+                out.append((instrument, last, "valid" if valid else "invalid", bid, ask))
+            books[instrument, segment] = last, valid, list(bids.items()), list(asks.items())
+        self.books.update((json.dumps([(*of, *book) for of, book in books.items()]),))
         yield pd.DataFrame(out, columns=["instrument_id", "sequence", "status", "best_bid", "best_ask"])
 
     def close(self) -> None:
         pass
 
 
-def stream_books(updates: DataFrame) -> DataFrame:
+def stream_books(updates: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
     """Order books maintained over a stream with RocksDB-backed keyed state.
 
-    State is keyed by instrument and snapshot segment: a snapshot resets the
-    book, so a busy instrument spreads over its segments.
+    A snapshot resets the book, so segments are independent. State is keyed by a
+    shard of instruments and a block of segments, those that open within `block`
+    sequences: calls to the state store cost far more than the rows, and number as
+    the shards and blocks. A busy instrument spreads over its blocks, and a trigger
+    reads and writes no other blocks than those of its rows. A checkpoint has to be
+    read with the `shards` and `block` it was written with.
     """
     updates.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    return updates.groupBy("instrument_id", "segment").transformWithStateInPandas(
+    shard = F.pmod(F.xxhash64("instrument_id"), F.lit(shards)).cast("int")
+    keyed = updates.select(shard.alias("shard"), F.floor(F.col("segment") / block).alias("block"), *BOOK_UPDATES)
+    return keyed.groupBy("shard", "block").transformWithStateInPandas(
         statefulProcessor=BookProcessor(), outputStructType=BOOK_TOPS, outputMode="Append", timeMode="None"
     )
